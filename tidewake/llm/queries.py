@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, token_counts, url_filters, warc
+from . import mixing, ngram_join, quality_rules, sharding, token_counts, url_filters, warc
 from .common import documents
 
 #: Name of the vocabulary file that op2 counts with; a parameter of the operator.
@@ -32,6 +32,10 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
@@ -46,8 +50,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op6_cube_mixing, op9_warc, op10_url_filters)}
-
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op9_warc, op10_url_filters)}
+
+
+_OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), i -> hash(w[i:i+4]))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
 
 _OP9 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -68,4 +83,4 @@ SELECT h.page_id, host, path, rule, coalesce(v, CASE WHEN contains(host || path,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": _OP9, "op10_url_filters": _OP10}
+    return {"op5_ngram_jaccard": _OP5, "op9_warc": _OP9, "op10_url_filters": _OP10}
