@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import mixing, quality_rules, sharding
+from tidewake.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
+from tidewake.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,6 +22,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.quality(docs, rules).where("kept").select(*COLUMNS)
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each component of near duplicates; of rows that repeat an id, one; rows without an id."""
+    found = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item or its paraphrase."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix does."""
     return mixing.repeat(docs).select(*COLUMNS)
@@ -32,11 +45,19 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.two_pass_shuffle(docs.select(*COLUMNS), size, shards=40)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality_stage), ("mixing sources to target weights", mixing_stage), ("sharding", sharding_stage)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over all documents; each but the last is written to the shared folder and read again."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         df = stage(spark, df, sf_dir)
+        df = cut(df, f"stage{k}") if k < len(STAGES) - 1 else df
     return df

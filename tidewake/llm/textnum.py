@@ -14,6 +14,9 @@ import pyarrow as pa
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for uses in which marks don't matter.
+MARKS = _SPACE.copy()
+MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -61,9 +64,9 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         k = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word begins and ends, and for each text the number of its first word (one more entry than texts)."""
-    out = ~_SPACE[data]
+    out = ~between[data]
     before = np.empty_like(out)
     before[1:] = out[:-1]
     before[:1] = False
