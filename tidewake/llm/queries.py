@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, quality_rules, sharding, token_counts, url_filters, warc
+from . import compact_windows, decontaminate, mixing, ngram_join, quality_rules, sharding, token_counts, url_filters, warc
 from .common import documents
 
 #: Name of the vocabulary file that op2 counts with; a parameter of the operator.
@@ -40,6 +40,10 @@ def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -54,7 +58,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op8_decontamination, op9_warc, op10_url_filters)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters)}
 
 
 _OP5 = r"""
