@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontaminate, mixing, ngram_join, quality_rules, sharding, token_counts, url_filters, warc
+from . import compact_windows, decontaminate, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, url_filters, warc
 from .common import documents
 
 #: Name of the vocabulary file that op2 counts with; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +62,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters)}
 
 
 _OP5 = r"""
