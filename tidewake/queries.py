@@ -1,9 +1,592 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries: each operator over the driver's tables, beside SQL that gives the same rows.
 
+Recordings are stood for by `events` (a clip for each user, one channel), `embeddings` (a triad for each label) and `lineitem` (a clip for each
+supplier, three channels). Results are rounded where sums of doubles may differ in their last digits.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewake.functions import expr
+from tidewake.operators import crossval, evaluate, features, models, signal
+from tidewake.operators import frames as fr
+from tidewake.plans import config
+
+KNOWN = [1, 2, 3, 4]
+CLUSTERS = 20
+SR = 2.0
+TARGET = 0.75
+HALF = 5
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.col("user_id").alias("individual_id"), "ts", "event_id", "event_type", "value")
+    label = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "signup", 3).when(F.col("event_type") == "purchase", 4).otherwise(0)
+    e = e.withColumns({"label": label, "pred": (F.floor(F.col("value") / 10) % CLUSTERS).cast("int"), "fold": (F.col("clip_id") % 5).cast("int")})
+    return fr.with_time(e, "clip_id", ["ts", "event_id"]).drop("ts", "event_id", "event_type")
+
+
+def supervised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.supervised(events(spark, sf_dir).withColumn("pred", F.col("pred") % 5))
+
+
+def triaxial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), "vec_id", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("AccX", "AccY", "AccZ"))))
+    return fr.with_time(e, "clip_id", ["vec_id"]).withColumns({"individual_id": F.col("clip_id"), "label": (F.col("vec_id") % 5).cast("int")}).drop("vec_id")
+
+
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    li = fr.with_time(li, "clip_id", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])
+    return li.select("clip_id", "t", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), "vec_id", "embedding")
+    e = fr.with_time(e, "clip_id", ["vec_id"])
+    return e.select("clip_id", "t", F.col("clip_id").alias("individual_id"), F.col("clip_id").cast("int").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, and -0.0 as 0.0."""
+    return df.select(*(((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c)) for c, t in df.dtypes))
+
+
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _REGISTRY[f.__name__] = (lambda s, d: rounded(f(s, d)), sql)
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _REGISTRY.items() if s}
+
+
+# Views that the SQL starts from.
+_F = """f AS (SELECT user_id AS clip_id, user_id AS individual_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
+ CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END AS label,
+ CAST(floor(value / 10) AS BIGINT) % 20 AS pred, user_id % 5 AS fold, value FROM events)"""
+_S = _F + ", s AS (SELECT * REPLACE (CASE WHEN pred % 5 = 0 THEN 1 ELSE pred % 5 END AS pred) FROM f)"
+_K = "k AS (SELECT unnest([1, 2, 3, 4]) AS label)"
+_N = "n AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1)"
+_X = "x AS (SELECT label AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, CAST(embedding[1] AS DOUBLE) AS ax, CAST(embedding[2] AS DOUBLE) AS ay, CAST(embedding[3] AS DOUBLE) AS az FROM embeddings)"
+_PATH = "CAST(clip_id AS VARCHAR) || '.csv'"
+_SPLIT = "CASE WHEN fold = 0 THEN 'test' WHEN fold = 1 THEN 'val' ELSE 'train' END"
+_MAP = _F + """, c AS (SELECT pred, label, count(*) AS n FROM f WHERE label <> 0 GROUP BY ALL),
+ m AS (SELECT g.pred, coalesce(arg_min(c.label, (-c.n, c.label)), 0) AS mapped FROM (SELECT unnest(range(20)) AS pred) g LEFT JOIN c USING (pred) GROUP BY g.pred),
+ fm AS (SELECT f.* REPLACE (m.mapped AS pred) FROM f JOIN m USING (pred))"""
+
+
+def _prf(view: str, keys: str = "", name: str = "") -> str:
+    """Scores by label of a view, for keys (with a comma after each)."""
+    grid = f"SELECT DISTINCT {keys} k.label FROM {view}, k WHERE {view}.label <> 0" if keys else "SELECT label FROM k"
+    using = f"({keys} label)" if keys else "(label)"
+    return f"""{name}sc AS (SELECT {keys} label, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM ({grid}) g LEFT JOIN (
+ SELECT {keys} label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+  SELECT {keys} label, CASE WHEN label = pred THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE WHEN label <> pred THEN 1 ELSE 0 END AS fn FROM {view} WHERE label <> 0
+  UNION ALL SELECT {keys} pred AS label, 0, CASE WHEN label <> pred THEN 1 ELSE 0 END, 0 FROM {view} WHERE label <> 0) u GROUP BY {keys} label) a USING {using}),
+ {name}pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1 FROM {name}sc)"""
+
+
+def _macro(name: str = "", keys: str = "") -> str:
+    return f"SELECT {keys} round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM {name}pr" + (f" GROUP BY {keys.rstrip(', ')}" if keys else "")
+
+
+# -- splits, subsets, weights
+
+
+@query(f"WITH {_F} SELECT {_SPLIT} AS split, count(*) AS n, count(DISTINCT clip_id) AS clips FROM f GROUP BY 1")
+def split_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Default splits by fold."""
+    f = events(spark, d)
+    clips = f.select("clip_id", "fold").distinct()
+    return fr.assign_split(f.drop("fold"), clips, config.folds(5)).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("clip_id").alias("clips"))
+
+
+@query(f"WITH {_F} SELECT CASE WHEN fold = 0 THEN 'test' WHEN fold = 4 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM f GROUP BY 1")
+def low_data_split(spark: SparkSession, d: str) -> DataFrame:
+    f = events(spark, d)
+    return fr.assign_split(f.drop("fold"), f.select("clip_id", "fold").distinct(), config.folds(5, [0], low_data=True)).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS clip_id, 'no samples' AS fault FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION ALL SELECT DISTINCT user_id, 'no metadata' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def split_completeness_anti(spark: SparkSession, d: str) -> DataFrame:
+    return fr.unmatched_clips(events(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id")))
+
+
+@query(f"WITH {_X} SELECT clip_id, t, round(ax, 6) AS \"AccX\", round(az, 6) AS \"AccZ\" FROM x")
+def channel_projection(spark: SparkSession, d: str) -> DataFrame:
+    return fr.project(triaxial(spark, d), ["AccX", "AccY", "AccZ"], ["AccZ", "AccX"]).drop("individual_id", "label")
+
+
+@query(f"WITH {_F} SELECT clip_id, t, label FROM f WHERE label <> 0")
+def annotated_samples(spark: SparkSession, d: str) -> DataFrame:
+    return fr.annotated(events(spark, d)).select("clip_id", "t", "label")
+
+
+@query(f"WITH {_F} SELECT clip_id, t, round(value, 6) AS value FROM f WHERE t % 7 = 0")
+def stride_per_clip(spark: SparkSession, d: str) -> DataFrame:
+    return fr.every_nth(events(spark, d), 7).select("clip_id", "t", "value")
+
+
+@query(f"WITH {_F}, i AS (SELECT *, row_number() OVER (ORDER BY {_PATH}, t) - 1 AS index FROM f) SELECT clip_id, t, index FROM i WHERE index % 7 = 0")
+def stride_global(spark: SparkSession, d: str) -> DataFrame:
+    return fr.every_nth_overall(events(spark, d), 7).select("clip_id", "t", "index")
+
+
+@query(f"WITH {_F}, i AS (SELECT *, row_number() OVER (ORDER BY {_PATH}, t) - 1 AS index FROM f WHERE label <> 0) SELECT clip_id, t, index FROM i WHERE index % 5 = 0")
+def stride_annotated(spark: SparkSession, d: str) -> DataFrame:
+    return fr.every_nth_annotated(events(spark, d), 5).select("clip_id", "t", "index")
+
+
+@query(f"WITH {_F}, {_N} SELECT clip_id, t FROM f JOIN n ON u = clip_id WHERE t < n - n % 16")
+def tail_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return fr.whole_windows(events(spark, d), 16).select("clip_id", "t")
+
+
+@query(f"WITH {_F}, {_N}, i AS (SELECT *, row_number() OVER (ORDER BY {_PATH}, t) - 1 AS index FROM f JOIN n ON u = clip_id WHERE t < n - 16) SELECT clip_id, t, index FROM i WHERE index % 4 = 0")
+def window_starts_stride(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth window of the validation loader."""
+    return fr.every_nth_overall(fr.window_starts(events(spark, d), 16), 4).select("clip_id", "t", "index")
+
+
+@query(f"WITH {_F}, {_N} SELECT clip_id, t FROM (SELECT *, max(CASE WHEN label <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS a FROM f JOIN n ON u = clip_id) WHERE a = 1 AND t < n - 2")
+def annotated_windows(spark: SparkSession, d: str) -> DataFrame:
+    return fr.annotated_starts(events(spark, d), 2).select("clip_id", "t")
+
+
+@query(f"WITH {_F}, {_N} SELECT clip_id, t, round(list_sum(v), 6) AS total FROM (SELECT *, list(value) OVER (PARTITION BY clip_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM f JOIN n ON u = clip_id) WHERE t < n - 8")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    return fr.sliding_windows(events(spark, d), 8, "value").select("clip_id", "t", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {_F} SELECT clip_id, t // 16 AS chunk, count(*) AS n, round(sum(value) + (16 - count(*)) * avg(value), 6) AS total FROM f GROUP BY 1, 2")
+def tumbling_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of inference, the last one filled with the mean."""
+    return fr.tumbling(events(spark, d), 16, ["value"]).select("clip_id", "chunk", "n", F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {_F} SELECT a.clip_id, a.t, round(sum(b.value), 6) AS total FROM f a, unnest(range(6)) g(j), f b WHERE b.clip_id = a.clip_id AND b.t = abs(a.t - g.j) GROUP BY ALL")
+def trailing_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows up to each row, mirrored before the clip begins."""
+    return fr.trailing_windows(events(spark, d), 6, "value").select("clip_id", "t", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+def _key() -> F.Column:
+    return (F.col("t") * 7919 + F.col("individual_id") * 104729) % 100003
+
+
+_BAL = _F + """, g AS (SELECT i.individual_id, k.label, count(f.t) AS n FROM (SELECT DISTINCT individual_id FROM f) i CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS label) k
+ LEFT JOIN f ON f.individual_id = i.individual_id AND f.label = k.label GROUP BY ALL), l AS (SELECT individual_id, min(n) AS least FROM g GROUP BY 1),
+ b AS (SELECT clip_id, t, label FROM (SELECT *, row_number() OVER (PARTITION BY individual_id, label ORDER BY (t * 7919 + individual_id * 104729) % 100003, clip_id, t) AS r FROM f WHERE label <> 0) JOIN l USING (individual_id) WHERE r <= least)"""
+
+
+@query(f"WITH {_BAL} SELECT * FROM b")
+def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
+    return fr.balanced(events(spark, d), KNOWN, _key()).select("clip_id", "t", "label")
+
+
+@query(f"WITH {_BAL} SELECT individual_id, label, n FROM g")
+def balanced_sample_counts(spark: SparkSession, d: str) -> DataFrame:
+    return fr.label_grid(events(spark, d), KNOWN).select("individual_id", "label", "n")
+
+
+@query(f"WITH {_BAL} SELECT f.clip_id, f.t, coalesce(b.label, 0) AS label FROM f LEFT JOIN b USING (clip_id, t)")
+def balanced_mask(spark: SparkSession, d: str) -> DataFrame:
+    return fr.balanced_mask(events(spark, d), KNOWN, 0, _key()).select("clip_id", "t", "label")
+
+
+@query(f"WITH {_F} SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM f WHERE label <> 0), 6) AS proportion FROM f GROUP BY 1")
+def class_proportions(spark: SparkSession, d: str) -> DataFrame:
+    return fr.class_proportions(events(spark, d))
+
+
+@query(f"WITH {_F}, c AS (SELECT label, count(*) AS n FROM f WHERE label <> 0 GROUP BY 1), s AS (SELECT sum(n) AS a, count(*) AS k FROM c) SELECT label, round(1 / (n / a + 1e-6), 6) AS inverse_weight, round(a / (k * n), 6) AS balanced_weight FROM c, s")
+def class_weights(spark: SparkSession, d: str) -> DataFrame:
+    return fr.class_weights(events(spark, d))
+
+
+# -- evaluation
+
+
+@query(f"WITH {_F} SELECT pred, label, count(*) AS n FROM f WHERE label <> 0 GROUP BY ALL")
+def contingency(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.contingency(events(spark, d))
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    f = events(spark, d)
+    return evaluate.apply_map(f, evaluate.cluster_map(evaluate.contingency(f), CLUSTERS))
+
+
+@query(f"WITH {_MAP} SELECT pred, mapped AS label FROM m")
+def map_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.cluster_map(evaluate.contingency(events(spark, d)), CLUSTERS)
+
+
+@query(f"WITH {_MAP}, {_K} SELECT a.label, b.label AS pred, (SELECT count(*) FROM fm WHERE fm.label = a.label AND fm.pred = b.label) AS n FROM k a, k b")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.confusion(evaluate.contingency(_mapped(spark, d)), KNOWN)
+
+
+@query(f"WITH {_MAP}, {_K}, {_prf('fm')} SELECT label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pr")
+def prf_overall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.label_scores(evaluate.contingency(_mapped(spark, d)), KNOWN)
+
+
+@query(f"WITH {_S}, {_K}, {_prf('s')} SELECT label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pr")
+def prf_supervised(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.label_scores(evaluate.contingency(supervised_events(spark, d)), KNOWN)
+
+
+@query(f"WITH {_MAP}, {_K}, {_prf('fm', 'individual_id,')} {_macro('', 'individual_id, ')}")
+def prf_individual(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["individual_id"]
+    return evaluate.macro_scores(evaluate.label_scores(evaluate.contingency(_mapped(spark, d), keys), KNOWN, keys), keys)
+
+
+_OWN = _F + """, c AS (SELECT individual_id, pred, label, count(*) AS n FROM f WHERE label <> 0 GROUP BY ALL),
+ m AS (SELECT individual_id, pred, arg_min(label, (-n, label)) AS mapped FROM c GROUP BY ALL),
+ fm AS (SELECT f.* REPLACE (coalesce(m.mapped, 0) AS pred) FROM f LEFT JOIN m ON m.individual_id = f.individual_id AND m.pred = f.pred)"""
+
+
+@query(f"WITH {_OWN}, {_K}, {_prf('fm', 'individual_id,')} {_macro('', 'individual_id, ')}")
+def prf_individualised(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.individualised(events(spark, d), KNOWN, CLUSTERS)
+
+
+@query(f"WITH {_OWN}, {_K}, {_prf('fm', 'individual_id,')} SELECT label, round(avg(f1), 6) AS mean_f1_individualised FROM pr GROUP BY 1")
+def f1_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.f1_consistency(events(spark, d), KNOWN, CLUSTERS)
+
+
+@query(f"WITH {_MAP}, {_K} SELECT label, (SELECT count(*) FROM fm WHERE fm.label = k.label) AS truth, (SELECT count(*) FROM fm WHERE fm.pred = k.label AND fm.label <> 0) AS predicted FROM k")
+def label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.label_counts(evaluate.contingency(_mapped(spark, d)), KNOWN)
+
+
+_HOMOG = """c AS (SELECT individual_id AS g, pred, label, CAST(count(*) AS DOUBLE) AS n FROM f WHERE label <> 0 GROUP BY ALL),
+ w AS (SELECT *, sum(n) OVER (PARTITION BY g) AS a, sum(n) OVER (PARTITION BY g, pred) AS k, sum(n) OVER (PARTITION BY g, label) AS l FROM c),
+ h AS (SELECT g, sum(-n / a * ln(n / k)) AS hck, sum(-n / a * ln(l / a)) AS hc FROM w GROUP BY g)"""
+
+
+@query(f"WITH {_F}, {_HOMOG.replace('individual_id AS g', '0 AS g')} SELECT round(CASE WHEN hc < 1e-14 THEN 1 ELSE 1 - hck / hc END, 6) AS homogeneity FROM h")
+def homogeneity(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.homogeneity(evaluate.contingency(events(spark, d)))
+
+
+@query(f"WITH {_F}, {_HOMOG} SELECT g AS individual_id, round(CASE WHEN hc < 1e-14 THEN 1 ELSE 1 - hck / hc END, 6) AS homogeneity FROM h")
+def homogeneity_individual(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.homogeneity(evaluate.contingency(events(spark, d), ["individual_id"]), ["individual_id"])
+
+
+@query(f"WITH {_MAP} SELECT individual_id, count(*) AS rows, CAST(1 + sum(CASE WHEN pred <> p THEN 1 ELSE 0 END) AS BIGINT) AS bouts FROM (SELECT *, lag(pred) OVER (PARTITION BY individual_id ORDER BY {_PATH}, t) AS p FROM fm) GROUP BY 1")
+def bouts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.bouts(_mapped(spark, d), ["individual_id"])
+
+
+@query(f"WITH {_MAP} SELECT fold, count(*) AS rows, CAST(1 + sum(CASE WHEN pred <> p THEN 1 ELSE 0 END) AS BIGINT) AS bouts FROM (SELECT *, lag(pred) OVER (PARTITION BY fold ORDER BY {_PATH}, t) AS p FROM fm) GROUP BY 1")
+def bouts_over_clips(spark: SparkSession, d: str) -> DataFrame:
+    """A change where two clips of a group meet counts too."""
+    return evaluate.bouts(_mapped(spark, d), ["fold"])
+
+
+@query("SELECT c.conv_id AS clip_id, count(*) AS rows, CAST(1 + sum(CASE WHEN p <> r THEN 1 ELSE 0 END) AS BIGINT) AS bouts FROM (SELECT conv_id, length(role) AS r, lag(length(role)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) c GROUP BY 1")
+def bouts_conversations(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("clip_id"), F.col("turn").alias("t"), F.length("role").alias("pred"))
+    return evaluate.bouts(c, ["clip_id"])
+
+
+@query(f"WITH {_MAP} SELECT individual_id, round(count(*) / (1 + sum(CASE WHEN pred <> p THEN 1 ELSE 0 END)) / 2.0 / 0.75, 6) AS time_scale_ratio FROM (SELECT *, lag(pred) OVER (PARTITION BY individual_id ORDER BY {_PATH}, t) AS p FROM fm) GROUP BY 1")
+def time_scale_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.time_scale_ratio(_mapped(spark, d), SR, TARGET, ["individual_id"])
+
+
+@query("WITH g AS (SELECT CAST(quality AS INT) + 1 AS label, CAST(toxic AS INT) + 1 AS pred FROM labels), k AS (SELECT unnest([1, 2]) AS label) SELECT round(avg(r), 6) AS accuracy FROM (SELECT label, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS r FROM g GROUP BY 1)")
+def masked_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Of toxic as a guess of quality, both shifted by one."""
+    g = table(spark, d, "labels").select((F.col("quality") + 1).cast("int").alias("label"), (F.col("toxic") + 1).cast("int").alias("pred"))
+    return evaluate.masked_accuracy(g, [1, 2])
+
+
+def _evaluated(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    f = events(spark, d)
+    f = fr.assign_split(f.drop("fold"), f.select("clip_id", "fold").distinct(), config.folds(5))
+    return evaluate.evaluate(f, KNOWN, CLUSTERS, sr=SR, overall_target=TARGET)
+
+
+_EV = _F + f""", sf AS (SELECT *, {_SPLIT} AS split FROM f), c AS (SELECT pred, label, count(*) AS n FROM sf WHERE label <> 0 AND split = 'train' GROUP BY ALL),
+ m AS (SELECT g.pred, coalesce(arg_min(c.label, (-c.n, c.label)), 0) AS mapped FROM (SELECT unnest(range(20)) AS pred) g LEFT JOIN c USING (pred) GROUP BY g.pred),
+ fm AS (SELECT sf.* REPLACE (m.mapped AS pred) FROM sf JOIN m USING (pred))"""
+
+
+@query(f"WITH {_EV}, {_K}, {_prf('fm', 'split, individual_id,')}, a AS ({_macro('', 'split, individual_id, ')}), b AS (SELECT split, individual_id, round(count(*) / (1 + sum(CASE WHEN pred <> p THEN 1 ELSE 0 END)) / 2.0 / 0.75, 6) AS time_scale_ratio FROM (SELECT *, lag(pred) OVER (PARTITION BY individual_id ORDER BY {_PATH}, t) AS p FROM fm) GROUP BY ALL) SELECT *, macro_f1 IS NOT NULL AS annotated FROM b LEFT JOIN a USING (split, individual_id)")
+def standalone_individual(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation of predictions: the map is learnt on train and scores each individual of every split."""
+    return _evaluated(spark, d)["individual"]
+
+
+@query(f"WITH {_EV}, {_K}, {_prf('fm', 'split,')} SELECT split, label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pr")
+def standalone_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d)["labels"]
+
+
+# -- cross-validation
+
+
+_CV = f"{_MAP}, {_K}, {_prf('fm', 'individual_id,')}, a AS ({_macro('', 'individual_id, ')}), b AS (SELECT *, CASE WHEN individual_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM a)"
+
+
+@query(f"WITH {_CV} SELECT split, round(avg(macro_f1), 5) AS f1_mean, round(stddev_pop(macro_f1), 5) AS f1_std, round(avg(macro_precision), 5) AS prec_mean, round(stddev_pop(macro_precision), 5) AS prec_std, round(avg(macro_recall), 5) AS rec_mean, round(stddev_pop(macro_recall), 5) AS rec_std FROM b GROUP BY 1")
+def crossval_summary(spark: SparkSession, d: str) -> DataFrame:
+    i = rounded(prf_individual(spark, d)).withColumn("split", F.when(F.col("individual_id") % 5 == 0, "test").otherwise("train"))
+    return rounded(crossval.summary(i), 5)
+
+
+@query(f"WITH {_MAP}, {_K}, g AS (SELECT a.label, b.label AS pred FROM k a, k b), q AS (SELECT label, pred, count(*) AS n FROM fm GROUP BY ALL), cc AS (SELECT label, pred, coalesce(n, 0) AS n FROM g LEFT JOIN q USING (label, pred)) SELECT label, pred, n, round(n / sum(n) OVER (), 6) AS share, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY label), 0), 0), 6) AS row_share FROM cc")
+def confusion_crossfold_norm(spark: SparkSession, d: str) -> DataFrame:
+    c = evaluate.confusion(evaluate.contingency(_mapped(spark, d), ["fold"]), KNOWN, ["fold"])
+    return crossval.summed_confusion(c)
+
+
+@query(f"WITH {_F} SELECT label, pred, round(n / sum(n) OVER (PARTITION BY pred), 6) AS share FROM (SELECT label, pred, count(*) AS n FROM f WHERE label <> 0 GROUP BY ALL)")
+def confusion_pred_norm(spark: SparkSession, d: str) -> DataFrame:
+    return crossval.by_prediction(evaluate.contingency(events(spark, d)))
+
+
+@query(f"WITH {_MAP}, {_K}, {_prf('fm', 'fold,')} SELECT label, CAST(sum(tp + fn) AS BIGINT) AS truth, CAST(sum(tp + fp) AS BIGINT) AS predicted, 'test' AS split FROM pr GROUP BY 1")
+def label_counts_crossfold(spark: SparkSession, d: str) -> DataFrame:
+    c = evaluate.label_counts(evaluate.contingency(_mapped(spark, d), ["fold"]), KNOWN, ["fold"]).withColumn("split", F.lit("test"))
+    return crossval.summed_labels(c)
+
+
+@query(f"WITH {_CV} SELECT individual_id % 7 AS config_id, round(avg(macro_f1), 6) AS score FROM b GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def best_config(spark: SparkSession, d: str) -> DataFrame:
+    return crossval.best(rounded(prf_individual(spark, d)).withColumn("config_id", F.col("individual_id") % 7))
+
+
+@query("SELECT n_nationkey AS config_id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+def resume_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations without a result."""
+    return crossval.pending(table(spark, d, "nation").select(F.col("n_nationkey").alias("config_id")), table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("config_id")))
+
+
+@query("SELECT row_number() OVER (ORDER BY c.v, x.v) - 1 AS config_id, CAST(x.v AS DOUBLE) AS cutoff, CAST(c.v AS DOUBLE) AS context FROM (SELECT unnest([0.5, 1, 2, 4, 8, 16]) AS v) c, (SELECT unnest([0, 0.1, 0.4, 1.6, 6.4]) AS v) x")
+def grid_cross_join(spark: SparkSession, d: str) -> DataFrame:
+    points = config.expand({"cutoff": config.CUTOFFS, "context": config.CONTEXTS})
+    return spark.createDataFrame([(k, float(p["cutoff"]), float(p["context"])) for k, p in enumerate(points)], "config_id long, cutoff double, context double")
+
+
+@query("SELECT p.p_partkey AS id, coalesce(CASE WHEN p.p_size % 2 = 0 THEN p.p_size END, s.s_suppkey, 0) AS value FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey")
+def defaults_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Given values win over defaults."""
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
+    return p.join(s, p.p_partkey == s.s_suppkey, "left").select(F.col("p_partkey").alias("id"), F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), "s_suppkey", F.lit(0)).alias("value"))
+
+
+# -- framed features
+
+_W = "OVER (PARTITION BY clip_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+_PAIRS = "x AS (SELECT a.clip_id, a.t, b.t AS bt, b.{v} AS v, CASE WHEN b.t > greatest(a.t - 5, 0) THEN c.{v} END AS l FROM {f} a JOIN {f} b ON a.clip_id = b.clip_id AND b.t BETWEEN a.t - 5 AND a.t + 5 LEFT JOIN {f} c ON c.clip_id = b.clip_id AND c.t = b.t - 1)"
+_MOM = """s AS (SELECT clip_id, t, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, max(v) AS hi, min(v) AS lo, avg(bt) AS mt FROM x GROUP BY ALL),
+ z AS (SELECT s.clip_id, s.t, any_value(n) AS n, any_value(m) AS m, any_value(sd) AS sd, any_value(hi) AS hi, any_value(lo) AS lo, avg(power((v - m) / (sd + 1e-12), 3)) AS sk, avg(power((v - m) / (sd + 1e-12), 4)) - 3 AS ku,
+  avg((v - m) * (l - m)) / (any_value(sd) * any_value(sd) + 1e-12) AS ac, sum((bt - mt) * (v - m)) AS tr FROM s JOIN x USING (clip_id, t) GROUP BY ALL)"""
+
+
+def _frame_sql(view: str, source: str, value: str, columns: str) -> str:
+    return f"WITH {view}, {_PAIRS.format(v=value, f=source)}, {_MOM} SELECT clip_id, t, {columns} FROM z".replace("x AS (SELECT a.clip_id", "xx AS (SELECT a.clip_id").replace("FROM x GROUP", "FROM xx GROUP").replace("JOIN x USING", "JOIN xx USING")
+
+
+@query(_frame_sql(_F, "f", "value", "round(m, 6) AS value_mean, round(sd, 6) AS value_std, round(hi, 6) AS value_max, round(lo, 6) AS value_min, round(tr, 4) AS value_trend"))
+def frame_basic(spark: SparkSession, d: str) -> DataFrame:
+    r = features.channel_features(events(spark, d), ["value"], HALF, ("mean", "std", "max", "min", "trend"))
+    return r.withColumn("value_trend", F.round("value_trend", 4) + 0.0)
+
+
+@query(_frame_sql(_F, "f", "value", "round(sk, 5) AS value_skew, round(ku, 5) AS value_kurt"))
+def frame_skew_kurt(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.channel_features(events(spark, d), ["value"], HALF, ("skew", "kurt")), 5)
+
+
+@query(_frame_sql(_F, "f", "value", "round(ac, 6) AS value_autocorr"))
+def frame_autocorr(spark: SparkSession, d: str) -> DataFrame:
+    return features.channel_features(events(spark, d), ["value"], HALF, ("autocorr",))
+
+
+_SUP = "f AS (SELECT l_suppkey AS clip_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS t, l_quantity AS quantity, l_extendedprice AS price FROM lineitem)"
+
+
+@query(f"WITH {_SUP} SELECT clip_id, t, round(avg(quantity) {_W}, 6) AS quantity_mean, round(avg(price) {_W}, 4) AS price_mean, round(stddev_samp(quantity) {_W}, 6) AS quantity_std, round(stddev_samp(price) {_W}, 4) AS price_std, max(quantity) {_W} AS quantity_max, max(price) {_W} AS price_max, min(quantity) {_W} AS quantity_min, min(price) {_W} AS price_min FROM f")
+def frame_features_large(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels of the largest table, all in one window."""
+    r = features.channel_features(supplies(spark, d), ["quantity", "price"], HALF, ("mean", "std", "max", "min"))
+    return r.withColumns({c: F.round(c, 4) + 0.0 for c in ("price_mean", "price_std")})
+
+
+def _corr(a: str, b: str) -> str:
+    return f"round(count(*) {_W} * covar_pop({a}, {b}) {_W} / (count(*) {_W} * sqrt(var_pop({a}) {_W} * var_pop({b}) {_W}) + 1e-12), 6)"
+
+
+@query(f"WITH {_X} SELECT clip_id, t, {_corr('ax', 'ay')} AS xy, {_corr('ax', 'az')} AS xz, {_corr('ay', 'az')} AS yz FROM x")
+def triax_corr(spark: SparkSession, d: str) -> DataFrame:
+    f, x = features.Frame(HALF), triaxial(spark, d)
+    return x.select("clip_id", "t", f.corr("AccX", "AccY").alias("xy"), f.corr("AccX", "AccZ").alias("xz"), f.corr("AccY", "AccZ").alias("yz"))
+
+
+def _circ(a: str) -> str:
+    return f"round(1 - sqrt(power(sum(cos({a})) {_W}, 2) + power(sum(sin({a})) {_W}, 2)) / count(*) {_W}, 6)"
+
+
+@query(f"WITH {_X}, a AS (SELECT *, acos(az / (sqrt(ax * ax + ay * ay + az * az) + 1e-12)) AS i, atan(ay / (az + 1e-12)) AS z FROM x) SELECT clip_id, t, {_circ('i')} AS inclination, {_circ('z')} AS azimuth FROM a")
+def circular_variance(spark: SparkSession, d: str) -> DataFrame:
+    f, x = features.Frame(HALF), triaxial(spark, d).withColumn("q", expr.norm("AccX", "AccY", "AccZ"))
+    return x.select("clip_id", "t", f.circular_variance(expr.inclination(F.col("AccZ"), F.col("q"))).alias("inclination"), f.circular_variance(expr.azimuth(F.col("AccY"), F.col("AccZ"))).alias("azimuth"))
+
+
+@query(f"WITH {_X} SELECT clip_id, t, round(avg(abs(ax) + abs(ay) + abs(az)) {_W}, 6) AS dynamic FROM x")
+def dynamic_accel(spark: SparkSession, d: str) -> DataFrame:
+    return triaxial(spark, d).select("clip_id", "t", features.Frame(HALF).dynamic(["AccX", "AccY", "AccZ"]).alias("dynamic"))
+
+
+@query(f"WITH {_X} SELECT clip_id, t, round(sqrt(ax * ax + ay * ay + az * az), 6) AS q FROM x")
+def acc_norm(spark: SparkSession, d: str) -> DataFrame:
+    return triaxial(spark, d).select("clip_id", "t", expr.norm("AccX", "AccY", "AccZ").alias("q"))
+
+
+@query()
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The whole feature set of a triad (38 values a row)."""
+    x = triaxial(spark, d)
+    return features.feature_set(x, ["AccX", "AccY", "AccZ"], HALF, dynamic_only=True)
+
+
+# -- signals
+
+
+@query(f"WITH {_X}, m AS (SELECT clip_id, avg(sqrt(ax * ax + ay * ay + az * az)) AS g FROM x GROUP BY 1) SELECT clip_id, t, round(ax / (g + 1e-6), 6) AS \"AccX\", round(ay / (g + 1e-6), 6) AS \"AccY\", round(az / (g + 1e-6), 6) AS \"AccZ\" FROM x JOIN m USING (clip_id)")
+def acc_scale(spark: SparkSession, d: str) -> DataFrame:
+    return signal.scale_acceleration(triaxial(spark, d), ["AccX", "AccY", "AccZ"]).select("clip_id", "t", "AccX", "AccY", "AccZ")
+
+
+@query(f"WITH {_F} SELECT clip_id, t, round((value - avg(value) OVER (PARTITION BY clip_id)) / (stddev_pop(value) OVER (PARTITION BY clip_id) + 1e-6), 6) AS value FROM f")
+def zscore_clip(spark: SparkSession, d: str) -> DataFrame:
+    return signal.z_clip(events(spark, d), ["value"]).select("clip_id", "t", "value")
+
+
+@query(f"WITH {_F}, g AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM f WHERE fold >= 2) SELECT clip_id, t, round((value - m) / s, 6) AS value FROM f, g")
+def zscore_train(spark: SparkSession, d: str) -> DataFrame:
+    f = events(spark, d)
+    return signal.z_by(f, signal.moments(f.where("fold >= 2"), ["value"]), ["value"]).select("clip_id", "t", "value")
+
+
+_FIR = """h AS (SELECT k, r / sum(r * cos(pi() * m)) OVER () AS h FROM (SELECT k, k - 5 AS m, (CASE WHEN k = 5 THEN 1 ELSE sin(pi() * (k - 5)) / (pi() * (k - 5)) END - 0.4 * CASE WHEN k = 5 THEN 1 ELSE sin(pi() * 0.4 * (k - 5)) / (pi() * 0.4 * (k - 5)) END)
+  * (0.54 - 0.46 * cos(2 * pi() * k / 10)) AS r FROM (SELECT unnest(range(11)) AS k)))"""
+
+
+@query(f"""WITH {_F}, {_N}, {_FIR}, p AS (SELECT f.clip_id, f.t, f.value, h.h, n, f.t + 5 - h.k AS j FROM f JOIN n ON u = clip_id CROSS JOIN h),
+ y AS (SELECT p.clip_id, p.t, any_value(p.value) AS x, sum(CASE WHEN j = -5 THEN 0 ELSE p.h * b.value END) AS dyn FROM p JOIN f b ON b.clip_id = p.clip_id AND b.t = CASE WHEN j < 0 THEN -j WHEN j > n - 1 THEN 2 * (n - 1) - j ELSE j END GROUP BY ALL)
+ SELECT clip_id, t, round(x - dyn, 6) AS "AccX_static", round(dyn, 6) AS "AccX_dynamic" FROM y""")
+def fir_static_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    """Ten samples of filter at 0.4 of Nyquist: a cut-off of 0.4 Hz at 2 samples a second needs twice as many, so time is scaled."""
+    f = events(spark, d).withColumnRenamed("value", "AccX")
+    return signal.filtered(f.select("clip_id", "t", "AccX"), ["AccX"], 10, 0.4)
+
+
+@query()
+def cwt_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    w = signal.wavelets(events(spark, d), ["value"], 2.0, n=5, longest=20, w=5, normalise=True, every=2)
+    return w.select("clip_id", "t", *(F.col("values")[k].alias(f"w{k}") for k in range(5)))
+
+
+@query()
+def whitening(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    v = vectors(spark, d)
+    w = signal.Whitening(8).fit(v).transform(v).withColumn("w", vector_to_array("white"))
+    return w.select("clip_id", "t", *(F.col("w")[k].alias(f"w{k}") for k in range(8)))
+
+
+# -- models
+
+
+def _fitted(name: str, spark: SparkSession, d: str, clusters: int = 10, **settings: object) -> DataFrame:
+    v = vectors(spark, d).where("t < 1000000")
+    m = models.model(name, clusters, 0, **settings).fit(v)
+    return m.predict(v).select("clip_id", "t", "label", "pred")
+
+
+@query()
+def model_random(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted("random", spark, d)
+
+
+@query()
+def model_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted("kmeans", spark, d, whiten=True, n_components=8, n_init=2, max_iter=20)
+
+
+@query()
+def model_gmm(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted("gmm", spark, d, clusters=4, max_iter=10)
+
+
+@query()
+def model_random_forest(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted("rf", spark, d, n_estimators=20, max_samples=0.5, max_depth=8)
+
+
+@query()
+def model_decision_tree(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted("dt", spark, d, max_depth=10)
+
+
+@query()
+def model_svm(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted("svm", spark, d, max_iter=10)
+
+
+@query()
+def model_hmm(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    f = events(spark, d).select("clip_id", "t", "label", array_to_vector(F.array("value")).alias("features"))
+    m = models.model("hmm", 4, 0, W=8, N_iters=4).fit(f)
+    return m.predict(f).select("clip_id", "t", "label", "pred")
+
+
+# -- metadata joins
+
+
+@query("SELECT r_name, n_name, count(*) AS individuals, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
+def individual_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Individuals to groups: facts joined with small dimensions."""
+    c, n, r = table(spark, d, "customer"), F.broadcast(table(spark, d, "nation")), F.broadcast(table(spark, d, "region"))  # 25 and 5 rows at every scale
+    g = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return g.groupBy("r_name", "n_name").agg(F.count("*").alias("individuals"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+
+
+@query(f"WITH {_MAP}, {_K} SELECT CASE label WHEN 1 THEN 'click' WHEN 2 THEN 'view' WHEN 3 THEN 'signup' ELSE 'purchase' END AS label_name, count(*) AS n FROM fm WHERE label <> 0 GROUP BY 1")
+def label_names(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.createDataFrame([(1, "click"), (2, "view"), (3, "signup"), (4, "purchase")], "label int, label_name string")
+    return fr.annotated(_mapped(spark, d)).join(F.broadcast(names), "label").groupBy("label_name").agg(F.count("*").alias("n"))
