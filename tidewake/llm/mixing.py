@@ -131,6 +131,7 @@ def mixed(docs: DataFrame, most: float = MOST, seed: int = SEED, block: int = BL
 
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as the mix takes them. doc_id is the key; rows with the same id are taken as their id's rows are on average, rounded up; a null id stays once."""
-    t = mixed(docs, **how).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.ceil(F.avg("times")).cast("int").alias("_times"))
-    d = docs.join(t, "doc_id", "left").withColumn("_times", F.coalesce("_times", F.when(F.col("doc_id").isNull(), 1).otherwise(0)))
-    return d.where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(f"`{c}`" for c in docs.columns))
+    t = mixed(docs, **how).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg("times")).cast("int").alias("_times"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    d = rows.join(t, "_id", "left").withColumn("_times", F.coalesce("_times", F.when(F.col("_id").isNull(), 1).otherwise(0)))
+    return d.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
