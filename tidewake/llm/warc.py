@@ -121,12 +121,17 @@ class WarcReader(DataSourceReader):
         self.names = [f.name for f in schema.fields]
         self.schema = schema
         self.tests: list[tuple[str, type, object]] = []
+        self.push = options.get("onequery", "false").lower() == "true"
 
     def pushFilters(self, filters: list[Filter]):
-        """Predicates on what the headers say are taken; others are left to Spark."""
+        """Predicates on what the headers say are taken; others are left to Spark.
+
+        Only if the option oneQuery is set: Spark keeps a loaded relation's reader with the filters of the first query that it serves, so
+        another query of the same DataFrame would miss rows.
+        """
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name in self.names and name != "payload" and (type(f) in _TESTS or isinstance(f, IsNotNull)):
+            if self.push and name in self.names and name != "payload" and (type(f) in _TESTS or isinstance(f, IsNotNull)):
                 self.tests.append((name, type(f), getattr(f, "value", None)))
             else:
                 yield f
@@ -197,12 +202,17 @@ class WarcSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()}, schema)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int = PARTITION) -> DataFrame:
-    """The records below path. payload: decode the payloads of responses, and check them against their digests."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int = PARTITION, where: str | None = None) -> DataFrame:
+    """The records below path. payload: decode the payloads of responses, and check them against their digests.
+
+    where: a predicate, of which all that concerns record types and headers is decided before a payload is read. The result of a call with
+    it serves one query (see WarcReader.pushFilters); without it, filters are applied to what is read.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     listed = "\n".join(f"{p}|{n}" for p, n in files(spark, path))
-    return spark.read.format("warc").option("files", listed).option("payload", str(payload).lower()).option("partitionBytes", str(partition_bytes)).load()
+    df = spark.read.format("warc").option("files", listed).option("payload", str(payload).lower()).option("partitionBytes", str(partition_bytes)).option("oneQuery", str(where is not None).lower()).load()
+    return df if where is None else df.where(where)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
