@@ -49,7 +49,7 @@ def test_damage_is_found(spark, tmp_path):
     import pytest
 
     p = tmp_path / "w"
-    warc.write_warc(warc.plan_records(spark.createDataFrame(ROWS[:1], SCHEMA)).coalesce(1), str(p))
+    warc.write_warc(warc.plan_records(spark.createDataFrame(ROWS[:1], SCHEMA)).coalesce(1), str(p), "none")
     f = next(x for x in p.glob("part-*"))
     f.write_bytes(f.read_bytes().replace(b"<p>x", b"<p>y"))
     for crc in p.glob(".*.crc"):

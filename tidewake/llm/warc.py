@@ -11,6 +11,8 @@ whose type or headers fail a pushed predicate are skipped by their Content-Lengt
 from __future__ import annotations
 
 import base64
+import contextlib
+import gzip
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -56,8 +58,8 @@ def _clean(c: Column) -> Column:
     return F.regexp_replace(c, r"[\r\n]", "%0A")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write what plan_records() gives as archives below path."""
+def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write what plan_records() gives as archives below path, each compressed as a whole (or with "none" not)."""
 
     def line(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END))).otherwise("")
@@ -77,7 +79,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         line("Content-Length", F.when(own, F.col("payload_bytes")).otherwise(F.lit(0))),
         F.lit(END),
     )
-    records.select(F.concat(head, F.when(own, F.col("payload")).otherwise("")).alias("value")).write.option("lineSep", END + END).text(path)
+    records.select(F.concat(head, F.when(own, F.col("payload")).otherwise("")).alias("value")).write.option("lineSep", END + END).option("compression", compression).text(path)
 
 
 def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -96,14 +98,18 @@ class Files(InputPartition):
         self.paths = paths
 
 
+@contextlib.contextmanager
 def _open(path: str):
     scheme, _, rest = path.partition(":")
-    if scheme == "file" or not rest:
-        return open("/" + rest.lstrip("/") if rest else path, "rb")
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path)
-    return system.open_input_file(at)
+    with contextlib.ExitStack() as opened:
+        if scheme == "file" or not rest:
+            f = opened.enter_context(open("/" + rest.lstrip("/") if rest else path, "rb"))
+        else:
+            from pyarrow import fs
+
+            system, at = fs.FileSystem.from_uri(path)
+            f = opened.enter_context(system.open_input_file(at))
+        yield opened.enter_context(gzip.GzipFile(fileobj=f)) if path.endswith(".gz") else f
 
 
 def _number(header: str | None) -> int | None:
