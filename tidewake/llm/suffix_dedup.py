@@ -29,7 +29,7 @@ from .textnum import U, gram_hashes, mix, pieces, raw
 LENGTH = 400
 GRAM = 64
 HOT = 4096
-SHARD = 6 << 20
+SHARD = 2 << 20
 
 
 def owners(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
