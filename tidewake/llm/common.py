@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 #: White space between words, as a regular expression class body (fixed values).
 SPACE = r"\x20\x09-\x0D"
 
@@ -29,6 +31,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches sent to Python hold BATCH_ROWS rows or BATCH_BYTES bytes at most, since texts are long; what one row needs is always sent."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -38,6 +46,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages, and those rerun after a lost executor, start from there."""
+    bound_batches(df.sparkSession)
+    gc.collect()  # frees what no variable holds, so that Spark removes shuffle files of finished steps; else they stay until the driver's heap fills
+    df.sparkSession._jvm.System.gc()
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -50,6 +61,7 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

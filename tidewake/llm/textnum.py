@@ -54,7 +54,7 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0] if len(a) else np.zeros(1, np.int64)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text, one row at least: bounds the memory that a slice needs."""
     _, at = raw(batch.column(column))
     k, n = 0, batch.num_rows
