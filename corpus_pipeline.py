@@ -19,7 +19,8 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the base or the learned rules reject."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.quality(docs, rules).where("kept").select(*COLUMNS)
+    # written before it is filtered: Catalyst would push a filter on what was computed below each step, and compute them many times over
+    return cut(quality_rules.quality(docs, rules).select(*COLUMNS, "kept"), "judged").where("kept").select(*COLUMNS)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
