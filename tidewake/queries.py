@@ -531,7 +531,7 @@ def whitening(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fitted(name: str, spark: SparkSession, d: str, clusters: int = 10, **settings: object) -> DataFrame:
-    v = vectors(spark, d).where("t < 1000000")
+    v = vectors(spark, d)
     m = models.model(name, clusters, 0, **settings).fit(v)
     return m.predict(v).select("clip_id", "t", "label", "pred")
 
@@ -543,27 +543,27 @@ def model_random(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted("kmeans", spark, d, whiten=True, n_components=8, n_init=2, max_iter=20)
+    return _fitted("kmeans", spark, d, whiten=True, n_components=8)
 
 
 @query()
 def model_gmm(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted("gmm", spark, d, clusters=4, max_iter=10)
+    return _fitted("gmm", spark, d, clusters=4)
 
 
 @query()
 def model_random_forest(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted("rf", spark, d, n_estimators=20, max_samples=0.5, max_depth=8)
+    return _fitted("rf", spark, d)
 
 
 @query()
 def model_decision_tree(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted("dt", spark, d, max_depth=10)
+    return _fitted("dt", spark, d)
 
 
 @query()
 def model_svm(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted("svm", spark, d, max_iter=10)
+    return _fitted("svm", spark, d)
 
 
 @query()
@@ -571,7 +571,7 @@ def model_hmm(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     f = events(spark, d).select("clip_id", "t", "label", array_to_vector(F.array("value")).alias("features"))
-    m = models.model("hmm", 4, 0, W=8, N_iters=4).fit(f)
+    m = models.model("hmm", 4, 0, W=8).fit(f)
     return m.predict(f).select("clip_id", "t", "label", "pred")
 
 
