@@ -24,10 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component of near duplicates; of rows that repeat an id, one; rows without an id."""
-    found = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Keep of each component of near duplicates the row with the smallest doc_id, once; rows are told by doc_id and text, so different texts
+    under one doc_id are judged each. Rows without an id stay."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = ngram_join.jaccard_components(named.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = named.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("x"))
+    kept = named.join(least.select("x._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

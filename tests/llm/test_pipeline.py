@@ -32,3 +32,17 @@ def test_rows_equal_sql(spark, name):
     from tidewake.llm import queries as q
 
     assert differences(q.queries()[name](spark, SF), q.oracle_sql()[name], SF) == ""
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    """A row with a repeated doc_id and another text is neither merged with, nor dropped for, the other row of that doc_id."""
+    import random
+
+    from helpers import frame, prose
+
+    import corpus_pipeline as p
+
+    a, b, c = (prose(random.Random(k), 80) for k in range(3))
+    rows = [(1, a), (5, a + " more"), (5, b), (7, b), (7, c), (8, c), (8, c), (None, a), (9, None), (10, "")]
+    got = p.near_duplicates_stage(spark, frame(spark, [(i, t, "", "", 0, 0, "") for i, t in rows]), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (5, b), (7, c), (0, a), (9, ""), (10, "")])
