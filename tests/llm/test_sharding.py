@@ -36,6 +36,16 @@ def test_native_plan_and_edges(spark):
     assert d[32] == (16, 0) and d[35] == (19, zlib.crc32(b"one"))
 
 
+def test_many_repeats_are_spread(spark):
+    """A row repeated 500 times doesn't fill one bucket, and none is lost."""
+    rows = [(1, "same text", "", "", 0, 0, "")] * 500 + [(k, f"t{k}", "", "", 0, 0, "") for k in range(2, 60)]
+    s = sharding.two_pass_shuffle(frame(spark, rows), F.expr(SIZE), 8, bucket_bytes=2000).collect()
+    assert Counter(r.doc_id for r in s) == Counter(r[0] for r in rows)
+    per = Counter(r.shard for r in s)
+    assert max(per.values()) - min(per.values()) <= 1 and len({(r.shard, r.slot) for r in s}) == len(rows)
+    assert all(any(r.doc_id == 1 for r in s if r.shard == k) for k in range(8))
+
+
 def test_written_shards(spark, tmp_path):
     sharding.write_shards(frame(spark), str(tmp_path / "s"), size=F.expr(SIZE), shards=3)
     r = spark.read.parquet(str(tmp_path / "s")).collect()

@@ -32,8 +32,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sharding.two_pass_shuffle(sharding.digest(documents(spark, sf_dir)), F.col("size"), shards=40)
-    return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    s = sharding.digest(sharding.written(documents(spark, sf_dir), size=sharding.size_of(F.col("text")), shards=40))
+    return s.select(F.col("doc_id").cast("long"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,51 +2,78 @@
 
 Pass one scatters the records uniformly into buckets of a size that fits in memory, by a seeded hash. Pass two shuffles each bucket by
 Fisher-Yates (Spark's shuffle() function on the bucket's array) and writes it. A record's place in the whole order is its bucket's
-offset plus its place in the bucket; place modulo shards is its shard and the quotient its slot, so shards differ by one row at most.
-Everything is DataFrame operations. Each bucket is sorted before it is shuffled with a fixed seed, so a task that is run again after
-its executor was lost gives the same order.
+offset plus its place in the bucket; shards are equal ranges of places, so a bucket is written to one or two of them and counts differ by one
+row at most. Everything is DataFrame operations. Each bucket is sorted before it is shuffled with a fixed seed, so a task that is run
+again after its executor was lost gives the same order.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut, new_folder
+
 BUCKET = 16 << 20  # bytes of records in a bucket, about
+SPAN = 1024  # buckets whose offsets are added up in one task
 SEED = 20240229
 
 
 def two_pass_shuffle(df: DataFrame, size: Column, shards: int = 40, bucket_bytes: int = BUCKET, seed: int = SEED) -> DataFrame:
     """df in a seeded random order, with `shard` and `slot` (columns of these names are replaced).
 
-    size: bytes of a record. Buckets: by a hash of all columns, so a hot key with different records is spread; exact repeats of
-    a row meet in one bucket. Null keys and texts are values like others. An empty table gives no rows. Columns must be of types that
-    can be ordered and hashed (no maps).
+    size: bytes of a record. Buckets: by a hash of all columns, so a hot key with different records is spread. Exact repeats of a row that
+    would fill a quarter of a bucket are counted, and their copies dealt evenly over all buckets; fewer ones meet in one. Null keys and
+    texts are values like others. An empty table gives no rows. Columns must be of types that can be ordered and hashed (no maps).
     """
     df = df.drop("shard", "slot")
-    total = df.agg(F.sum(size)).first()[0] or 0
-    n = max(1, math.ceil(total / bucket_bytes))
     cols = [F.col(f"`{c}`") for c in df.columns]
     # the record is one column, so no name of its own can clash with ours
-    placed = df.select(F.struct(*cols).alias("_r"), F.xxhash64(F.lit(seed), *cols).alias("_h")).withColumn("_b", F.pmod(F.col("_h"), F.lit(n)))
+    placed = df.select(F.struct(*cols).alias("_r"), F.xxhash64(F.lit(seed), *cols).alias("_h"), size.cast("long").alias("_size"))
+    light = placed.select("_h", "_size")
+    bytes_, rows = light.agg(F.sum("_size"), F.count("*")).first()
+    n = max(1, math.ceil((bytes_ or 0) / bucket_bytes))
+    many = cut(light.groupBy("_h").agg(F.sum("_size").alias("_all"), F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("_all") > bucket_bytes / 4)).select("_h"), "shard-repeats")
+    spread = F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("_n")).cast("int") - 1))
+    copies = placed.join(many, "_h", "left_semi").groupBy("_r", "_h").agg(F.count("*").alias("_n")).select("_r", "_h", "_n", spread.alias("_k"))
+    copies = copies.select("_r", "_h", F.pmod(F.col("_h") + F.col("_k"), F.lit(n)).alias("_b"), F.explode(F.sequence(F.lit(1), F.floor((F.col("_n") + n - 1 - F.col("_k")) / n).cast("int")))).drop("col")
+    placed = placed.join(many, "_h", "left_anti").select("_r", "_h", F.pmod("_h", F.lit(n)).alias("_b")).unionByName(copies)
     full = placed.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_h", "_r"))).alias("_all"))
-    # a number for each bucket: their running total is over as many rows as there are buckets
-    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    start = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_from"))
+    # the rows of a bucket's predecessors: within spans of buckets, then over the spans
+    counts = light.join(many, "_h", "left_anti").groupBy(F.pmod("_h", F.lit(n)).alias("_b")).agg(F.count("*").alias("_n")).unionByName(copies.groupBy("_b").agg(F.count("*").alias("_n")))
+    counts = counts.groupBy("_b").agg(F.sum("_n").alias("_n")).withColumn("_g", F.floor(F.col("_b") / SPAN))
+    spans = counts.groupBy("_g").agg(F.sum("_n").alias("_s")).select("_g", (F.sum("_s").over(Window.orderBy("_g")) - F.col("_s")).alias("_first"))
+    start = counts.join(spans, "_g").select("_b", (F.col("_first") + F.sum("_n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_n")).alias("_from"))
     mixed = full.withColumn("_all", F.shuffle("_all", seed)).join(start, "_b")
-    at = F.col("_from") + F.col("_at")
-    return mixed.select("_from", F.posexplode("_all").alias("_at", "_x")).select("_x._r.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / F.lit(shards)).cast("long").alias("slot"))
+    at, q, r = F.col("_from") + F.col("_at"), rows // shards, rows % shards
+    long = F.lit(r * (q + 1))  # places of the first shards, which have a row more
+    shard = F.when(at < long, F.floor(at / F.lit(q + 1))).otherwise(F.lit(r) + F.floor((at - long) / F.lit(max(q, 1))))
+    slot = F.when(at < long, F.pmod(at, F.lit(q + 1))).otherwise(F.pmod(at - long, F.lit(max(q, 1))))
+    return mixed.select("_from", F.posexplode("_all").alias("_at", "_x")).select("_x._r.*", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, **how) -> None:
-    """Write a folder for each shard, its records in the order of their slots."""
-    s = two_pass_shuffle(df, **how)
-    s.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write a folder for each shard; a file has a bucket's records of that shard in the order of their slots."""
+    two_pass_shuffle(df, **how).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def written(df: DataFrame, **how) -> DataFrame:
+    """The records with shard and slot, read from shards written to the shared folder."""
+    spark: SparkSession = df.sparkSession
+    path = new_folder(spark, "shards")
+    write_shards(df, path, **how)
+    schema = df.drop("shard", "slot").schema.add("slot", "long").add("shard", "integer")
+    return spark.read.schema(schema).parquet(path)
+
+
+def size_of(text: Column) -> Column:
+    """UTF-8 bytes of a text (null: none) plus 16."""
+    return (F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) + 16).cast("long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32 (null: as empty)."""
+    """docs with size and text_crc32 (of UTF-8; null: as empty)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return docs.withColumns({"size": size_of(F.col("text")), "text_crc32": F.crc32(text.cast("binary"))})
