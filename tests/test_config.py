@@ -41,7 +41,33 @@ def test_sweep_sizes():
     runs = c.sweep("rf", "vehkaoja_dogs", "d", "o", no_gyro=True)
     assert len(runs[0]["input_vars"]) == 6 and sum("skipped" in r for r in runs) == 5
     assert [r["seed"] for r in c.final_runs(runs[0])] == [1, 2, 3, 4]
-    assert len(c.ablations(["HAR", "x"])) == 2 * (10 + 12)
+
+
+def test_grids_hold_all_fixed_values():
+    g = c.model_grid("CRNN", "HAR")
+    assert g["temporal_window_samples"] == [2048] and g["downsizing_factor"] == [1024] and g["weight_decay"] == [0] and g["batch_size"] == [32] and g["gru_hidden_size"] == [64] and g["sparse_annotations"] == [True]
+    assert len(c.sweep("CRNN", "HAR", "d", "o")) == 45 and len(c.sweep("CNN", "ladds_seals", "d", "o", no_cutoff=True)) == 9
+    assert c.model_grid("CNN", "ladds_seals")["temporal_window_samples"] == [128] and c.model_grid("CNN", "HAR")["gru_depth"] == [0]
+    g = c.model_grid("wavelet_dt", "HAR")
+    assert g["context_window_sec"] == [8] and g["feature_set"] == ["wavelet"] and g["C_max"] == [1, 10, 100, 1000] and "n_jobs" not in g
+    assert len(c.sweep("wavelet_RNN", "HAR", "d", "o")) == 36 and len(c.sweep("RNN", "HAR", "d", "o")) == 15 and len(c.sweep("harnet", "HAR", "d", "o")) == 3
+    assert c.model_grid("harnet_random", "desantis_rattlesnakes") | {} and c.model_grid("harnet_random", "desantis_rattlesnakes")["harnet_version"] == ["harnet5"]
+    assert c.sweep("rf", "HAR", "d", "o")[3]["experiment_name"] == "rf_hyperparameter_selection_3"
+
+
+def test_defaults_have_the_public_names():
+    assert c.DEFAULTS["hmm"]["matrix_concentration"] == 1.1 and c.DEFAULTS["svm"]["regularization_parameter"] == 1.0
+    assert {"temporal_window_samples", "dilation", "dropout", "sparse_annotations"} <= set(c.DEFAULTS["CRNN"]) and "learning_rate" in c.DEFAULTS["vame"]
+    assert all("wavelet_transform" in c.DEFAULTS[m] for m in ("rf", "dt", "svm", "kmeans", "hmm", "CRNN"))
+    run = c.with_defaults({"model": "hmm", "model_config": {"covariance": "full"}})
+    assert run["model_config"]["covariance"] == "full" and len(run["model_config"]) == len(c.DEFAULTS["hmm"])
+
+
+def test_ablations():
+    runs = c.ablations()
+    assert len(runs) == 9 * (12 + 1 + 2) and runs[0]["experiment_name"] == "baglione_crows_CRNN_nogyr" and runs[9]["experiment_name"] == "baglione_crows_CRNN_low_data_nogyr"
+    assert {(r["model"], r["no_cutoff"], r["low_data"], r["no_gyro"]) for r in runs if r["model"] == "wavelet_RNN"} == {("wavelet_RNN", False, True, True)}
+    assert runs[-1]["experiment_name"] == "desantis_rattlesnakes_rf_low_data" and not runs[-1]["no_gyro"]
 
 
 def test_metadata_channels_and_superset_map():

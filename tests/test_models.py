@@ -23,13 +23,16 @@ def agreement(df):
     return sum(max(v.count(y) for y in set(v)) for v in pairs.values()) / len(got)
 
 
-@pytest.mark.parametrize(("name", "how"), [("kmeans", {"n_init": 2, "max_iter": 10}), ("gmm", {"max_iter": 100}), ("hmm", {"W": 60, "N_iters": 5}), ("rf", {"n_estimators": 5, "max_samples": 0.5, "max_depth": 4}), ("dt", {"max_depth": 4}), ("svm", {"max_iter": 5})])
-def test_models_find_two_classes(rows, name, how):
+@pytest.mark.parametrize(("name", "how"), [("kmeans", {"n_init": 2, "max_iter": 10}), ("gmm", {"max_iter": 100}), ("hmm", {"temporal_window_samples": 60, "N_iters": 5}), ("hmm", {"temporal_window_samples": 60, "N_iters": 5, "covariance": "full"}), ("rf", {"n_estimators": 5, "max_samples": 0.5, "max_depth": 4}), ("dt", {"max_depth": 4}), ("svm", {"max_iter": 5}), ("kmeans", {"n_init": 1, "max_iter": 10, "whiten": True, "n_components": 1})])
+def test_models_find_two_classes(rows, tmp_path, name, how):
     m = models.model(name, 2, 0, **how).fit(rows)
     out = m.predict(rows)
     assert out.count() == rows.count() and agreement(out) > 0.95
     if name in ("rf", "dt", "svm"):
         assert out.where("label = pred").count() > 0.95 * rows.count()
+    m.save(str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m")).predict(rows)
+    assert {(r.clip_id, r.t): r.pred for r in again.collect()} == {(r.clip_id, r.t): r.pred for r in out.collect()}
 
 
 def test_random_is_stable(rows):

@@ -30,10 +30,15 @@ def annotated(frames: DataFrame, unknown: int = 0) -> DataFrame:
 
 
 def assign_split(frames: DataFrame, clips: DataFrame, folds: dict[str, list[int]]) -> DataFrame:
-    """split of each row by its clip's fold; test is looked up first, then val, then train. clips: clip_id, fold (a row a clip)."""
+    """split of each row by its clip's fold; test is looked up first, then val, then train. clips: clip_id, fold (a row a clip).
+
+    A row whose clip is unknown, or in none of the folds, ends the job with an error; use checked() to see all such clips first.
+    """
     f = F.col("fold")
     named = F.when(f.isin(folds["test"] or [-1]), "test").when(f.isin(folds["val"] or [-1]), "val").when(f.isin(folds["train"] or [-1]), "train")
-    return frames.join(clips.select("clip_id", named.alias("split")), "clip_id")
+    joined = frames.join(clips.select("clip_id", named.alias("split")), "clip_id", "left")
+    missing = F.raise_error(F.concat(F.lit("clip without a split: "), F.coalesce(F.col("clip_id").cast("string"), F.lit("null"))))
+    return joined.withColumn("split", F.coalesce("split", missing))
 
 
 def unmatched_clips(frames: DataFrame, clips: DataFrame) -> DataFrame:

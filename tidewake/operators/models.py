@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -17,7 +18,9 @@ from .signal import Whitening
 
 
 class BehaviourModel:
-    """A model's settings, its fit, and predict(), which adds an int column pred. save() keeps what Spark ML can write."""
+    """A model's settings, its fit, and predict(), which adds an int column pred. save() writes all that load() needs."""
+
+    name = ""
 
     def __init__(self, clusters: int, seed: int = 0, **settings: Any):
         self.clusters, self.seed, self.settings = clusters, seed, settings
@@ -28,8 +31,27 @@ class BehaviourModel:
     def predict(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def save(self, path: str) -> None:
-        self.fitted.write().overwrite().save(path)
+    def _state(self) -> dict[str, Any]:
+        """What a fit found, but for Spark ML's own models, as lists and numbers."""
+        return {}
+
+    def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        pass
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """Write the settings and what was fitted below path, wherever Spark can write."""
+        spark = spark or SparkSession.active()
+        about = {"name": self.name, "clusters": self.clusters, "seed": self.seed, "settings": self.settings, "state": self._state()}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(path: str, spark: SparkSession | None = None) -> BehaviourModel:
+    """The model that save() wrote."""
+    spark = spark or SparkSession.active()
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    m = model(about["name"], about["clusters"], about["seed"], **about["settings"])
+    m._restore(about["state"], spark, path)
+    return m
 
 
 class Random(BehaviourModel):
@@ -50,6 +72,17 @@ class _Ml(BehaviourModel):
     def _prepare(self, rows: DataFrame) -> DataFrame:
         return rows
 
+    def _kind(self) -> type:
+        """The class of what Spark ML fitted."""
+        raise NotImplementedError
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        super().save(path, spark)
+        self.fitted.write().overwrite().save(f"{path}/fitted")
+
+    def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        self.fitted = self._kind().load(f"{path}/fitted")
+
 
 class KMeans(_Ml):
     """The best of n_init starts by cost, on whitened features if wanted."""
@@ -70,14 +103,43 @@ class KMeans(_Ml):
     def _prepare(self, rows: DataFrame) -> DataFrame:
         return self.white.transform(rows) if self.white else rows
 
+    def _kind(self) -> type:
+        from pyspark.ml.clustering import KMeansModel
+
+        return KMeansModel
+
+    def _state(self) -> dict[str, Any]:
+        return {"matrix": self.white.matrix.tolist()} if self.white else {}
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        super().save(path, spark)
+        if self.white:
+            self.white.scaler.write().overwrite().save(f"{path}/scaler")
+
+    def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        from pyspark.ml.feature import StandardScalerModel
+
+        super()._restore(state, spark, path)
+        if state:
+            self.white = Whitening(self.settings.get("n_components", "mle"))
+            self.white.matrix, self.white.scaler = np.array(state["matrix"]), StandardScalerModel.load(f"{path}/scaler")
+
 
 class Gmm(_Ml):
+    """The best of n_init starts by likelihood."""
+
     def fit(self, rows: DataFrame) -> Gmm:
         from pyspark.ml.clustering import GaussianMixture
 
-        self.fitted = GaussianMixture(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed).fit(rows)
+        starts = [GaussianMixture(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s).fit(rows) for s in range(self.settings.get("n_init", 1))]
+        self.fitted = max(starts, key=lambda m: m.summary.logLikelihood)
         return self
 
+    def _kind(self) -> type:
+        from pyspark.ml.clustering import GaussianMixtureModel
+
+        return GaussianMixtureModel
+
 
 class _Supervised(_Ml):
     """Fits on rows weighted so that classes count alike; labels are class indexes with unknown 0."""
@@ -95,32 +157,61 @@ class _Supervised(_Ml):
         return super().predict(rows).withColumn("pred", F.col("pred") + 1)
 
 
+def _least_rows(settings: dict[str, Any]) -> int:
+    """Rows of a child, at least: half of what a node must have to be split, as Spark sets a bound on children only."""
+    return max(1, -(-int(settings.get("min_samples_split", 2)) // 2))
+
+
 class Forest(_Supervised):
     def _estimator(self):
         from pyspark.ml.classification import RandomForestClassifier
 
-        return RandomForestClassifier(numTrees=self.settings.get("n_estimators", 100), subsamplingRate=self.settings.get("max_samples", 0.1), maxDepth=self.settings.get("max_depth", 15), minInstancesPerNode=1, weightCol="_w", seed=self.seed)
+        s = self.settings
+        return RandomForestClassifier(numTrees=s.get("n_estimators", 100), subsamplingRate=s.get("max_samples", 0.1), maxDepth=s.get("max_depth", 30), minInstancesPerNode=_least_rows(s), weightCol="_w", seed=self.seed)
+
+    def _kind(self) -> type:
+        from pyspark.ml.classification import RandomForestClassificationModel
+
+        return RandomForestClassificationModel
 
 
 class Tree(_Supervised):
     def _estimator(self):
         from pyspark.ml.classification import DecisionTreeClassifier
 
-        return DecisionTreeClassifier(maxDepth=self.settings.get("max_depth", 30), weightCol="_w", seed=self.seed)
+        return DecisionTreeClassifier(maxDepth=self.settings.get("max_depth", 30), minInstancesPerNode=_least_rows(self.settings), weightCol="_w", seed=self.seed)
+
+    def _kind(self) -> type:
+        from pyspark.ml.classification import DecisionTreeClassificationModel
+
+        return DecisionTreeClassificationModel
 
 
 class Svm(_Supervised):
-    """One linear machine a class; its loss is the plain hinge."""
+    """One linear machine a class; its loss is the plain hinge. regularization_parameter weighs the sum of losses against half the squared weights,
+    so Spark's regParam, which weighs the latter against the mean loss, is one over it and the rows."""
+
+    def fit(self, rows: DataFrame) -> Svm:
+        self.rows = max(1, rows.count())
+        return super().fit(rows)
 
     def _estimator(self):
         from pyspark.ml.classification import LinearSVC, OneVsRest
 
-        return OneVsRest(classifier=LinearSVC(maxIter=self.settings.get("max_iter", 1000), regParam=self.settings.get("reg", 1e-4)), weightCol="_w")
+        return OneVsRest(classifier=LinearSVC(maxIter=self.settings.get("max_iter", 1000), regParam=1.0 / (self.settings.get("regularization_parameter", 1.0) * self.rows)), weightCol="_w")
+
+    def _kind(self) -> type:
+        from pyspark.ml.classification import OneVsRestModel
+
+        return OneVsRestModel
 
 
 def _log_normal(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Log densities of rows under each state. var: variances (states x features), or whole covariances (states x features x features)."""
     d = x[:, None, :] - mean[None]
-    return -0.5 * ((d * d / var[None]).sum(2) + np.log(2 * math.pi * var).sum(1)[None])
+    if var.ndim == 2:
+        return -0.5 * ((d * d / var[None]).sum(2) + np.log(2 * math.pi * var).sum(1)[None])
+    return -0.5 * (np.einsum("nki,kij,nkj->nk", d, np.linalg.inv(var), d) + np.linalg.slogdet(2 * math.pi * var)[1][None])
 
 
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -145,50 +236,62 @@ def viterbi(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray
 
 
 class Hmm(BehaviourModel):
-    """A diagonal Gaussian hidden Markov model: expectations by chunks of W rows in Spark tasks, sums to the driver, maximisation there.
+    """A Gaussian hidden Markov model, of diagonal or full covariance: expectations by chunks of temporal_window_samples rows in Spark tasks, summed there,
+    maximisation on the driver.
 
-    Whole chunks of a clip train (a rest is dropped); prediction is Viterbi over whole clips. Starts from k-means.
+    Whole chunks of a clip train (a rest is dropped); prediction is Viterbi over whole clips. Starts from k-means. What is maximised has a
+    Dirichlet prior on the first states and on each row of moves, and a normal-inverse-gamma (or Wishart) one on emissions.
     """
 
+    FIRST = 1.1  # fixed value: the concentration of first states
+
     def fit(self, rows: DataFrame) -> Hmm:
-        w, k, s = self.settings.get("W", 2500), self.clusters, self.settings
+        s, k = self.settings, self.clusters
+        w, full = s.get("temporal_window_samples", 2500), s.get("covariance", "diagonal") == "full"
         start = KMeans(k, self.seed, n_init=1, max_iter=20).fit(rows)
         mean = np.array(start.fitted.clusterCenters())
-        stat = rows.agg(F.count("*").alias("n")).first()["n"]
-        if not stat:
+        if rows.isEmpty():
             raise ValueError("no rows")
+        from pyspark.ml.functions import array_to_vector, vector_to_array
         from pyspark.ml.stat import Summarizer
 
-        var = np.tile(np.maximum(rows.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray(), 1e-3), (k, 1))
-        self.mean, self.var = mean, var
+        spread = np.maximum(rows.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray(), 1e-3)
+        self.mean, self.var = mean, np.tile(np.diag(spread), (k, 1, 1)) if full else np.tile(spread, (k, 1))
         self.start, self.move = np.full(k, -math.log(k)), np.log(np.full((k, k), 0.1 / k) + 0.9 * np.eye(k))
         self.likelihood: list[float] = []
-        from pyspark.ml.functions import vector_to_array
-
+        d = mean.shape[1]
+        cuts = np.cumsum([1, k, k * k, k, k * d])
         chunks = rows.select("clip_id", F.floor(F.col("t") / w).alias("chunk"), "t", vector_to_array("features").alias("x")).groupBy("clip_id", "chunk")
         for _ in range(s.get("N_iters", 50)):
-            got = chunks.applyInPandas(self._expect(w), "part array<double>").toPandas()["part"]  # a row of k * (k + 2 d + 2) + 1 sums for each chunk
-            if not len(got):
+            parts = chunks.applyInPandas(self._expect(w), "part array<double>").select(array_to_vector("part").alias("part"))
+            got = parts.agg(F.count("*").alias("n"), Summarizer.sum(F.col("part")).alias("part")).first()  # summed by the tasks
+            if not got["n"]:
                 raise ValueError("no clip has a whole chunk")
-            total = np.sum(np.stack(got.to_list()), axis=0)
+            total = got["part"].toArray()
             if np.isnan(total).any():
                 raise ValueError("the likelihood is not a number")
-            d = mean.shape[1]
-            like, a, b, g, gx, gxx = total[0], total[1 : 1 + k], total[1 + k : 1 + k + k * k].reshape(k, k), total[1 + k + k * k : 1 + 2 * k + k * k], total[1 + 2 * k + k * k : 1 + 2 * k + k * k + k * d].reshape(k, d), total[-k * d :].reshape(k, d)
-            self.likelihood.append(float(like))
-            p = np.maximum(a + s.get("initial_concentration", 1.1) - 1, 1e-10)
+            like, a, b, g, gx, gxx = np.split(total, cuts)
+            b, gx = b.reshape(k, k), gx.reshape(k, d)
+            self.likelihood.append(float(like[0]))
+            p = np.maximum(a + self.FIRST - 1, 1e-10)
             self.start = np.log(p / p.sum())
-            q = np.maximum(b + s.get("transition_concentration", 0.1), 1e-10)
+            q = np.maximum(b + s.get("matrix_concentration", 1.1) - 1, 1e-10)
             self.move = np.log(q / q.sum(1, keepdims=True))
-            c = s.get("mean_concentration", 0.1)
+            c, scale = s.get("mean_concentration", 0.1), s.get("cov_scale", 0.1)
             self.mean = gx / np.maximum(g + c, 1e-10)[:, None]
-            self.var = np.maximum((gxx - 2 * self.mean * gx + self.mean**2 * g[:, None] + s.get("covariance_scale", 0.1)) / np.maximum(g + s.get("covariance_df", 0.1), 1e-10)[:, None], 1e-6)
+            if full:  # the mode of the inverse Wishart: scatter about the mean, with the prior's scale
+                scatter = gxx.reshape(k, d, d) - (g + c)[:, None, None] * np.einsum("ki,kj->kij", self.mean, self.mean) + scale * np.eye(d)
+                self.var = scatter / (g + s.get("cov_df", 0.1) + 2 * d + 2)[:, None, None] + 1e-6 * np.eye(d)
+            else:  # of the inverse gamma
+                scatter = gxx.reshape(k, d) - (g + c)[:, None] * self.mean**2
+                self.var = np.maximum((scale + scatter / 2) / (s.get("cov_concentration", 0.1) + g / 2 + 1.5)[:, None], 1e-6)
             if len(self.likelihood) > 1 and abs(self.likelihood[-1] - self.likelihood[-2]) < 1e-6 * abs(self.likelihood[-1]):
                 break
         return self
 
     def _expect(self, w: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         start, move, mean, var = self.start, self.move, self.mean, self.var
+        square = "nk,ni,nj->kij" if var.ndim == 3 else "nk,ni,ni->ki"
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             if len(pdf) < w:
@@ -207,7 +310,7 @@ class Hmm(BehaviourModel):
             pair = np.zeros((k, k))
             for t in range(n - 1):
                 pair += np.exp(fwd[t][:, None] + move + (emit[t + 1] + bwd[t + 1])[None] - like)
-            return pd.DataFrame({"part": [np.concatenate(([like], gamma[0], pair.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel())).tolist()]})
+            return pd.DataFrame({"part": [np.concatenate(([like], gamma[0], pair.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), np.einsum(square, gamma, x, x).ravel())).tolist()]})
 
         return run
 
@@ -224,8 +327,12 @@ class Hmm(BehaviourModel):
         pred = rows.select("clip_id", "t", vector_to_array("features").alias("x")).groupBy("clip_id").applyInPandas(run, kind)
         return rows.join(pred, ["clip_id", "t"])
 
-    def save(self, path: str) -> None:
-        raise NotImplementedError("write the arrays start, move, mean, var")
+    def _state(self) -> dict[str, Any]:
+        return {x: getattr(self, x).tolist() for x in ("start", "move", "mean", "var")}
+
+    def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        for x, v in state.items():
+            setattr(self, x, np.array(v))
 
 
 def _absent(name: str, needs: str) -> Callable[..., BehaviourModel]:
@@ -242,7 +349,9 @@ MODELS: dict[str, Callable[..., BehaviourModel]] = {"random": Random, "kmeans":
 def model(name: str, clusters: int, seed: int = 0, **settings: Any) -> BehaviourModel:
     if name not in MODELS:
         raise ValueError(f"unknown model: {name}")
-    return MODELS[name](clusters, seed, **settings)
+    made = MODELS[name](clusters, seed, **settings)
+    made.name = name
+    return made
 
 
 def register(name: str, make: Callable[..., BehaviourModel]) -> None:

@@ -11,24 +11,23 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 ID_COLUMNS = ("individual_id", "label")
 
-_WAVELET = {"morlet_w": 10, "n_wavelets": 25, "C_min": None, "C_max": 100, "per_channel_normalize": False}
-_WINDOWED = {"context_window_sec": 1, "feature_set": "nathan2012", "downsample": 0, "downsizing_factor": 1, "batch_size": 100} | _WAVELET
 _COMMON = {"static_acc_cutoff_freq": 0, "balance_classes": False, "low_data_setting": False, "seed": 0}
 
-#: A model's settings where a run gives none.
+# A model's settings where a run gives none, under the names that users' files have.
+_CLASSIC = {"normalize": False, "wavelet_transform": False, "feature_set": "nathan2012", "morlet_w": 10.0, "n_wavelets": 25, "downsample": 0, "downsizing_factor": 1, "batch_size": 100, "C_min": None, "C_max": 100, "per_channel_normalize": False}
 DEFAULTS: dict[str, dict[str, Any]] = {
-    "rf": _WINDOWED | {"n_estimators": 100, "max_samples": 0.1, "min_samples_split": 2, "class_weight": "balanced", "n_jobs": 1},
-    "dt": _WINDOWED | {"min_samples_split": 2, "class_weight": "balanced"},
-    "svm": _WINDOWED | {"max_iter": 1000, "C": 1.0, "intercept_scaling": 1.0, "class_weight": "balanced"},
-    "kmeans": _WAVELET | {"max_iter": 100, "n_init": 10, "whiten": True, "n_components": "mle", "morlet_w": 5, "downsample": 1},
+    "rf": {"context_window_sec": 1, "min_samples_split": 2, "max_samples": 0.1, "n_jobs": 1, "n_estimators": 100, "class_weight": "balanced"} | _CLASSIC,
+    "dt": {"context_window_sec": 1, "min_samples_split": 2, "class_weight": "balanced"} | _CLASSIC,
+    "svm": {"context_window_sec": 1, "min_samples_split": 2, "max_iter": 1000, "regularization_parameter": 1.0, "intercept_scaling": 1.0, "class_weight": "balanced"} | _CLASSIC,
+    "kmeans": {"max_iter": 100, "n_init": 10, "whiten": True, "n_components": "mle", "wavelet_transform": False, "morlet_w": 5.0, "n_wavelets": 25, "downsample": 1},
     "gmm": {"max_iter": 100, "n_init": 1, "downsample": 1},
-    "hmm": _WAVELET | {"W": 2500, "N_iters": 50, "diagonal": True, "initial_concentration": 1.1, "transition_concentration": 0.1, "mean_concentration": 0.1, "covariance_scale": 0.1, "covariance_df": 0.1, "morlet_w": 5},
-    "random": {},
-    "umapper": _WAVELET | {"morlet_w": 5, "n_neighbors": 16, "min_dist": 0.1, "downsample": 4, "image_size": 2048, "border": 48, "n_trials": 10},
-    "iic": {"lr": 1e-4, "n_train_steps": 10_000, "hidden_size": 8, "W": 512, "batch_size": 32, "context_window_sec": 5, "conv_depth": 2, "ker_size": 7, "n_heads": 1},
-    "vame": {"batch_size": 256, "n_train_steps": 20_000, "beta": 1, "zdims": 30, "lr": 5e-4, "time_window_sec": 1, "kmeans_lambda": 0.1, "whiten": True},
-    "CRNN": {"lr": 0.01, "weight_decay": 1e-3, "n_epochs": 100, "hidden_size": 64, "W": 512, "batch_size": 512, "conv_depth": 2, "ker_size": 7, "gru_depth": 1, "gru_hidden_size": 32, "downsizing_factor": 128},
-    "harnet": {"lr": 1e-4, "W": 512, "batch_size": 512, "normalize": True, "harnet_version": "harnet30", "freeze_encoder": True, "load_pretrained_weights": True},
+    "hmm": {"temporal_window_samples": 2500, "N_iters": 50, "covariance": "diagonal", "matrix_concentration": 1.1, "mean_concentration": 0.1, "cov_scale": 0.1, "cov_df": 0.1, "cov_concentration": 0.1, "wavelet_transform": False, "morlet_w": 5.0, "n_wavelets": 25, "downsample": 1},
+    "random": {"placeholder": True},
+    "umapper": {"morlet_w": 5.0, "n_neighbors": 16, "min_dist": 0.1, "downsample": 4, "n_wavelets": 25, "image_border": 48, "image_size": 2048, "n_watershed_trials": 10},
+    "iic": {"lr": 0.0001, "weight_decay": 0, "n_train_steps": 10000, "hidden_size": 8, "temporal_window_samples": 512, "batch_size": 32, "dropout": 0, "jitter_scale": 0, "blur_scale": 0, "context_window_samples": 5, "conv_depth": 2, "ker_size": 7, "dilation": 1, "n_heads": 1},
+    "vame": {"batch_size": 256, "n_train_steps": 20000, "beta": 1, "zdims": 30, "learning_rate": 0.0005, "time_window_sec": 1.0, "prediction_decoder": 1, "prediction_sec": 0.5, "scheduler": 1, "scheduler_step_size": 100, "scheduler_gamma": 0.2, "kmeans_lambda": 0.1, "whiten": True, "prediction_downsample": 1},
+    "CRNN": {"downsizing_factor": 128, "lr": 0.01, "weight_decay": 0.001, "n_epochs": 100, "hidden_size": 64, "temporal_window_samples": 512, "batch_size": 512, "dropout": 0, "rescale_param": 0, "jitter_scale": 0, "blur_scale": 0, "conv_depth": 2, "sparse_annotations": False, "ker_size": 7, "dilation": 1, "gru_depth": 1, "gru_hidden_size": 32, "normalize": False, "wavelet_transform": False, "morlet_w": 1.0, "n_wavelets": 25, "C_min": None, "C_max": 100, "per_channel_normalize": False},
+    "harnet": {"downsizing_factor": 128, "lr": 0.0001, "weight_decay": 0, "n_epochs": 100, "temporal_window_samples": 512, "batch_size": 512, "dropout": 0, "rescale_param": 0, "jitter_scale": 0, "blur_scale": 0, "sparse_annotations": False, "normalize": True, "harnet_version": "harnet30", "freeze_encoder": True, "load_pretrained_weights": True},
 }
 #: Models without labels in their fit.
 UNSUPERVISED = frozenset({"kmeans", "gmm", "hmm", "random", "umapper", "iic", "vame"})
@@ -49,12 +48,13 @@ KEPT_CUTOFF = {
 }
 _ACC = ("AccX", "AccY", "AccZ")
 NO_GYRO = {
-    "friedlaender_whales": (*_ACC, "Depth", "Speed"),
-    "pagano_bears": (*_ACC, "Wetdry"),
-    "jeantet_turtles": (*_ACC, "Depth"),
-    "ladds_seals": (*_ACC, "Depth"),
-    "vehkaoja_dogs": tuple(f"{a}_{place}" for place in ("Back", "Neck") for a in _ACC),
+    "friedlaender_whales": ("AccX", "AccY", "AccZ", "Depth", "Speed"),
+    "pagano_bears": ("AccX", "AccY", "AccZ", "Wetdry"),
+    "jeantet_turtles": ("AccX", "AccY", "AccZ", "Depth"),
+    "ladds_seals": ("AccX", "AccY", "AccZ", "Depth"),
+    "vehkaoja_dogs": ("AccX_Back", "AccY_Back", "AccZ_Back", "AccX_Neck", "AccY_Neck", "AccZ_Neck"),
 }
+DATASETS = ("baglione_crows", "jeantet_turtles", "pagano_bears", "maekawa_gulls", "HAR", "friedlaender_whales", "ladds_seals", "vehkaoja_dogs", "desantis_rattlesnakes")
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,6 @@ class Metadata:
 
 
 
-
 def with_defaults(run: Mapping[str, Any]) -> dict[str, Any]:
     """A run's settings over the defaults; given values win, also inside model_config."""
     name = implementation(run["model"])
@@ -159,20 +158,22 @@ def cutoffs(model: str, dataset: str, no_cutoff: bool = False) -> list[float]:
 
 
 def model_grid(model: str, dataset: str) -> dict[str, list[Any]]:
-    """Values of model_config that a sweep tries; an empty grid is the defaults alone."""
+    """Values of model_config that a sweep tries, single ones too; an empty grid is the defaults alone."""
+    family, _, classic = model.rpartition("_")
+    jobs = {"n_jobs": [24]} if model in ("rf", "wavelet_rf") else {}
+    wave = {"morlet_w": [float(x) for x in MORLET], "C_max": [float(x) for x in LONGEST]}
     if model in ("rf", "dt", "svm"):
-        return {"context_window_sec": [c for c in CONTEXTS if not (dataset == "vehkaoja_dogs" and c == 16)]}
-    wave = {"morlet_w": list(MORLET), "C_max": list(LONGEST), "n_wavelets": [15], "per_channel_normalize": [True]}
-    if model in ("wavelet_rf", "wavelet_dt", "wavelet_svm"):
-        return wave
-    if model in ("CNN", "CRNN"):
-        return {"lr": list(RATES), "dilation": list(DILATIONS), "W": [WINDOW_CONV.get(dataset, 2048)], "gru_depth": [0 if model == "CNN" else 1]}
-    if model in ("RNN", "wavelet_RNN"):
-        own = {"lr": list(RATES), "conv_depth": [0], "W": [WINDOW_GRU.get(dataset, 900)]}
-        return own | wave if model == "wavelet_RNN" else own
+        return {"context_window_sec": [c for c in CONTEXTS if not (dataset == "vehkaoja_dogs" and c == 16)], "class_weight": ["balanced"], "feature_set": ["nathan2012"]} | jobs
+    if family == "wavelet" and classic in ("rf", "dt", "svm"):
+        return {"context_window_sec": [8], "class_weight": ["balanced"], "feature_set": ["wavelet"], "wavelet_transform": [True], "whiten": [False], "C_min": [None], "n_wavelets": [15], "per_channel_normalize": [True]} | wave | jobs
+    convolved = model in ("CNN", "CRNN")
+    w = (WINDOW_CONV.get(dataset, 2048) if convolved else WINDOW_GRU.get(dataset, 900))
+    trained = {"downsizing_factor": [w // 2], "lr": list(RATES), "weight_decay": [0], "n_epochs": [100], "temporal_window_samples": [w], "batch_size": [32], "sparse_annotations": [True], "gru_hidden_size": [64]}
+    if convolved or model in ("RNN", "wavelet_RNN"):
+        own = {"hidden_size": [64], "conv_depth": [2 if convolved else 0], "ker_size": [7], "dilation": list(DILATIONS) if convolved else [1], "gru_depth": [0 if model == "CNN" else 1], "n_wavelets": [15], "C_min": [None], "per_channel_normalize": [True]}
+        return trained | own | ({"wavelet_transform": [True]} | wave if model == "wavelet_RNN" else {"wavelet_transform": [False], "morlet_w": [1.0], "C_max": [100.0]})
     if model.startswith("harnet"):
-        short = dataset in WINDOW_GRU
-        return {"lr": list(RATES), "W": [150 if short else 900], "harnet_version": ["harnet5" if short else "harnet30"], "freeze_encoder": [model == "harnet"], "load_pretrained_weights": [model != "harnet_random"]}
+        return trained | {"harnet_version": ["harnet5" if dataset in WINDOW_GRU else "harnet30"], "freeze_encoder": [model == "harnet"], "load_pretrained_weights": [model != "harnet_random"]}
     return {}
 
 
@@ -186,7 +187,7 @@ def sweep(model: str, dataset: str, dataset_dir: str, output: str, no_cutoff: bo
     """Settings of every run of a sweep, which is on fold 0 with seed 0. Points that a feature set can't use are marked with a reason."""
     runs = []
     for point in expand({"static_acc_cutoff_freq": cutoffs(model, dataset, no_cutoff), **{f"model_config.{k}": v for k, v in model_grid(model, dataset).items()}}):
-        run: dict[str, Any] = {"model": implementation(model), "dataset_dir": dataset_dir, "output_parent_dir": output, "experiment_name": f"{model}_{len(runs)}", "test_folds": [0], "seed": 0, "low_data_setting": low_data, "balance_classes": balance, "model_config": {}}
+        run: dict[str, Any] = {"model": implementation(model), "dataset_dir": dataset_dir, "output_parent_dir": output, "experiment_name": f"{model}_hyperparameter_selection_{len(runs)}", "test_folds": [0], "seed": 0, "low_data_setting": low_data, "balance_classes": balance, "model_config": {}}
         for k, v in point.items():
             if k.startswith("model_config."):
                 run["model_config"][k.partition(".")[2]] = v
@@ -205,8 +206,18 @@ def final_runs(best: Mapping[str, Any], n_folds: int = 5) -> list[dict[str, Any]
     return [dict(best) | {"test_folds": [k], "seed": k, "experiment_name": f"fold_{k}"} for k in range(1, n_folds)]
 
 
-def ablations(datasets: Sequence[str]) -> list[dict[str, Any]]:
-    """The matrix of experiments: every model on every dataset, then the settings that are varied."""
-    full = [{"model": m, "dataset": d} for d in datasets for m in ("rf", "dt", "svm", "wavelet_rf", "CNN", "CRNN", "RNN", "harnet", "harnet_unfrozen", "harnet_random")]
-    varied = [{"model": m, "dataset": d, **{flag: True}} for d in datasets for m in ("rf", "CRNN", "harnet") for flag in ("low_data", "no_cutoff", "no_gyro", "balance")]
-    return full + varied
+def ablations(datasets: Sequence[str] = DATASETS) -> list[dict[str, Any]]:
+    """The matrix of ablation experiments, in order: models without gyroscopes and with kept cut-offs, on all data and on little; wavelet_RNN without
+    gyroscopes on little data, its cut-offs swept; two models with all channels and kept cut-offs on little data. All resume."""
+
+    def runs(models: Sequence[str], low: Sequence[bool], no_gyro: bool, no_cutoff: bool) -> list[dict[str, Any]]:
+        return [
+            {"experiment_name": f"{d}_{m}" + "_low_data" * x + "_nogyr" * no_gyro, "model": m, "dataset": d, "no_gyro": no_gyro, "no_cutoff": no_cutoff, "low_data": x, "resume": True}
+            for m, x, d in product(models, low, datasets)
+        ]
+
+    return [
+        *runs(("CRNN", "harnet", "harnet_unfrozen", "harnet_random", "RNN", "rf"), (False, True), True, True),
+        *runs(("wavelet_RNN",), (True,), True, False),
+        *runs(("CRNN", "rf"), (True,), False, True),
+    ]

@@ -571,7 +571,7 @@ def model_hmm(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     f = events(spark, d).select("clip_id", "t", "label", array_to_vector(F.array("value")).alias("features"))
-    m = models.model("hmm", 4, 0, W=8).fit(f)
+    m = models.model("hmm", 4, 0, temporal_window_samples=8).fit(f)
     return m.predict(f).select("clip_id", "t", "label", "pred")
 
 
