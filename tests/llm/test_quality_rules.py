@@ -56,3 +56,28 @@ def test_rules_are_ordered_conditions(spark):
     rules = [q.Rule((q.Term("symbols_per_word", True, 0.5),), 1, 1), q.Rule((q.Term("word_length", False, 2.0), q.Term("upper_share", True, 0.9)), 1, 1)]
     d = frame(spark, [(1, "# # # # # a", "", "", 0, 0, ""), (2, "AB CD", "", "", 0, 0, ""), (3, "abc def", "", "", 0, 0, "")])
     assert {r.doc_id: r.v for r in q.statistics(d).select("doc_id", q.verdict(rules).alias("v")).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_columns_with_the_names_of_working_columns_stay(spark):
+    d = spark.createDataFrame([(1, "some words here", 5, "x", 9, "y")], "doc_id long, text string, _h int, _line string, _row int, _at string")
+    r = q.quality(d, []).first()
+    assert (r._h, r._line, r._row, r._at, r.n_words) == (5, "x", 9, "y", 3)
+
+
+def test_held_out_verdicts(spark):
+    """Rules fitted on two thirds of labelled rows, judged on a third that the fit has not seen."""
+    import random
+
+    from helpers import prose
+
+    rng, rows = random.Random(13), []
+    for k in range(900):
+        bad = k % 3 == 0
+        t = prose(rng, rng.randint(30, 90))
+        if bad:
+            t = " ".join(w + rng.choice(["", " #", " $$", " |"]) for w in t.split())
+        rows.append((k, t, int(not bad)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    rules = q.fit(d.where("doc_id % 9 < 6"), d.where("doc_id % 9 < 6").select("doc_id", "quality"))
+    got = q.quality(d.where("doc_id % 9 >= 6"), rules).select("quality", "kept").collect()
+    assert sum(r.kept == bool(r.quality) for r in got) >= 0.95 * len(got)

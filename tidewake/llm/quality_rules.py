@@ -60,8 +60,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     Columns of docs with these names are replaced. A window's repeats are found by 64-bit hashes of its words, within a document.
     """
-    window, text = 8, F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.withColumn("_line", F.trim(F.regexp_replace(text, f"[{SPACE}]+", " ")))
+    window, text = 8, F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
+    # the row is one column, so no name of its own can clash with ours
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).withColumn("_line", F.trim(F.regexp_replace(text, f"[{SPACE}]+", " ")))
     d = d.withColumn("_words", F.when(F.col("_line") == "", F.array().cast("array<string>")).otherwise(F.split("_line", " ")))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     # hashes of runs of 1, 2, 4 and 8 words, each from two of the size before
@@ -73,15 +74,19 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_lines", lines)
     kept = lambda c, chars: F.length(F.regexp_replace(c, f"[^{chars}]+", "")).cast("long")
     d = _repeated(d, window).withColumn("_marks", F.regexp_replace(text, f"[^{SYMBOLS}A-Z!?]+", ""))
-    return d.withColumns({
+    found = {
+        "n_words": F.col("n_words"),
         "word_chars": (F.length("_line") - F.greatest(F.col("n_words") - 1, F.lit(0))).cast("long"),
+        "n_repeat_words": F.col("n_repeat_words"),
         "n_symbols": kept("_marks", SYMBOLS),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_upper": kept("_marks", "A-Z"),
         "n_marks": kept("_marks", "!?|"),
         "n_distinct_words": F.size(F.array_distinct("_words")).cast("long"),
-    }).drop("_line", "_words", "_runs", "_lines", "_marks")
+    }
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c not in found]
+    return d.select(*own, *(c.alias(name) for name, c in found.items()))
 
 
 @dataclass(frozen=True)

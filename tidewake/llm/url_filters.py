@@ -22,6 +22,7 @@ U = np.uint64
 
 #: Rules of the query's contract: (verdict, host, path). A rule fits its host and all subdomains where the path begins with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+STATES = 4 << 20  # bytes of a table of states, at most (a row of words for each url of a slice)
 #: Globs that decide where no rule fits: pages without prose of their own.
 GLOBS = ("**/wp-login.php**", "**/cgi-bin/**", "**.exe", "**.zip", "**.css", "**.js")
 
@@ -100,8 +101,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = ShiftAnd(automaton)
         for whole in batches:
-            for k in range(0, whole.num_rows, 4096):  # bounds the state table
-                b = whole.slice(k, 4096)
+            step = max(1, STATES // (8 * auto.words))
+            for k in range(0, whole.num_rows, step):
+                b = whole.slice(k, step)
                 hit = auto.matches(*raw(b.column("_canon")))
                 n = len(ranked)
                 fits = hit[:, 0 : 2 * n : 2] | hit[:, 1 : 2 * n : 2]
