@@ -1,11 +1,13 @@
-"""WARC archives: a writer of JVM-side expressions and a Python data source that reads them.
+"""WARC archives: a Python data source that writes and reads them.
 
-Writing: a record is a string, its header block, an empty line and its payload; Spark's text writer puts the record end (two line
-breaks) after each, so files are committed like any others and on any file system that Spark writes. A payload that other records share
-is stored once, in a `response`; the others are `revisit` records that refer to it and have no block.
+Writing: `df.write.format("warc")`. Each record is a gzip member of its own, so any reader of such archives can begin at any record. The
+member's length stands in its header (the extra field `sl`), so a record can be passed over without being inflated. Files are begun
+anew at PARTITION bytes, written under a name that readers pass over, and get their own when the job commits. A payload that other records share is
+stored once, in a `response`; the others are `revisit` records that refer to it and have no block.
 
-Reading: `spark.read.format("warc")`. Files are planned into partitions by their bytes. A record's header block is parsed first; records
-whose type or headers fail a pushed predicate are skipped by their Content-Length, and so are all payloads if payloads are not wanted.
+Reading: `spark.read.format("warc")`. Files are planned into partitions by their bytes. A record's header block is parsed first, from the first
+inflated bytes of its member; records whose type or headers fail a pushed predicate are skipped, and so are all payloads if payloads are
+not wanted. Archives without lengths, compressed as a whole or not at all, are read from end to end.
 """
 
 from __future__ import annotations
@@ -14,12 +16,17 @@ import base64
 import contextlib
 import gzip
 import hashlib
-from collections.abc import Iterator, Sequence
+import io
+import struct
+import uuid
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from .common import new_folder
 
@@ -54,32 +61,92 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     return p.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_last"))}).drop("_last")
 
 
-def _clean(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\r\n]", "%0A")
+def _system(path: str):
+    """The file system of a path, and the path on it."""
+    from pyarrow import fs
 
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if rest else path
+    return fs.FileSystem.from_uri(path)
+
+
+def _member(data: bytes) -> bytes:
+    """A gzip member that tells its own length."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    size = 10 + 2 + 12 + len(body) + 8
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _record(page_id: int | None, url: str | None, payload: str, digest: str, size: int, kind: str, refers_to: int | None) -> bytes:
+    own = kind == "response"
+    lines = [
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", None if page_id is None else f"<urn:page:{page_id}>"),
+        ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Target-URI", None if url is None else url.replace("\r", "%0A").replace("\n", "%0A")),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Profile", None if own else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        ("WARC-Refers-To", None if own else f"<urn:page:{refers_to}>"),
+        ("X-Payload-Length", str(size)),
+        ("Content-Type", "text/html; charset=utf-8"),
+        ("Content-Length", str(size if own else 0)),
+    ]
+    head = "".join(f"{k}: {v}{END}" for k, v in lines if v is not None)
+    return f"WARC/1.1{END}{head}{END}{payload if own else ''}{END}{END}".encode()
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+        self.most = int(options.get("partitionbytes", PARTITION))
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write what plan_records() gives as archives below path, each compressed as a whole (or with "none" not)."""
-
-    def line(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END))).otherwise("")
-
-    own = F.col("record_type") == "response"
-    head = F.concat(
-        F.lit("WARC/1.1" + END),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.when(F.col("page_id").isNotNull(), F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")))),
-        line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        line("WARC-Target-URI", _clean(F.col("url"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("WARC-Profile", F.when(~own, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        line("WARC-Refers-To", F.when(~own, F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
-        line("X-Payload-Length", F.col("payload_bytes")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(own, F.col("payload_bytes")).otherwise(F.lit(0))),
-        F.lit(END),
-    )
-    records.select(F.concat(head, F.when(own, F.col("payload")).otherwise("")).alias("value")).write.option("lineSep", END + END).option("compression", compression).text(path)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        system, at = _system(self.path)
+        system.create_dir(at, recursive=True)
+        names, out, size = [], None, 0
+        try:
+            for b in batches:
+                for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to")), strict=True):
+                    if out is None:
+                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        out, size = system.open_output_stream(f"{at}/_{names[-1]}", compression=None), 0
+                    member = _member(_record(*row))
+                    out.write(member)
+                    size += len(member)
+                    if size >= self.most:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, at = _system(self.path)
+        system.create_dir(at, recursive=True)
+        for m in messages:
+            for name in m.names if m else ():
+                system.move(f"{at}/_{name}", f"{at}/{name}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, at = _system(self.path)
+        for m in messages:
+            for name in m.names if m else ():
+                with contextlib.suppress(OSError):
+                    system.delete_file(f"{at}/_{name}")
+
+
+def write_warc(records: DataFrame, path: str, partition_bytes: int = PARTITION) -> None:
+    """Write what plan_records() gives as archives below path, a member for each record."""
+    records.sparkSession.dataSource.register(WarcSource)
+    records.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to").write.format("warc").option("partitionBytes", str(partition_bytes)).mode("append").save(path)
 
 
 def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -98,18 +165,79 @@ class Files(InputPartition):
         self.paths = paths
 
 
+def _head(block: bytes) -> dict[str, str]:
+    """Names (in lower case) and values of a header block."""
+    out = {}
+    for x in block.splitlines()[1:]:
+        name, _, value = x.decode().partition(":")
+        out[name.strip().lower()] = value.strip()
+    return out
+
+
+def _streamed(f, path: str) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """The records of an archive without lengths of members. A block is read if asked for, else passed over."""
+    while first := f.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"{path}: no record begins at byte {f.tell() - len(first)}")
+        lines = [first]
+        while (x := f.readline()) not in (b"\r\n", b"\n", b""):
+            lines.append(x)
+        head = _head(b"".join(lines))
+        n = int(head["content-length"])
+        asked: list[bytes] = []
+
+        def block(n=n, asked=asked) -> bytes:
+            asked.append(f.read(n))
+            return asked[0]
+
+        yield head, block
+        f.seek(4 if asked else n + 4, 1)
+
+
+def _members(f, path: str, chunk: int = 4096) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """The records of an archive whose members tell their lengths: only so much of one is inflated as is asked for."""
+    at = 0
+    while fixed := f.read(12):
+        if fixed[:3] != b"\x1f\x8b\x08" or not fixed[3] & 4:
+            raise ValueError(f"{path}: no member with a length begins at byte {at}")
+        extra = f.read(struct.unpack("<H", fixed[10:12])[0])
+        size = struct.unpack("<I", extra[4:8])[0]
+        left = size - 12 - len(extra) - 8
+        d = zlib.decompressobj(-15)
+        raw = f.read(min(chunk, left))
+        left -= len(raw)
+        text = d.decompress(raw)
+        while b"\r\n\r\n" not in text and left:
+            raw = f.read(min(chunk, left))
+            left -= len(raw)
+            text += d.decompress(raw)
+        top, _, rest = text.partition(b"\r\n\r\n")
+        if not top.startswith(b"WARC/"):
+            raise ValueError(f"{path}: no record in the member at byte {at}")
+        head = _head(top)
+
+        def block(d=d, rest=rest, left=left, n=int(head["content-length"])) -> bytes:
+            return (rest + d.decompress(f.read(left)) + d.flush())[:n]
+
+        yield head, block
+        at += size
+        f.seek(at)
+
+
 @contextlib.contextmanager
-def _open(path: str):
-    scheme, _, rest = path.partition(":")
-    with contextlib.ExitStack() as opened:
-        if scheme == "file" or not rest:
-            f = opened.enter_context(open("/" + rest.lstrip("/") if rest else path, "rb"))
+def _records(path: str):
+    """Header blocks of a file's records, each with a function that reads its payload."""
+    system, at = _system(path)
+    with system.open_input_file(at) as f:
+        start = f.read(16)
+        f.seek(0)
+        if start[:2] != b"\x1f\x8b":
+            yield _streamed(io.BufferedReader(f), path)
+        elif len(start) > 13 and start[3] & 4 and start[12:14] == b"sl":
+            yield _members(f, path)
         else:
-            from pyarrow import fs
-
-            system, at = fs.FileSystem.from_uri(path)
-            f = opened.enter_context(system.open_input_file(at))
-        yield opened.enter_context(gzip.GzipFile(fileobj=f)) if path.endswith(".gz") else f
+            with gzip.GzipFile(fileobj=f) as g:
+                yield _streamed(g, path)
 
 
 def _number(header: str | None) -> int | None:
@@ -164,28 +292,18 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in zip(self.names, schema, strict=True)], schema=schema)
 
         for path in partition.paths:
-            with _open(path) as f:
-                while first := f.readline():
-                    if not first.startswith(b"WARC/"):
-                        raise ValueError(f"{path}: no record begins at byte {f.tell() - len(first)}")
-                    head: dict[str, str] = {}
-                    while (x := f.readline()) not in (b"\r\n", b"\n", b""):
-                        name, _, value = x.decode().partition(":")
-                        head[name.strip().lower()] = value.strip()
-                    n = int(head["content-length"])
-                    kind = head["warc-type"]
+            with _records(path) as found:
+                for head, block in found:
+                    kind, n = head["warc-type"], int(head["content-length"])
                     row = {
                         "page_id": _number(head.get("warc-record-id")), "record_type": kind, "target_uri": head.get("warc-target-uri"), "payload": None,
                         "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(head.get("x-payload-length", n)), "refers_to": _number(head.get("warc-refers-to")),
                     }
-                    if not self._fits(row) or not self.payload or kind == "revisit":
-                        f.seek(n + 4, 1)
-                    else:
-                        block = f.read(n)
-                        f.seek(4, 1)
-                        if len(block) != n or base64.b32encode(hashlib.sha1(block).digest()).decode() != row["payload_digest"]:
+                    if self._fits(row) and self.payload and kind != "revisit":
+                        data = block()
+                        if len(data) != n or base64.b32encode(hashlib.sha1(data).digest()).decode() != row["payload_digest"]:
                             raise ValueError(f"{path}: the payload of {row['page_id']} is damaged")
-                        row["payload"] = block.decode()
+                        row["payload"] = data.decode()
                         held += n
                     if self._fits(row):
                         rows.append(row)
@@ -204,6 +322,9 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+
     def reader(self, schema) -> DataSourceReader:
         return WarcReader({k.lower(): v for k, v in self.options.items()}, schema)
 
@@ -222,7 +343,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_by
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the pages (page_id, url, html) as archives in the shared folder and read them back; see plan_records() for nulls and ties."""
-    path = new_folder(pages.sparkSession, "warc")
+    """Write the pages (page_id, url, html) as archives in the shared folder and read them back; see plan_records() for nulls and ties.
+
+    Two reads, each with its predicate pushed: responses with their payloads, which are checked against their digests, and revisits by headers alone.
+    """
+    spark = pages.sparkSession
+    path = new_folder(spark, "warc")
     write_warc(plan_records(pages, least), path)
-    return read_warc(pages.sparkSession, path)
+    return read_warc(spark, path, where="record_type = 'response'").unionByName(read_warc(spark, path, payload=False, where="record_type = 'revisit'"))
