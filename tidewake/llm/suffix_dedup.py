@@ -38,7 +38,8 @@ def owners(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
     if len(data) < length:
         return none, none.view(U), none, none
     h = gram_hashes(data, gram)
-    packed = (h >> U(28) << U(28)) | np.arange(len(h), dtype=U)
+    bits = max(28, len(h).bit_length())
+    packed = (h >> U(bits) << U(bits)) | np.arange(len(h), dtype=U)
     low = sliding_least(packed, length - gram + 1)  # for each string, its leftmost least gram
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     own = text[: len(low)] == text[length - 1 :]
@@ -48,7 +49,7 @@ def owners(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
     stop = np.append(np.flatnonzero(~own[1:] | (low[1:] != low[:-1])), len(low) - 1)
     last = stop[np.searchsorted(stop, first)]
     doc = text[first]
-    return doc, h[(low[first] & U((1 << 28) - 1)).astype(np.int64)], first - at[doc], last - at[doc]
+    return doc, h[(low[first] & U((1 << bits) - 1)).astype(np.int64)], first - at[doc], last - at[doc]
 
 
 def _owner_table(docs: DataFrame, length: int, gram: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16  # characters of a chunk
+CHUNK = 1 << 12  # characters of a chunk; texts of more are spliced
 OVERLAP = 512  # characters that neighbours share at first
 GUARD = 32  # characters before a chunk's end in which boundaries aren't trusted: over the pattern's look-ahead and any special string
 MEMO = 1 << 18  # pieces remembered by a worker
@@ -132,7 +132,7 @@ def count_tokens(text: str, e: Encoder, chunk: int = CHUNK, overlap: int = OVERL
             if place is not None and (place > known or end == len(text)):
                 break
             if at == known and place is None or at == known and place == known:  # one piece fills all that is left of the left chunk: it grows
-                end = min(end + chunk, len(text))
+                end = min(begin + 2 * (end - begin), len(text))  # doubled, so a long piece is encoded a few times its length
                 starts, before = e.offsets(text[begin:end])
                 if end == len(text):
                     place = None
