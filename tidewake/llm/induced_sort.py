@@ -15,7 +15,7 @@ import numpy as np
 
 from .textnum import U, gram_hashes, mix
 
-MEMORY = 64 << 20  # bytes of a queue that stay in memory
+MEMORY = 2 << 20  # bytes of a queue that stay in memory; the rest goes to disk
 SYMBOLS = 4096  # most symbols for which induction by runs pays; larger alphabets are sorted by doubling
 
 

@@ -192,7 +192,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, memory: int = MEMORY, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text), and with_text the bytes left (column kept).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether anything is removed) for each row of docs (doc_id, text), and with_text
+    the bytes left (column kept).
 
     Texts are judged as UTF-8 bytes; null counts as empty. Texts shorter than `length` lose nothing. Copies (repeated rows too) lose all if they are long
     enough, each of them. A spare cut within a character can leave bytes that are no text, so what is left is binary.
@@ -225,6 +226,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "sha256")).alias("kept_sha256"),
+        (all_ | (F.coalesce("gone", F.lit(0)) > 0)).alias("repeated"),
     ]
     if not with_text:
         return out.select(*cols)
