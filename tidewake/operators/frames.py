@@ -66,6 +66,43 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_own", own).join(offset, "clip_id").withColumn("index", F.col("_from") + F.col("_own")).drop("_from", "_own")
 
 
+def upsampled(frames: DataFrame, strided: DataFrame, n: int) -> DataFrame:
+    """clip_id, t, pred for every row of frames from predictions for rows 0, n, 2n, ... of each clip.
+
+    The places of the m predictions are stretched over the clip's rows, and a row takes the one it falls on: floor((t + 1/2) m / rows).
+    """
+    rows = frames.groupBy("clip_id").agg(F.count("*").alias("_n"))
+    m = strided.groupBy("clip_id").agg(F.count("*").alias("_m"))
+    at = F.floor((2 * F.col("t") + 1) * F.col("_m") / (2 * F.col("_n"))).alias("_k")
+    wanted = frames.select("clip_id", "t").join(rows, "clip_id").join(m, "clip_id").select("clip_id", "t", at)
+    return wanted.join(strided.select("clip_id", (F.col("t") / n).cast("long").alias("_k"), "pred"), ["clip_id", "_k"]).select("clip_id", "t", "pred")
+
+
+def raster(points: DataFrame, size: int, border: int, x: str = "x", y: str = "y") -> DataFrame:
+    """row, col, n, density: points counted on a raster of size x size cells, filled to a border; density is n over the fullest cell's.
+
+    Both axes begin at their least value and share one scale. Without points, or with equal ones only, there is one cell or none.
+    """
+    low = points.agg(F.min(x).alias("_x"), F.min(y).alias("_y"), F.max(x).alias("_u"), F.max(y).alias("_v"))  # one row
+    low = low.withColumn("_s", (size - 2 * border) / F.nullif(F.greatest(F.col("_u") - F.col("_x"), F.col("_v") - F.col("_y")), F.lit(0.0)))
+    cell = lambda c, first: F.least(F.greatest(F.floor((F.col(c) - F.col(first)) * F.coalesce("_s", F.lit(0.0))) + border, F.lit(0)), F.lit(size - 1))
+    cells = points.crossJoin(F.broadcast(low)).groupBy(cell(x, "_x").alias("row"), cell(y, "_y").alias("col")).agg(F.count("*").alias("n"))
+    top = cells.agg(F.max("n").alias("_top"))
+    return cells.crossJoin(F.broadcast(top)).select("row", "col", "n", (F.col("n") / F.col("_top")).alias("density"))
+
+
+def segments(frames: DataFrame, picks: int = 3, length: int = 20_000, seed: int = 607) -> DataFrame:
+    """pick, clip_id, start, end: clips picked at random, with replacement, and a random segment of each; a clip no longer than `length` is taken whole.
+
+    A pick keeps its clip over reruns: it is the clip whose hash with the pick's number is least.
+    """
+    n = frames.groupBy("clip_id").agg(F.count("*").alias("_n"))
+    best = lambda k: F.min(F.struct(F.xxhash64(F.lit(seed), F.lit(k), "clip_id").alias("h"), "clip_id", "_n"))
+    row = n.agg(F.array(*(best(k) for k in range(picks))).alias("p")).select(F.posexplode("p").alias("pick", "x")).where("x IS NOT NULL")
+    start = F.when(F.col("x._n") <= length, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(seed + 1), "pick", "x.clip_id"), F.col("x._n") - length))
+    return row.select("pick", "x.clip_id", start.cast("long").alias("start"), F.least(start + length, "x._n").cast("long").alias("end"))
+
+
 def every_nth_overall(rows: DataFrame, n: int) -> DataFrame:
     """Every n-th row of all clips stacked; the phase goes on over clips."""
     return numbered(rows).where(F.col("index") % n == 0)

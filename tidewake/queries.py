@@ -15,6 +15,7 @@ from tidewake.functions import expr
 from tidewake.operators import crossval, evaluate, features, models, signal
 from tidewake.operators import frames as fr
 from tidewake.plans import config
+from tidewake.sources import clips
 
 KNOWN = [1, 2, 3, 4]
 CLUSTERS = 20
@@ -575,9 +576,48 @@ def model_hmm(spark: SparkSession, d: str) -> DataFrame:
     return m.predict(f).select("clip_id", "t", "label", "pred")
 
 
+@query()
+def model_classic(spark: SparkSession, d: str) -> DataFrame:
+    """The classic wrapper on a triad: balanced, framed, fitted on annotated rows, every row predicted."""
+    from tidewake.operators.classic import Classic
+
+    x = triaxial(spark, d)
+    settings = config.with_defaults({"model": "dt", "model_config": {"context_window_sec": 5}})["model_config"]
+    return Classic("dt", ["AccX", "AccY", "AccZ"], KNOWN, SR, settings, balance=True, dynamic_only=True).fit(x).predict(x)
+
+
+@query("WITH " + _F + ", s AS (SELECT clip_id, t // 4 AS k, pred FROM f WHERE t % 4 = 0), m AS (SELECT clip_id, count(*) AS m FROM s GROUP BY 1), c AS (SELECT clip_id, count(*) AS n FROM f GROUP BY 1) SELECT f.clip_id, f.t, s.pred FROM f JOIN m USING (clip_id) JOIN c USING (clip_id) JOIN s ON s.clip_id = f.clip_id AND s.k = ((2 * f.t + 1) * m) // (2 * n)")
+def upsampled_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions for each fourth row, spread over all rows."""
+    e = events(spark, d)
+    return fr.upsampled(e, fr.every_nth(e, 4), 4)
+
+
+@query("WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT min(x) AS x0, min(y) AS y0, (64 - 2 * 4) / greatest(max(x) - min(x), max(y) - min(y)) AS s FROM p), c AS (SELECT CAST(least(greatest(floor((x - x0) * s) + 4, 0), 63) AS BIGINT) AS row, CAST(least(greatest(floor((y - y0) * s) + 4, 0), 63) AS BIGINT) AS col, count(*) AS n FROM p, s GROUP BY ALL) SELECT row, col, n, round(n / (SELECT max(n) FROM c), 6) AS density FROM c")
+def raster_density(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "embeddings").select(*(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xy")))
+    return fr.raster(p, 64, 4)
+
+
 # -- metadata joins
 
 
+@query("WITH " + _F + " SELECT clip_id % 10 AS individual_id, count(*) AS n, sum(t) AS places FROM f GROUP BY 1")
+def individual_of_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Rows get the individual that the metadata gives their clip."""
+    e = events(spark, d)
+    known = e.select("clip_id").distinct().withColumn("individual_id", F.col("clip_id") % 10)
+    return clips.with_individual(e, known).groupBy("individual_id").agg(F.count("*").alias("n"), F.sum("t").alias("places"))
+
+
+@query("SELECT * FROM (VALUES ('context_window_sec', '4'), ('min_samples_split', '2'), ('max_samples', '0.1'), ('n_jobs', '24'), ('n_estimators', '100'), ('class_weight', 'balanced'), ('feature_set', 'nathan2012')) t(name, value)")
+def settings_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run's settings over the defaults."""
+    got = config.with_defaults({"model": "rf", "model_config": {"context_window_sec": 4, "n_jobs": 24}})["model_config"]
+    shown = ("context_window_sec", "min_samples_split", "max_samples", "n_jobs", "n_estimators", "class_weight", "feature_set")
+    return spark.createDataFrame([(k, str(got[k])) for k in shown], "name string, value string")
+
+
 @query("SELECT r_name, n_name, count(*) AS individuals, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
 def individual_groups(spark: SparkSession, d: str) -> DataFrame:
     """Individuals to groups: facts joined with small dimensions."""
@@ -588,5 +628,6 @@ def individual_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_MAP}, {_K} SELECT CASE label WHEN 1 THEN 'click' WHEN 2 THEN 'view' WHEN 3 THEN 'signup' ELSE 'purchase' END AS label_name, count(*) AS n FROM fm WHERE label <> 0 GROUP BY 1")
 def label_names(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(1, "click"), (2, "view"), (3, "signup"), (4, "purchase")], "label int, label_name string")
+    meta = config.Metadata("events", SR, ["value", "individual_id", "label"], ["unknown", "click", "view", "signup", "purchase"], [], {}, {})
+    names = clips.label_table(spark, meta).withColumnRenamed("label_idx", "label")
     return fr.annotated(_mapped(spark, d)).join(F.broadcast(names), "label").groupBy("label_name").agg(F.count("*").alias("n"))
