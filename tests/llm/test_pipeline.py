@@ -46,3 +46,26 @@ def test_near_duplicates_are_judged_by_row(spark):
     rows = [(1, a), (5, a + " more"), (5, b), (7, b), (7, c), (8, c), (8, c), (None, a), (9, None), (10, "")]
     got = p.near_duplicates_stage(spark, frame(spark, [(i, t, "", "", 0, 0, "") for i, t in rows]), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (5, b), (7, c), (0, a), (9, ""), (10, "")])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("k", range(5))
+def test_stage_edges(spark, k):
+    """Nulls, empty and long texts, ties, a repeated row, columns of clashing names; rows without an id; an empty table."""
+    from helpers import corpus, frame
+
+    import corpus_pipeline as p
+
+    extra = [(None, "a text without an id " * 20, None, None, None, 1, "y"), (700, None, "en", "a", 0, 0, "z"), (701, "", None, None, None, None, None)]
+    name, stage = p.STAGES[k]
+    d = frame(spark, corpus() + extra)
+    out = stage(spark, d, SF)
+    names = [*p.COLUMNS, "shard", "slot"] if k == 4 else list(p.COLUMNS)
+    assert out.columns == names
+    rows, ids = out.collect(), {r[0] for r in corpus() + extra}
+    assert {r.doc_id for r in rows} <= ids and (k in (0, 1) or None in {r.doc_id for r in rows})
+    if k == 4:
+        assert len(rows) == len(corpus()) + len(extra)
+    if k in (1, 2):
+        assert {700, 701} <= {r.doc_id for r in rows} and None in {r.doc_id for r in rows}
+    assert stage(spark, frame(spark, []), SF).count() == 0
