@@ -49,9 +49,10 @@ def test_repeated_starts():
         assert [g.tolist() for g in repeated_starts(texts, starts, size)] == [[count[x[i : i + size]] > 1 for i in range(n)] for x, n in zip(texts, starts, strict=True)]
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_equals_brute_force(spark, hot):
-    """Also overlaps, the same document, copies, nulls, a repeated row, and owners dealt by single strings."""
+@pytest.mark.parametrize(("hot", "share"), [(4096, 256), (1, 256), (1, 10**6), (3, 10**6)])
+def test_equals_brute_force(spark, monkeypatch, hot, share):
+    """Also overlaps, the same document, copies, nulls, a repeated row, owners dealt by single strings, and keys that are taken apart for their rows."""
+    monkeypatch.setattr(suffix_dedup, "SHARE", share)
     rows = corpus() + [(900, "ab" * 300, "", "", 0, 0, ""), (901, "x" * 100 + corpus()[5][1][:500], "", "", 0, 0, "")]
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(frame(spark, rows), 120, 20, hot, shard=2000, memory=1000).collect())
     assert got == sorted((r[0], *b) for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows], 120), strict=True))

@@ -9,6 +9,8 @@
    order with LENGTH bytes in common are repeats.
 4. An owner's hash with more than HOT different stretches (a passage that very many texts share, in different surroundings) would be one
    large group. Its strings are counted one by one by two 64-bit fingerprints instead, partly before the shuffle, so no task gets them all.
+5. Keys with more than a share of 1 / SHARE of a table's rows are SHARE at most. Such owners are known to repeat, so their rows need no join by
+   owner; what is found for such stretches is broadcast. No exchange sends one key's rows to one task.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ LENGTH = 400
 GRAM = 64
 HOT = 4096
 SHARD = 2 << 20
+SHARE = 256
 
 
 def owners(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +132,12 @@ def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
     return found.select("h", "f1", "f2", "spans")
 
 
+def _frequent(counts: DataFrame, count: str, keys: list[str], least: int) -> list[tuple]:
+    """Keys whose count is over `least` and over 1 / SHARE of the sum of counts, so SHARE keys at most."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return [tuple(r) for r in counts.where(F.col(count) > max(least, total // SHARE)).select(*keys).collect()]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, memory: int = MEMORY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, class, n_bytes, sha256, copies) of docs (doc_id, text), and a table class, text, spans of texts without copies that have repeated strings.
 
@@ -138,9 +147,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rows = cut(docs.select("doc_id", "class", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "suffix-rows")
     classes = cut(rows.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "suffix-classes")
     table = cut(_owner_table(docs.where(F.octet_length("text") >= length), length, gram), "suffix-owners")
-    ends = table.groupBy("h").agg(F.min(F.struct("class", "first")).alias("a"), F.max(F.struct("class", "first")).alias("b"))
-    again = ends.where("a <> b").select("h")
-    wanted = table.join(again, "h", "left_semi").distinct().groupBy("class").agg(F.collect_list(F.struct("h", "first", "last")).alias("wanted"))
+    ends = table.groupBy("h").agg(F.min(F.struct("class", "first")).alias("a"), F.max(F.struct("class", "first")).alias("b"), F.count("*").alias("n"))
+    again = cut(ends.where("a <> b").select("h", "n"), "suffix-again")
+    common = F.col("h").isin([h for (h,) in _frequent(again, "n", ["h"], hot)])
+    wanted = table.where(common).unionByName(table.where(~common).join(again, "h", "left_semi")).distinct().groupBy("class").agg(F.collect_list(F.struct("h", "first", "last")).alias("wanted"))
     wanted = wanted.join(classes, "class")
     text = docs.select("doc_id", "class", "text")
     suspects = text.join(wanted, (text["class"] == wanted["class"]) & text["doc_id"].eqNullSafe(wanted["rep"])).select(text["class"], "copies", "text", "wanted")
@@ -178,17 +188,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     kinds = cut(kinds, "suffix-kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     groups = cut(groups, "suffix-groups")
+    crowded = F.col("h").isin([h for (h,) in _frequent(groups, "kinds", ["h"], hot)])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("x"), (F.col("starts") - 1).alias("y")))
-    alone = kinds.where("n > 1").join(groups.where("kinds = 1"), "h", "left_semi").select("h", "f1", "f2", whole.alias("spans"))
-    mixed = kinds.join(groups.where(f"kinds > 1 AND kinds <= {hot}"), "h", "left_semi")
+    alone = kinds.where("n > 1").where(~crowded).join(groups.where("kinds = 1"), "h", "left_semi").select("h", "f1", "f2", whole.alias("spans"))
+    others = kinds.where(~crowded)
+    mixed = others.join(groups.where(f"kinds > 1 AND kinds <= {hot}"), "h", "left_semi")
     mixed = mixed.repartition(F.col("h")).sortWithinPartitions("h", "f1", "f2")
-    spans = alone.unionByName(_sorted_spans(mixed, length, shard, memory)).unionByName(_hot_spans(kinds.join(groups.where(f"kinds > {hot}"), "h", "left_semi"), length))
+    spans = alone.unionByName(_sorted_spans(mixed, length, shard, memory)).unionByName(_hot_spans(kinds.where(crowded).unionByName(others.join(groups.where(f"kinds > {hot}"), "h", "left_semi")), length))
     spans = cut(spans, "suffix-spans")
-    found = pieces_.select("h", "f1", "f2", "class", "first").join(spans, ["h", "f1", "f2"])
+    key = ["h", "f1", "f2"]
+    repeats = docs.sparkSession.createDataFrame(_frequent(kinds, "n", key, hot), "h long, f1 long, f2 long")
+    held = pieces_.select(*key, "class", "first")
+    few = F.broadcast(spans.join(F.broadcast(repeats), key, "left_semi"))  # SHARE rows at most
+    found = held.join(few, key).unionByName(held.join(F.broadcast(repeats), key, "left_anti").join(spans, key))
     found = found.select("class", F.transform("spans", lambda s: F.struct((s["x"] + F.col("first")).alias("x"), (s["y"] + F.col("first")).alias("y"))).alias("s"))
     found = found.groupBy("class").agg(F.flatten(F.collect_list("s")).alias("spans"))
     found = suspects.where("copies = 1").select("class", "text").join(found, "class")
-    return rows.join(classes.select("class", "copies"), "class"), found
+    often = F.col("class").isin([c for (c,) in _frequent(classes, "copies", ["class"], hot)])
+    classes = classes.select("class", "copies")
+    rows = rows.where(often).join(F.broadcast(classes.where(often)), "class").unionByName(rows.where(~often).join(classes, "class"))
+    return rows, found
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, memory: int = MEMORY, with_text: bool = False) -> DataFrame:
@@ -219,7 +238,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
     cleaned = cut(found.mapInArrow(remove, "class long, gone long, n long, sha string, left binary"), "suffix-cleaned")
     all_ = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = rows.join(cleaned, "class", "left")
+    single = F.col("copies") == 1
+    out = rows.where(single).join(cleaned, "class", "left").unionByName(rows.where(~single), allowMissingColumns=True)
     cols = [
         "doc_id",
         "n_bytes",
