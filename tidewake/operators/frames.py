@@ -91,6 +91,16 @@ def raster(points: DataFrame, size: int, border: int, x: str = "x", y: str = "y"
     return cells.crossJoin(F.broadcast(top)).select("row", "col", "n", (F.col("n") / F.col("_top")).alias("density"))
 
 
+def peaks(cells: DataFrame, value: str = "n") -> DataFrame:
+    """row, col and value of the cells that none of their eight neighbours exceeds (equal neighbours are all peaks); cells that are not there, or not
+    above 0, are no peaks. Each cell is told to its neighbours, and a cell's messages are aggregated partly before the one shuffle."""
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    told = cells.select("row", "col", F.col(value).alias("_v"), F.explode(steps).alias("_d"))
+    own = F.when((F.col("_d.i") == 0) & (F.col("_d.j") == 0), F.col("_v"))
+    met = told.groupBy((F.col("row") + F.col("_d.i")).alias("row"), (F.col("col") + F.col("_d.j")).alias("col")).agg(F.max(own).alias(value), F.max("_v").alias("_top"))
+    return met.where((F.col(value) > 0) & (F.col(value) == F.col("_top"))).drop("_top")
+
+
 def segments(frames: DataFrame, picks: int = 3, length: int = 20_000, seed: int = 607) -> DataFrame:
     """pick, clip_id, start, end: clips picked at random, with replacement, and a random segment of each; a clip no longer than `length` is taken whole.
 
@@ -161,6 +171,37 @@ def trailing_windows(frames: DataFrame, w: int, channel: str) -> DataFrame:
     return d.select("clip_id", "t", F.concat(mirror, "_b").alias("values"))
 
 
+def centred_windows(frames: DataFrame, half: int, channel: str) -> DataFrame:
+    """clip_id, t, values: rows t - half .. t + half - 1 of each row's clip, mirrored at the clip's ends.
+
+    What a clip is too short to mirror is left out of its windows.
+    """
+    own = Window.partitionBy("clip_id").orderBy("t")
+    d = frames.withColumns({"_w": F.collect_list(channel).over(own.rowsBetween(-half, half)), "_n": F.count("*").over(Window.partitionBy("clip_id"))})
+    before, after = F.greatest(F.lit(half) - F.col("t"), F.lit(0)), F.greatest(F.col("t") + half - F.col("_n"), F.lit(0))
+    inside = F.least(F.col("t") + half, F.col("_n")) - F.greatest(F.col("t") - half, F.lit(0))
+    cut = lambda a, at, n: F.slice(a, F.lit(at), n.cast("int"))
+    return d.select("clip_id", "t", F.concat(F.reverse(cut("_w", 2, before)), cut("_w", 1, inside), cut(F.reverse("_w"), 2, after)).alias("values"))
+
+
+def rescaled_windows(frames: DataFrame, w: int, channel: str, share: float, shift: Column | None = None, seed: int = 0) -> DataFrame:
+    """clip_id, t, values: sliding windows that begin at t and are stretched or shrunk in time to w rows.
+
+    A window spans w + shift rows, or what its clip still has, and takes the rows that w even steps through it fall on. shift: a random whole number in
+    [-share * w, share * w) that reruns keep, or a column. With share 0 (or under 1 / w) windows are as they stand.
+    """
+    most = int(share * w)
+    if not 0 <= share < 1:
+        raise ValueError("share must be at least 0 and below 1")
+    if shift is None:
+        shift = F.pmod(F.xxhash64(F.lit(seed), "clip_id", "t"), F.lit(max(1, 2 * most))) - most
+    ahead = Window.partitionBy("clip_id").orderBy("t").rowsBetween(0, w + most - 1)
+    d = window_starts(frames.withColumns({"_a": F.collect_list(channel).over(ahead), "_s": shift.cast("int")}), w)
+    span = F.least(F.size("_a"), F.lit(w) + F.col("_s"))
+    at = lambda k: F.floor(k * span / w).cast("int")
+    return d.select("clip_id", "t", F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda k: F.get("_a", at(k))).alias("values"))
+
+
 def label_grid(frames: DataFrame, known: Sequence[int]) -> DataFrame:
     """individual_id, label, n for every individual and known label, absent ones with 0."""
     spark = frames.sparkSession

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import expr
-from tidewake.operators import crossval, evaluate, features, models, signal
+from tidewake.operators import crossval, evaluate, features, models, signal, training
 from tidewake.operators import frames as fr
 from tidewake.plans import config
 from tidewake.sources import clips
@@ -599,6 +599,40 @@ def raster_density(spark: SparkSession, d: str) -> DataFrame:
     return fr.raster(p, 64, 4)
 
 
+@query("WITH c AS (SELECT l_quantity::BIGINT AS row, (l_orderkey % 60)::BIGINT AS col, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT a.row, a.col, a.n, max(b.n) AS top FROM c a JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL) SELECT row, col, n FROM m WHERE n = top")
+def raster_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a raster that no neighbour exceeds."""
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("row"), (F.col("l_orderkey") % 60).cast("long").alias("col")).agg(F.count("*").alias("n"))
+    return fr.peaks(cells)
+
+
+@query(f"WITH {_F}, c AS (SELECT clip_id, count(*) AS n FROM f GROUP BY 1), w AS (SELECT a.clip_id, a.t, j, CASE WHEN a.t + j < 0 THEN -(a.t + j) WHEN a.t + j >= n THEN 2 * (n - 1) - (a.t + j) ELSE a.t + j END AS p FROM f a JOIN c USING (clip_id), unnest(range(-3, 3)) g(j)) SELECT w.clip_id, w.t, round(sum(b.value * (j + 4)), 6) AS total FROM w JOIN f b ON b.clip_id = w.clip_id AND b.t = p JOIN c ON c.clip_id = w.clip_id WHERE n > 3 GROUP BY ALL")
+def centred_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows about each row, mirrored at both ends of a clip of more than half a window, summed with weights of their places."""
+    w = fr.centred_windows(events(spark, d), 3, "value").where(F.size("values") == 6)
+    return w.select("clip_id", "t", F.aggregate(F.transform("values", lambda x, j: x * (j + 1)), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {_F}, c AS (SELECT clip_id, count(*) AS n FROM f GROUP BY 1), w AS (SELECT a.clip_id, a.t, j, a.t + j * least(n - a.t, 8 + (a.t * 7 + a.clip_id) % 8 - 4) // 8 AS p FROM f a JOIN c USING (clip_id), unnest(range(8)) g(j) WHERE a.t < n - 8) SELECT w.clip_id, w.t, round(sum(b.value * (j + 1)), 6) AS total FROM w JOIN f b ON b.clip_id = w.clip_id AND b.t = p GROUP BY ALL")
+def rescaled_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 8 rows stretched or shrunk in time by up to half, by a rule that stands for chance."""
+    w = fr.rescaled_windows(events(spark, d), 8, "value", 0.5, F.pmod(F.col("t") * 7 + F.col("clip_id"), F.lit(8)) - 4)
+    return w.select("clip_id", "t", F.aggregate(F.transform("values", lambda x, j: x * (j + 1)), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("WITH RECURSIVE o AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_orderkey AS step, CAST(o_totalprice AS DOUBLE) AS value FROM orders), s AS (SELECT run, k, step, value, value AS smoothed, value AS least, 0 AS idle, false AS stopped FROM o WHERE k = 1 UNION ALL SELECT o.run, o.k, o.step, o.value, s.smoothed * 0.75 + o.value * 0.25, least(s.least, s.smoothed * 0.75 + o.value * 0.25), CASE WHEN s.smoothed * 0.75 + o.value * 0.25 < s.least THEN 0 ELSE s.idle + 1 END, s.stopped OR CASE WHEN s.smoothed * 0.75 + o.value * 0.25 < s.least THEN 0 ELSE s.idle + 1 END >= 4 FROM s JOIN o ON o.run = s.run AND o.k = s.k + 1) SELECT run, step, round(value, 6) AS value, round(smoothed, 6) AS smoothed, idle::BIGINT AS idle, stopped FROM s")
+def smoothed_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Moving means with patience; a customer's orders stand for a run's losses."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("loss"))
+    return training.smoothed(o, "run", "k", "loss", 0.25, 4)
+
+
+@query("SELECT DISTINCT t AS epoch, round(CASE WHEN t > 4 THEN least(1.0, (t - 4) / 8.0) ELSE 0 END, 6) AS linear, round(CASE WHEN t > 4 THEN 1 / (1 + exp(-0.9 * (t - 8))) ELSE 0 END, 6) AS sigmoid FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events)")
+def annealed_weights(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select(F.col("t").alias("epoch")).distinct()
+    return e.select("epoch", training.annealed(F.col("epoch"), 4, 8).alias("linear"), training.annealed(F.col("epoch"), 4, 8, "sigmoid").alias("sigmoid"))
+
+
 # -- metadata joins
 
 
