@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontaminate, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, url_filters, warc
-from .common import documents
+from . import compact_windows, decontaminate, hard_negatives, mixing, ngram_join, quality_rules, sharding, simhash, suffix_dedup, token_counts, url_filters, warc
+from .common import cut, documents
 
 #: Name of the vocabulary file that op2 counts with; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -61,8 +61,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = cut(hard_negatives.integer_rows(e.withColumn("label", moved), "vec_id", "label", "embedding"), "negatives-rows")
+    return hard_negatives.hard_negatives(rows, rows.where("id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters, op12_golay_simhash, op13_hard_negatives)}
 
 
 _OP5 = r"""
@@ -94,5 +105,16 @@ SELECT h.page_id, host, path, rule, coalesce(v, CASE WHEN contains(host || path,
 """
 
 
+_OP13 = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id <> b.id AND a.id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": _OP5, "op9_warc": _OP9, "op10_url_filters": _OP10}
+    return {"op5_ngram_jaccard": _OP5, "op9_warc": _OP9, "op10_url_filters": _OP10, "op13_hard_negatives": _OP13}
