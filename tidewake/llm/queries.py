@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontaminate, hard_negatives, mixing, ngram_join, quality_rules, sharding, simhash, suffix_dedup, token_counts, url_filters, warc
+from . import alignment, compact_windows, decontaminate, hard_negatives, mixing, ngram_join, quality_rules, sharding, simhash, suffix_dedup, token_counts, url_filters, warc
 from .common import cut, documents
 
-#: Name of the vocabulary file that op2 counts with; a parameter of the operator.
+#: Names of the vocabulary files that op2 counts with and op11 aligns; parameters of the operators.
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_digest(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -73,7 +80,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters, op12_golay_simhash, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_two_pass_shuffle, op5_ngram_jaccard, op6_cube_mixing, op7_compact_windows, op8_decontamination, op9_warc, op10_url_filters, op11_alignment, op12_golay_simhash, op13_hard_negatives)}
 
 
 _OP5 = r"""
