@@ -88,3 +88,12 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = defaultdict(int, {1: -7, 2: -7, 3: -7, -7: -7, 4: 4, 5: 4, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10})
     assert got == dict(want)
+
+
+def test_very_long_texts_link(spark):
+    base = [f"w{k}" for k in range(620_000)]
+    other = list(base)
+    other[310_000] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:250_000]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

@@ -167,7 +167,7 @@ def _shared(parts: int):
     return run
 
 
-_CANDIDATES = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("often", pa.float64()), ("marks", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64())), ("set", pa.list_(pa.int64()))])
+_CANDIDATES = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("often", pa.float64()), ("marks", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64())), ("set", pa.list_(pa.int64()))])
 
 
 def _candidates(t: pa.Table) -> pa.Table:
@@ -188,7 +188,7 @@ def _candidates(t: pa.Table) -> pa.Table:
         own, d, size = h[order[i:j]], int(j - i), int(n[order[i]])
         k = d - -(-LOW * size // HIGH) + 1
         if k > 0:
-            marks = np.minimum(np.bincount((own >> U(60)).astype(np.int64), minlength=RANGES), 32_767)
+            marks = np.bincount((own >> U(60)).astype(np.int64), minlength=RANGES)
             rows.append((int(c[order[i]]), size, d, float(np.log(df[order[i:j]] % _LATE + 1).mean()), marks, own[:k].view(np.int64), np.sort(own).view(np.int64)))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_CANDIDATES), _CANDIDATES, strict=True)], schema=_CANDIDATES)
 
@@ -230,7 +230,7 @@ def links_of(docs: DataFrame, heavy: np.ndarray, total: int, size: int) -> DataF
     """a, b: verified links between classes, enough for every component."""
     parts = max(1, -(-total // DEAL))
     dealt = _dealt(docs, heavy, parts, size).groupBy("part").applyInArrow(_shared(parts), _DEALT)
-    found = cut(dealt.groupBy("part").applyInArrow(_candidates, "class long, n int, d int, often double, marks array<short>, prefix array<long>, set array<long>"), "jaccard-candidates")
+    found = cut(dealt.groupBy("part").applyInArrow(_candidates, "class long, n int, d int, often double, marks array<int>, prefix array<long>, set array<long>"), "jaccard-candidates")
     sets = found.select("class", "n", "set")
     rows = found.select(F.posexplode("prefix").alias("pos", "h"), "class", "n", "d", "marks", "often").select("h", F.struct("class", "n", "d", "pos", "marks").alias("x"), F.struct(F.expr("d / n").alias("part"), "often", "class").alias("rank"))
     # hubs: aggregated before they are joined, so a shingle of very many rows is split by the join
