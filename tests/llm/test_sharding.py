@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import Counter
 
-from helpers import corpus, frame
+import pytest
+from helpers import corpus, frame, prose
 from pyspark.sql import functions as F
 
 from tidewake.llm import sharding
@@ -50,3 +52,23 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(frame(spark), str(tmp_path / "s"), size=F.expr(SIZE), shards=3)
     r = spark.read.parquet(str(tmp_path / "s")).collect()
     assert len(r) == len(corpus()) and {x.shard for x in r} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("held", [1 << 15, 3])
+def test_order_depends_on_the_records_alone(spark, monkeypatch, held):
+    monkeypatch.setattr(sharding, "PARTITIONS", held)  # fewer partitions than buckets, too
+    rng = random.Random(9)
+    df = spark.createDataFrame([(k, prose(rng, rng.randint(1, 60))) for k in range(500)], "doc_id long, text string")
+    results = set()
+    try:
+        for partitions, adaptive in ((5, "true"), (8, "false"), (40, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = sharding.two_pass_shuffle(df.repartition(partitions), sharding.size_of(F.col("text")), shards=7, bucket_bytes=9000).collect()
+            results.add(tuple(sorted((r.shard, r.slot, r.doc_id) for r in got)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(results) == 1
+    order = [x[2] for x in sorted(results.pop())]
+    assert sorted(order) == list(range(500)) and order != sorted(order)

@@ -189,7 +189,7 @@ def integer_rows(df: DataFrame, id: str, label: str, vector: str, scale: int = 2
     """id, label, v of the rows of df that can take part, each component x as floor(scale * x).
 
     Rows with a null id, label or vector, or with any null or non-finite component, take no part. Of rows of one id, one takes part, the first by label
-    and vector. Shorter vectors count as filled up with zeros.
+    and vector. Shorter vectors count as filled up with zeros. Scores must fit in 64 bits, else the job ends with an error.
     """
     x = F.col(f"`{vector}`").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))

@@ -3,8 +3,12 @@
 Pass one scatters the records uniformly into buckets of a size that fits in memory, by a seeded hash. Pass two shuffles each bucket by
 Fisher-Yates (Spark's shuffle() function on the bucket's array) and writes it. A record's place in the whole order is its bucket's
 offset plus its place in the bucket; shards are equal ranges of places, so a bucket is written to one or two of them and counts differ by one
-row at most. Everything is DataFrame operations. Each bucket is sorted before it is shuffled with a fixed seed, so a task that is run
-again after its executor was lost gives the same order.
+row at most. Everything is DataFrame operations.
+
+shuffle() draws from one generator a partition, seeded by the partition's number. So records go to partitions by number (bucket modulo PARTITIONS), each
+bucket is sorted before it is shuffled, and a partition's buckets are taken in order: the result depends on the records, the seed and the
+bucket's size alone, not on session settings or the order in which records arrive, and a task that is run again after its executor was lost gives
+the same order.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, new_folder
 
 BUCKET = 16 << 20  # bytes of records in a bucket, about
+PARTITIONS = 1 << 15  # that buckets are dealt to, at most
 SPAN = 1024  # buckets whose offsets are added up in one task
 SEED = 20240229
 
@@ -40,13 +45,18 @@ def two_pass_shuffle(df: DataFrame, size: Column, shards: int = 40, bucket_bytes
     copies = placed.join(many, "_h", "left_semi").groupBy("_r", "_h").agg(F.count("*").alias("_n")).select("_r", "_h", "_n", spread.alias("_k"))
     copies = copies.select("_r", "_h", F.pmod(F.col("_h") + F.col("_k"), F.lit(n)).alias("_b"), F.explode(F.sequence(F.lit(1), F.floor((F.col("_n") + n - 1 - F.col("_k")) / n).cast("int")))).drop("col")
     placed = placed.join(many, "_h", "left_anti").select("_r", "_h", F.pmod("_h", F.lit(n)).alias("_b")).unionByName(copies)
-    full = placed.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_h", "_r"))).alias("_all"))
     # the rows of a bucket's predecessors: within spans of buckets, then over the spans
     counts = light.join(many, "_h", "left_anti").groupBy(F.pmod("_h", F.lit(n)).alias("_b")).agg(F.count("*").alias("_n")).unionByName(copies.groupBy("_b").agg(F.count("*").alias("_n")))
     counts = counts.groupBy("_b").agg(F.sum("_n").alias("_n")).withColumn("_g", F.floor(F.col("_b") / SPAN))
     spans = counts.groupBy("_g").agg(F.sum("_n").alias("_s")).select("_g", (F.sum("_s").over(Window.orderBy("_g")) - F.col("_s")).alias("_first"))
     start = counts.join(spans, "_g").select("_b", (F.col("_first") + F.sum("_n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_n")).alias("_from"))
-    mixed = full.withColumn("_all", F.shuffle("_all", seed)).join(start, "_b")
+    # a bucket's offset travels as one more row, so that records are exchanged once
+    placed = placed.select("_b", F.struct("_h", "_r").alias("_x"))
+    placed = placed.withColumn("_from", F.lit(None).cast("long")).unionByName(start.select("_b", F.lit(None).cast(placed.schema["_x"].dataType).alias("_x"), "_from"))
+    parts = min(n, PARTITIONS)
+    dealt = placed.withColumn("_p", F.pmod("_b", F.lit(parts)).cast("int")).repartitionById(parts, F.col("_p"))
+    full = dealt.groupBy("_p", "_b").agg(F.sort_array(F.collect_list("_x")).alias("_all"), F.max("_from").alias("_from")).sortWithinPartitions("_b")
+    mixed = full.withColumn("_all", F.shuffle("_all", seed))
     at, q, r = F.col("_from") + F.col("_at"), rows // shards, rows % shards
     long = F.lit(r * (q + 1))  # places of the first shards, which have a row more
     shard = F.when(at < long, F.floor(at / F.lit(q + 1))).otherwise(F.lit(r) + F.floor((at - long) / F.lit(max(q, 1))))
