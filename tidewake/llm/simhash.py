@@ -32,6 +32,7 @@ SIZE = 4  # words of a shingle
 SEED = 42  # of the shingles' hash, XXH64
 BITS = 4  # differing bits of a link, at most; the keys below are complete for this number
 WIDTHS = (22, 21, 21)  # bits of the segments, from the highest
+ROWS = 8192  # fingerprints whose keys one task makes, about
 SALT = 1024  # rows of one key that are compared in one group, about
 CHUNK = 1 << 16  # hashes whose bits are counted at once
 #: Fixed value: the generator polynomial of the binary Golay code.
@@ -154,7 +155,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
 def linked(fps: DataFrame) -> DataFrame:
     """fp, component for each of the different fingerprints fps (fp: long) that is linked with another, directly or through others."""
     near = f"bit_count({{}} ^ {{}}) <= {BITS}"
-    rows = _keyed(fps)
+    rows = _keyed(fps.repartition(max(1, -(-fps.count() // ROWS)), "fp"))  # a row becomes 180
     # the hub: the fingerprint that comes first after its bits were changed by the key's
     hubs = rows.groupBy("key").agg(F.min(F.col("fp").bitwiseXOR(F.col("key"))).alias("_least"), F.count("*").alias("many")).where("many > 1")
     met = cut(rows.join(hubs, "key").select("key", "fp", F.col("_least").bitwiseXOR(F.col("key")).alias("hub"), "many"), "simhash-met")
