@@ -1,7 +1,9 @@
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewake.operators import features, signal
 
@@ -32,6 +34,31 @@ def test_against_numpy_with_cut_frames(spark):
             assert got[t][f"x_{k}"] == pytest.approx(v, abs=1e-8)
 
 
+@pytest.mark.parametrize(("n", "half", "part"), [(40, 4, 10), (41, 20, 16), (30, 40, 7), (64, 3, 7), (9, 1, 2), (50, 0, 8)])
+def test_parts_of_a_clip_give_the_same(spark, monkeypatch, n, half, part):
+    rng = np.random.default_rng(n)
+    x, y = 1e6 + rng.normal(size=n), rng.normal(size=n)  # far from zero: sums would lose digits
+    f = spark.createDataFrame([("a", k, float(x[k]), float(y[k])) for k in range(n)] + [("b", 0, 1.0, 2.0)], "clip_id string, t long, x double, y double")
+    frame = features.Frame(half, part)
+    made = {**{k: v for k, v in frame.stats("x").items()}, "corr": frame.corr("x", "y"), "circle": frame.circular_variance(F.col("y"), "y"), "dynamic": frame.dynamic(["x", "y"])}
+    got = {r.t: r for r in frame.over(f).select("clip_id", "t", *(v.alias(k) for k, v in made.items())).where("clip_id = 'a'").collect()}
+    assert sorted(got) == list(range(n))
+    for t in range(n):
+        a, b = x[max(0, t - half) : t + half + 1], y[max(0, t - half) : t + half + 1]
+        assert got[t]["circle"] == pytest.approx(1 - abs(np.exp(1j * b).mean()), abs=1e-9) and got[t]["dynamic"] == pytest.approx((abs(a) + abs(b)).mean())
+        if len(a) > 1:
+            assert got[t]["corr"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-6)
+            for k, v in literal(a).items():
+                assert got[t][k] == pytest.approx(v, abs=1e-4 if k == "trend" else 1e-6)
+
+
+def test_no_window_of_the_frame_itself(spark):
+    """The cost of a row doesn't depend on the frame: only running aggregates and single rows ahead and behind."""
+    plan = features.channel_features(clip(spark, [1.0]), ["x"], 800)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "-800" in plan
+    assert not [f for f in re.findall(r"specifiedwindowframe\(RowFrame, ([^)]*)\)", plan) if "unbounded" not in f and len({x.strip() for x in f.split(",")}) > 1]
+
+
 def test_constant_frames(spark):
     r = features.channel_features(clip(spark, [2.0] * 6), ["x"], 2).first()
     assert (r.x_skew, r.x_kurt, r.x_std, r.x_trend) == (0.0, -3.0, 0.0, 0.0)

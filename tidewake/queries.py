@@ -451,7 +451,8 @@ def _corr(a: str, b: str) -> str:
 @query(f"WITH {_X} SELECT clip_id, t, {_corr('ax', 'ay')} AS xy, {_corr('ax', 'az')} AS xz, {_corr('ay', 'az')} AS yz FROM x")
 def triax_corr(spark: SparkSession, d: str) -> DataFrame:
     f, x = features.Frame(HALF), triaxial(spark, d)
-    return x.select("clip_id", "t", f.corr("AccX", "AccY").alias("xy"), f.corr("AccX", "AccZ").alias("xz"), f.corr("AccY", "AccZ").alias("yz"))
+    c = [f.corr("AccX", "AccY").alias("xy"), f.corr("AccX", "AccZ").alias("xz"), f.corr("AccY", "AccZ").alias("yz")]
+    return f.over(x).select("clip_id", "t", *c)
 
 
 def _circ(a: str) -> str:
@@ -461,12 +462,15 @@ def _circ(a: str) -> str:
 @query(f"WITH {_X}, a AS (SELECT *, acos(az / (sqrt(ax * ax + ay * ay + az * az) + 1e-12)) AS i, atan(ay / (az + 1e-12)) AS z FROM x) SELECT clip_id, t, {_circ('i')} AS inclination, {_circ('z')} AS azimuth FROM a")
 def circular_variance(spark: SparkSession, d: str) -> DataFrame:
     f, x = features.Frame(HALF), triaxial(spark, d).withColumn("q", expr.norm("AccX", "AccY", "AccZ"))
-    return x.select("clip_id", "t", f.circular_variance(expr.inclination(F.col("AccZ"), F.col("q"))).alias("inclination"), f.circular_variance(expr.azimuth(F.col("AccY"), F.col("AccZ"))).alias("azimuth"))
+    c = [f.circular_variance(expr.inclination(F.col("AccZ"), F.col("q")), "inclination").alias("inclination"), f.circular_variance(expr.azimuth(F.col("AccY"), F.col("AccZ")), "azimuth").alias("azimuth")]
+    return f.over(x).select("clip_id", "t", *c)
 
 
 @query(f"WITH {_X} SELECT clip_id, t, round(avg(abs(ax) + abs(ay) + abs(az)) {_W}, 6) AS dynamic FROM x")
 def dynamic_accel(spark: SparkSession, d: str) -> DataFrame:
-    return triaxial(spark, d).select("clip_id", "t", features.Frame(HALF).dynamic(["AccX", "AccY", "AccZ"]).alias("dynamic"))
+    f = features.Frame(HALF)
+    mean = f.dynamic(["AccX", "AccY", "AccZ"]).alias("dynamic")
+    return f.over(triaxial(spark, d)).select("clip_id", "t", mean)
 
 
 @query(f"WITH {_X} SELECT clip_id, t, round(sqrt(ax * ax + ay * ay + az * az), 6) AS q FROM x")
