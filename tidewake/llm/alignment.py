@@ -17,7 +17,7 @@ import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +53,8 @@ class _Tokenizers:
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        self.lengths_a, self.lengths_b = self.size_a.tolist(), self.size_b.tolist()
+        self.named = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in y]) for y in (self.bytes_a, self.bytes_b))
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
@@ -96,25 +98,34 @@ class Aligner:
 
     def _align(self, key: tuple[bytes, bytes]) -> int:
         """Align the window with these ids (int32), and remember it."""
-        a, b = (np.frombuffer(x, np.int32).tolist() for x in key)
-        end_a, end_b = (list(accumulate(s[np.array(x)].tolist())) for s, x in ((self.t.size_a, a), (self.t.size_b, b)))
-        i = j = from_a = from_b = 0
-        groups = []
-        while i < len(a) and j < len(b):
+        a, b = (memoryview(x).cast("i").tolist() for x in key)
+        size_a, size_b, named, numbers, linked = self.t.lengths_a, self.t.lengths_b, self.t.named, self.numbers, self.linked
+        i = j = from_a = from_b = groups = 0
+        x, y, last, text = size_a[a[0]], size_b[b[0]], len(a) - 1, ""
+        while True:
             pair = a[i] << 32 | b[j]
-            number = self.numbers.get(pair)
+            number = numbers.get(pair)
             if number is None:
-                number = self.numbers[pair] = len(self.pairs)
+                number = numbers[pair] = len(self.pairs)
                 self.pairs.append(pair)
-            self.linked.append(number)
-            x, y = end_a[i], end_b[j]
-            i, j = i + (x <= y), j + (y <= x)
+            linked.append(number)
             if x == y:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
+                groups += 1
+                text += f"{';' if from_a else ''}{named[a[i]] if i == from_a else ','.join([named[k] for k in a[from_a : i + 1]])}|{named[b[j]] if j == from_b else ','.join([named[k] for k in b[from_b : j + 1]])}"
+                if i == last:  # b ends here, too
+                    break
+                i, j = i + 1, j + 1
                 from_a, from_b = i, j
-        self.groups.append(";".join(groups))
-        self.to.append(len(self.linked))
-        self.many.append(len(groups))
+                x, y = x + size_a[a[i]], y + size_b[b[j]]
+            elif x < y:
+                i += 1
+                x += size_a[a[i]]
+            else:
+                j += 1
+                y += size_b[b[j]]
+        self.groups.append(text)
+        self.to.append(len(linked))
+        self.many.append(groups)
         number = self.seen[key] = len(self.many) - 1
         return number
 
@@ -123,7 +134,7 @@ class Aligner:
             self.forget()
         ids = [self.t.encode(x or "") for x in texts]
         n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for x in ids for i in x[k]), np.int32, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+        a, b = (np.fromiter(chain.from_iterable([x[k] for x in ids]), np.int32, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
         end_a, end_b = np.cumsum(self.t.size_a[a]), np.cumsum(self.t.size_b[b])
         total = int(end_a[-1]) + 1 if len(a) else 1
         is_a, is_b = np.zeros(total, bool), np.zeros(total, bool)
