@@ -97,6 +97,19 @@ def test_high_pass(n):
     assert np.abs(signal.high_pass(x, n, 0.3) - by_definition(x, n // 2 * 2, 0.3)).max() < 1e-12
 
 
+@pytest.mark.parametrize(("n", "rows", "part"), [(10, 90, 20), (11, 61, 7), (80, 90, 30), (80, 81, 80), (30, 100, 3)])
+def test_filters_and_wavelets_over_parts_equal_the_whole_clip(spark, n, rows, part):
+    x = np.random.default_rng(rows).normal(size=rows)
+    f = clip(spark, x).withColumnRenamed("x", "AccX").unionByName(clip(spark, x[: n + 5], "b").withColumnRenamed("x", "AccX"))
+    for name, size in (("a", rows), ("b", min(rows, n + 5))):
+        got = {r.t: r for r in signal.filtered(f, ["AccX"], n, 0.3, part).where(f"clip_id = '{name}'").collect()}
+        want = signal.high_pass(x[:size], n, 0.3)
+        assert sorted(got) == list(range(size)) and max(abs(got[t].AccX_dynamic - want[t]) for t in range(size)) < 1e-10
+        w = {r.t: r["values"] for r in signal.wavelets(f, ["AccX"], 1.0, n=3, longest=12, every=2, normalise=True, part=part).where(f"clip_id = '{name}'").collect()}
+        m = signal.morlet((x[:size] - x[:size].mean()) / (x[:size].std() + 1e-6), 1.0, 3, None, 12, 10)
+        assert sorted(w) == list(range(0, size, 2)) and np.abs(np.array([w[t] for t in sorted(w)]).T - m[:, ::2]).max() < 1e-4
+
+
 def test_taps_gain_one_at_nyquist():
     h = signal.taps(20, 0.4)
     assert (h * np.cos(math.pi * (np.arange(21) - 10))).sum() == pytest.approx(1)

@@ -39,22 +39,24 @@ class Frame:
 
     def __init__(self, half: int, part: int = PART):
         self.half, self.length, self.part = half, 2 * half + 1, part
-        self.needs: dict[str, Need] = {}
+        self.needs: dict[str, Need] = {}  # running aggregates
+        self.merged: dict[str, Column] = {}  # of two pieces; columns of their own, as several expressions read them
+        self.later: dict[str, Column] = {}  # what reads merged ones
         self.paired: set[str] = set()
 
     def _need(self, name: str, aggregate: Need) -> str:
         self.needs.setdefault(name, aggregate)
         return name
 
-    @staticmethod
-    def _both(alone: Callable[[Column], Column], merged: Callable[[Column, Column], Column]) -> Column:
+    def _both(self, name: str, alone: Callable[[Column], Column], merged: Callable[[Column, Column], Column], later: bool = False) -> Column:
         """Of the two pieces, merged where both exist."""
-        a, b = F.col("_rest"), F.col("_begun")
-        return F.when(a.isNull(), alone(b)).when(b.isNull(), alone(a)).otherwise(merged(a, b))
+        a, b, name = F.col("_rest"), F.col("_begun"), f"_w_{name}"
+        (self.later if later else self.merged).setdefault(name, F.when(a.isNull(), alone(b)).when(b.isNull(), alone(a)).otherwise(merged(a, b)))
+        return F.col(name)
 
     def _sum(self, name: str, aggregate: Need) -> Column:
         self._need(name, aggregate)
-        return self._both(lambda a: a[name], lambda a, b: a[name] + b[name])
+        return self._both(name, lambda a: a[name], lambda a, b: a[name] + b[name])
 
     def total(self, c: Column, name: str) -> Column:
         return self._sum(f"sum_{name}", lambda w, up: F.sum(c).over(w))
@@ -65,7 +67,7 @@ class Frame:
     def extreme(self, c: str, kind: str) -> Column:
         name = self._need(f"{kind}_{c}", lambda w, up: getattr(F, kind)(F.col(c)).over(w))
         pick = F.greatest if kind == "max" else F.least
-        return self._both(lambda a: a[name], lambda a, b: pick(a[name], b[name]))
+        return self._both(name, lambda a: a[name], lambda a, b: pick(a[name], b[name]))
 
     def _mean(self, c: str) -> str:
         self.count()
@@ -73,7 +75,7 @@ class Frame:
 
     def mean(self, c: str) -> Column:
         m = self._mean(c)
-        return self._both(lambda a: a[m], lambda a, b: a[m] + (b[m] - a[m]) * b["n"] / (a["n"] + b["n"]))
+        return self._both(m, lambda a: a[m], lambda a, b: a[m] + (b[m] - a[m]) * b["n"] / (a["n"] + b["n"]))
 
     def central(self, c: str, power: int = 2) -> Column:
         """Sum of the powers (2 to 4) of differences from the mean."""
@@ -96,13 +98,13 @@ class Frame:
             far = d * d * d * d * p * q * (p * p - p * q + q * q) / (s * s * s)
             return a[m4] + b[m4] + far + 6 * d * d * (p * p * b[m2] + q * q * a[m2]) / (s * s) + 4 * d * (p * b[m3] - q * a[m3]) / s
 
-        return self._both(lambda a: a[f"m{power}_{c}"], merged)
+        return self._both(f"m{power}_{c}", lambda a: a[f"m{power}_{c}"], merged)
 
     def comoment(self, x: str, y: str) -> Column:
         """Sum of the products of both channels' differences from their means."""
         mx, my = self._mean(x), self._mean(y)
         c = self._need(f"c_{x}_{y}", lambda w, up: F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double")).over(w) * F.count("*").over(w))
-        return self._both(lambda a: a[c], lambda a, b: a[c] + b[c] + (b[mx] - a[mx]) * (b[my] - a[my]) * a["n"] * b["n"] / (a["n"] + b["n"]))
+        return self._both(c, lambda a: a[c], lambda a, b: a[c] + b[c] + (b[mx] - a[mx]) * (b[my] - a[my]) * a["n"] * b["n"] / (a["n"] + b["n"]))
 
     def lagged(self, x: str) -> tuple[Column, Column]:
         """Pairs of neighbouring rows of the frame: how many, and the sum of the products of their differences from the frame's mean.
@@ -121,8 +123,8 @@ class Frame:
         edge = self._need(f"edge_{x}", lambda w, up: F.first(own).over(w))  # a rest's last row, a begin's first one
         mean = self.mean(x)
         about = lambda p: p[c] + p[n] * (p[ml] - mean) * (p[me] - mean)
-        pairs = self._both(lambda a: a[n], lambda a, b: a[n] + b[n] + 1)
-        return pairs, self._both(about, lambda a, b: about(a) + about(b) + (b[edge] - mean) * (a[edge] - mean))
+        pairs = self._both(n, lambda a: a[n], lambda a, b: a[n] + b[n] + 1)
+        return pairs, self._both(f"lagged_{x}", about, lambda a, b: about(a) + about(b) + (b[edge] - mean) * (a[edge] - mean), later=True)
 
     def stats(self, x: str, wanted: Sequence[str] = STATS) -> dict[str, Column]:
         """Statistics of channel x, all eight or the wanted ones."""
@@ -171,7 +173,8 @@ class Frame:
         end = F.max_by(begun, "t").over(clip)  # where the clip ends before the frame does
         d = d.withColumns({"_rest": F.lag("_down", self.half).over(clip.orderBy("t")), "_begun": F.coalesce(F.lead(begun, self.half).over(clip.orderBy("t")), end)}).where(own(self.part))
         inside = F.col("_rest").isNotNull() & (F.col("_begun._block") == F.floor((F.col("t") - self.half) / self.length))
-        return d.withColumn("_begun", F.when(~inside, F.col("_begun._up"))).drop("_up", "_down")
+        d = d.withColumn("_begun", F.when(~inside, F.col("_begun._up"))).drop("_up", "_down")
+        return d.withColumns(self.merged).withColumns(self.later) if self.later else d.withColumns(self.merged)
 
 
 def channel_features(frames: DataFrame, channels: Sequence[str], half: int, stats: Sequence[str] = STATS) -> DataFrame:

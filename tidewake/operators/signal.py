@@ -1,7 +1,7 @@
 """Signal operators on recordings: filters, normalisation, wavelets, whitening.
 
-A filter or a wavelet sees a whole clip, so these are vectorised functions over one clip at a time; a clip is one recording and fits in memory by
-its nature. Normalisations are aggregates.
+A filter or a wavelet sees a bounded way around each row, so clips are dealt in parts with the rows around them (overlap-save): a clip spans tasks, and a
+task holds one part. Ends of a clip are told from ends of a part by the rows that are there. Normalisations are aggregates.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from tidewake.functions.expr import norm
 
 from .features import triads
+from .parts import PART, with_parts
 
 
 def taps(n: int, cut: float) -> np.ndarray:
@@ -42,6 +43,23 @@ def high_pass(x: np.ndarray, n: int, cut: float) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(padded, size) * np.fft.rfft(taps(n, cut), size), size)[n : n + len(x)]
 
 
+def high_pass_part(x: np.ndarray, begin: int, end: int, first: bool, last: bool, n: int, cut: float) -> np.ndarray:
+    """high_pass() of the rows begin .. end of a clip, from x, which holds n // 2 rows more on either side; up to the clip's begin (first) or end (last)."""
+    n = n // 2 * 2
+    half = n // 2
+    if first and last and len(x) <= half:
+        raise ValueError("the clip is shorter than half the filter")
+    if first:
+        x, begin, end = np.concatenate(([0.0] if half else [], x[1:half][::-1], x)), begin + half, end + half
+    if last:
+        x = np.concatenate((x, x[-2 : -half - 2 : -1]))
+    x = x[begin - half : end + half]
+    if n <= 64:
+        return np.convolve(x, taps(n, cut), "valid")
+    size = 1 << (len(x) + n).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps(n, cut), size), size)[n : n + end - begin]
+
+
 def filter_length(cut_hz: float, sr: float) -> int:
     return 5 * round(sr / cut_hz)
 
@@ -53,22 +71,30 @@ def static_dynamic(frames: DataFrame, channels: Sequence[str], cut_hz: float, sr
     return filtered(frames, channels, filter_length(cut_hz, sr), cut_hz / (sr / 2))
 
 
-def filtered(frames: DataFrame, channels: Sequence[str], n: int, cut: float) -> DataFrame:
+def filtered(frames: DataFrame, channels: Sequence[str], n: int, cut: float, part: int = PART) -> DataFrame:
     """static_dynamic() by a filter of length n and a cut-off relative to Nyquist."""
     acc = [c for c in channels if "Acc" in c]
-    fields = []
+    half, fields = n // 2, []
     for f in frames.schema.fields:
         fields += [StructField(f"{f.name}_{p}", DoubleType()) for p in ("static", "dynamic")] if f.name in acc else [f]
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        for c in acc:
-            x = pdf[c].to_numpy(float)
-            y = high_pass(x, n, cut)
-            pdf[f"{c}_static"], pdf[f"{c}_dynamic"] = x - y, y
-        return pdf[[f.name for f in fields]]
-
-    return frames.groupBy("clip_id").applyInPandas(split, StructType(fields))
+        t = pdf["t"].to_numpy()
+        begin, end = np.searchsorted(t, (key[1] * part, (key[1] + 1) * part))
+        out = pdf.iloc[begin:end].copy()
+        if begin < end:
+            # rows that a clip's mirrored end needs are there, as the part holds half a filter's rows beyond its own
+            last = t[-1] < (key[1] + 1) * part + half
+            for c in acc:
+                x = pdf[c].to_numpy(float)
+                y = high_pass_part(x, int(begin), int(end), t[0] == 0, bool(last), n, cut)
+                out[f"{c}_static"], out[f"{c}_dynamic"] = x[begin:end] - y, y
+        else:
+            out = out.reindex(columns=[f.name for f in fields])
+        return out[[f.name for f in fields]]
+
+    return with_parts(frames, half + 1, half + 1, part).groupBy("clip_id", "_part").applyInPandas(split, StructType(fields))
 
 
 def scale_acceleration(frames: DataFrame, channels: Sequence[str]) -> DataFrame:
@@ -104,13 +130,16 @@ def periods(n: int, shortest: float, longest: float) -> np.ndarray:
     return shortest * 2 ** (np.arange(n) * np.log2(longest / shortest) / (n - 1)) if n > 1 else np.array([shortest])
 
 
-def morlet(x: np.ndarray, sr: float, n: int, shortest: float | None, longest: float, w: float) -> np.ndarray:
-    """Magnitudes (n, len(x)) of the Morlet wavelet transform at n periods in seconds, in geometric steps; shortest: two samples by default."""
-    lam = periods(n, 2 / sr if shortest is None else shortest, longest)
-    widths = (w + math.sqrt(2 + w * w)) / (4 * math.pi) * lam * sr
+def widths(sr: float, n: int, shortest: float | None, longest: float, w: float) -> np.ndarray:
+    """Of the Morlet wavelets at n periods in seconds, in geometric steps, in rows; shortest: two samples by default."""
+    return (w + math.sqrt(2 + w * w)) / (4 * math.pi) * periods(n, 2 / sr if shortest is None else shortest, longest) * sr
+
+
+def morlet(x: np.ndarray, sr: float, n: int, shortest: float | None, longest: float, w: float, rows: int | None = None) -> np.ndarray:
+    """Magnitudes (n, len(x)) of the Morlet wavelet transform; rows: of the clip, if x is a part of it."""
     out = np.empty((n, len(x)))
-    for k, s in enumerate(widths):
-        m = int(min(10 * s, len(x)))
+    for k, s in enumerate(widths(sr, n, shortest, longest, w)):
+        m = int(min(10 * s, rows or len(x)))
         u = (np.arange(m) - (m - 1) / 2) / s
         wave = np.conj((math.pi**-0.25 * math.sqrt(1 / s) * np.exp(1j * w * u) * np.exp(-0.5 * u * u))[::-1])
         size = 1 << (len(x) + m).bit_length()
@@ -120,22 +149,28 @@ def morlet(x: np.ndarray, sr: float, n: int, shortest: float | None, longest: fl
     return out
 
 
-def wavelets(frames: DataFrame, channels: Sequence[str], sr: float, n: int = 25, shortest: float | None = None, longest: float = 100, w: float = 10, normalise: bool = False, every: int = 1) -> DataFrame:
-    """clip_id, t, values: magnitudes of all channels' wavelets, channel after channel, of every `every`-th row, as 32-bit values."""
+def wavelets(frames: DataFrame, channels: Sequence[str], sr: float, n: int = 25, shortest: float | None = None, longest: float = 100, w: float = 10, normalise: bool = False, every: int = 1, part: int = PART) -> DataFrame:
+    """clip_id, t, values: magnitudes of all channels' wavelets, channel after channel, of every `every`-th row, as 32-bit values.
+
+    A wavelet is ten widths long, or as long as its clip, so a row needs the rows within five of the largest width.
+    """
+    reach = int(5 * widths(sr, n, shortest, longest, w).max()) + 1
+    d = z_clip(frames, channels) if normalise else frames
+    d = d.select("clip_id", "t", *channels, F.count("*").over(Window.partitionBy("clip_id")).alias("_rows"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        parts = []
-        for c in channels:
-            x = pdf[c].to_numpy(float)
-            if normalise:
-                x = (x - x.mean()) / (x.std() + 1e-6)
-            parts.append(morlet(x, sr, n, shortest, longest, w))
-        v = np.concatenate(parts).T[::every].astype(np.float32).astype(float)
-        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy()[::every], "t": pdf["t"].to_numpy()[::every], "values": list(v)})
+        t = pdf["t"].to_numpy()
+        begin, end = np.searchsorted(t, (key[1] * part, (key[1] + 1) * part))
+        keep = np.arange(begin, end)
+        keep = keep[t[keep] % every == 0]
+        if not len(keep):
+            return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy()[:0], "t": t[:0], "values": pd.Series([], dtype=object)})
+        v = np.concatenate([morlet(pdf[c].to_numpy(float), sr, n, shortest, longest, w, int(pdf["_rows"].iloc[0]))[:, keep] for c in channels]).T.astype(np.float32).astype(float)
+        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy()[keep], "t": t[keep], "values": list(v)})
 
     kind = frames.schema["clip_id"].dataType
-    return frames.select("clip_id", "t", *channels).groupBy("clip_id").applyInPandas(run, StructType([StructField("clip_id", kind), frames.schema["t"], StructField("values", ArrayType(DoubleType()))]))
+    return with_parts(d, reach, reach, part).groupBy("clip_id", "_part").applyInPandas(run, StructType([StructField("clip_id", kind), frames.schema["t"], StructField("values", ArrayType(DoubleType()))]))
 
 
 def mle_dimension(values: np.ndarray, n: int) -> int:
