@@ -52,3 +52,33 @@ def test_viterbi_follows_sticky_states():
     x = np.array([[0.0]] * 5 + [[9.0]] * 5)
     s = models.viterbi(x, np.log([0.5, 0.5]), np.log([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.0], [9.0]]), np.ones((2, 1)))
     assert s.tolist() == [0] * 5 + [1] * 5
+
+
+def test_paths_in_parts_equal_the_whole_clip(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    k, d = 3, 2
+    m = models.Hmm(k, 0)
+    m.start, m.move = np.log(rng.dirichlet(np.ones(k))), np.log(rng.dirichlet(np.ones(k) + 5 * np.eye(k)[0], size=k))
+    m.mean, m.var, m.centre, m.scale = rng.normal(size=(k, d)), rng.uniform(0.5, 2, size=(k, d)), np.array([1.0, -2.0]), np.array([2.0, 0.5])
+    clips = {"a": rng.normal(size=(61, d)), "b": rng.normal(size=(7, d)), "c": rng.normal(size=(1, d)), "d": rng.normal(size=(14, d))}
+    rows = spark.createDataFrame([(c, 3 * t, Vectors.dense(v)) for c, x in clips.items() for t, v in enumerate(x)], ["clip_id", "t", "features"])
+    for size in (1, 7, 100):
+        monkeypatch.setattr(models.Hmm, "PART", size)
+        got = {(r.clip_id, r.t): r.pred for r in m.predict(rows).collect()}
+        want = {(c, 3 * t): p for c, x in clips.items() for t, p in enumerate(models.viterbi((x - m.centre) / m.scale, m.start, m.move, m.mean, m.var))}
+        assert got == want
+    whole = models.transfer(clips["a"], m.move, m.mean, m.var)
+    left, right = models.transfer(clips["a"][:20], m.move, m.mean, m.var), models.transfer(clips["a"][20:], m.move, m.mean, m.var)
+    assert np.abs((left[:, :, None] + right[None]).max(1) - whole).max() < 1e-9
+
+
+def test_hmm_scales_by_the_rows_of_whole_chunks(rows, spark):
+    far = rows.selectExpr("clip_id", "t * 4 AS t", "label", "features").unionByName(spark.createDataFrame([("short", 0, 1, Vectors.dense([1e6, 1e6]))], rows.schema))
+    m = models.model("hmm", 2, 0, temporal_window_samples=60, N_iters=8).fit(far)
+    x = np.array([r.features.toArray() for r in rows.collect()])
+    assert np.allclose(m.centre, x.mean(0)) and np.allclose(m.scale, x.std(0)) and len(m.likelihood) == 8
+    assert agreement(m.predict(far).where("clip_id <> 'short'")) > 0.95
+    tables = m.diagnostics(spark)
+    assert tables["likelihood"].count() == 8 and abs(tables["transitions"].groupBy("state").sum("probability").first()[1] - 1) < 1e-9
+    with pytest.raises(ValueError, match="whole chunk"):
+        models.model("hmm", 2, 0, temporal_window_samples=500).fit(far)

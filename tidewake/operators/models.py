@@ -9,9 +9,9 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .frames import class_weights
 from .signal import Whitening
@@ -31,6 +31,10 @@ class BehaviourModel:
     def predict(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def diagnostics(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """Tables on a fit, by name."""
+        return {}
+
     def _state(self) -> dict[str, Any]:
         """What a fit found, but for Spark ML's own models, as lists and numbers."""
         return {}
@@ -219,8 +223,8 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def viterbi(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """The likeliest states. start, move: log probabilities."""
+def viterbi(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray, end: int | None = None) -> np.ndarray:
+    """The likeliest states, of those that end in state `end` if one is given. start, move: log probabilities."""
     emit = _log_normal(x, mean, var)
     back = np.zeros((len(x), len(start)), np.int32)
     now = start + emit[0]
@@ -229,45 +233,82 @@ def viterbi(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray
         back[t] = s.argmax(0)
         now = s.max(0) + emit[t]
     out = np.empty(len(x), np.int64)
-    out[-1] = now.argmax()
+    out[-1] = now.argmax() if end is None else end
     for t in range(len(x) - 1, 0, -1):
         out[t - 1] = back[t, out[t]]
     return out
 
 
+def transfer(x: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Of the best paths through rows x, the log probability from each state before the first row (or from the first states of a clip, one row) to each
+    state of the last one. Products of such matrices, with maxima for sums, are those of the joined rows."""
+    emit = _log_normal(x, mean, var)
+    now = (move if start is None else start[None]) + emit[0]
+    for t in range(1, len(x)):
+        now = (now[:, :, None] + move[None]).max(1) + emit[t]
+    return now
+
+
+def borders(parts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of each part of a clip (its transfer matrices in order), the state before it and its last state on the best path; before the first one, -1."""
+    best, back = parts[0][0], []
+    for m in parts[1:]:
+        s = best[:, None] + m
+        back.append(s.argmax(0))
+        best = s.max(0)
+    ends = [int(best.argmax())]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    ends.reverse()
+    return list(zip([-1, *ends[:-1]], ends, strict=True))
+
+
 class Hmm(BehaviourModel):
     """A Gaussian hidden Markov model, of diagonal or full covariance: expectations by chunks of temporal_window_samples rows in Spark tasks, summed there,
     maximisation on the driver.
 
-    Whole chunks of a clip train (a rest is dropped); prediction is Viterbi over whole clips. Starts from k-means. What is maximised has a
-    Dirichlet prior on the first states and on each row of moves, and a normal-inverse-gamma (or Wishart) one on emissions.
+    Whole chunks of a clip's rows train (a rest is dropped); features are scaled by the mean and deviation of these rows, a constant one is only
+    centred. Starts from k-means. What is maximised has a Dirichlet prior on the first states and on each row of moves, and a normal-inverse-gamma (or
+    Wishart) one on emissions. All N_iters iterations are made; likelihood has a value for each.
+
+    Prediction is the best path over a whole clip, found in parts of PART rows: each part gives the best scores from any state before it to any
+    state at its end, a clip's parts are chained over these matrices, and each part then finds its path between its border states.
     """
 
     FIRST = 1.1  # fixed value: the concentration of first states
+    PART = 1 << 15  # rows of a clip that one task decodes
 
     def fit(self, rows: DataFrame) -> Hmm:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
         s, k = self.settings, self.clusters
         w, full = s.get("temporal_window_samples", 2500), s.get("covariance", "diagonal") == "full"
+        place = F.row_number().over(Window.partitionBy("clip_id").orderBy("t")) - 1
+        whole = F.count("*").over(Window.partitionBy("clip_id"))
+        rows = rows.withColumns({"_place": place, "_rows": whole}).where(F.col("_place") < F.col("_rows") - F.col("_rows") % w)
+        rows = rows.select("clip_id", F.floor(F.col("_place") / w).alias("chunk"), "t", "features").persist()
+        n = rows.count()
+        if not n:
+            rows.unpersist()
+            raise ValueError("no clip has a whole chunk")
+        told = rows.select(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s")).first()["s"]
+        self.centre, spread = told["mean"].toArray(), np.sqrt(told["variance"].toArray() * (n - 1) / n)
+        self.scale = np.where(spread > 0, spread, 1.0)
+        scaled = F.zip_with(vector_to_array("features"), F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(d)).alias("d")) for m, d in zip(self.centre, self.scale, strict=True))), lambda x, y: (x - y["m"]) / y["d"])
+        rows = rows.withColumn("features", array_to_vector(scaled))
         start = KMeans(k, self.seed, n_init=1, max_iter=20).fit(rows)
         mean = np.array(start.fitted.clusterCenters())
-        if rows.isEmpty():
-            raise ValueError("no rows")
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        from pyspark.ml.stat import Summarizer
-
         spread = np.maximum(rows.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray(), 1e-3)
         self.mean, self.var = mean, np.tile(np.diag(spread), (k, 1, 1)) if full else np.tile(spread, (k, 1))
         self.start, self.move = np.full(k, -math.log(k)), np.log(np.full((k, k), 0.1 / k) + 0.9 * np.eye(k))
         self.likelihood: list[float] = []
         d = mean.shape[1]
         cuts = np.cumsum([1, k, k * k, k, k * d])
-        chunks = rows.select("clip_id", F.floor(F.col("t") / w).alias("chunk"), "t", vector_to_array("features").alias("x")).groupBy("clip_id", "chunk")
+        chunks = rows.select("clip_id", "chunk", "t", vector_to_array("features").alias("x")).groupBy("clip_id", "chunk")
         for _ in range(s.get("N_iters", 50)):
-            parts = chunks.applyInPandas(self._expect(w), "part array<double>").select(array_to_vector("part").alias("part"))
-            got = parts.agg(F.count("*").alias("n"), Summarizer.sum(F.col("part")).alias("part")).first()  # summed by the tasks
-            if not got["n"]:
-                raise ValueError("no clip has a whole chunk")
-            total = got["part"].toArray()
+            parts = chunks.applyInPandas(self._expect(), "part array<double>").select(array_to_vector("part").alias("part"))
+            total = parts.agg(Summarizer.sum(F.col("part")).alias("part")).first()["part"].toArray()  # summed by the tasks
             if np.isnan(total).any():
                 raise ValueError("the likelihood is not a number")
             like, a, b, g, gx, gxx = np.split(total, cuts)
@@ -285,17 +326,13 @@ class Hmm(BehaviourModel):
             else:  # of the inverse gamma
                 scatter = gxx.reshape(k, d) - (g + c)[:, None] * self.mean**2
                 self.var = np.maximum((scale + scatter / 2) / (s.get("cov_concentration", 0.1) + g / 2 + 1.5)[:, None], 1e-6)
-            if len(self.likelihood) > 1 and abs(self.likelihood[-1] - self.likelihood[-2]) < 1e-6 * abs(self.likelihood[-1]):
-                break
         return self
 
-    def _expect(self, w: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def _expect(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
         start, move, mean, var = self.start, self.move, self.mean, self.var
         square = "nk,ni,nj->kij" if var.ndim == 3 else "nk,ni,ni->ki"
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            if len(pdf) < w:
-                return pd.DataFrame({"part": pd.Series([], dtype=object)})
             x = np.stack(pdf.sort_values("t")["x"].to_list())
             emit = _log_normal(x, mean, var)
             n, k = emit.shape
@@ -317,22 +354,47 @@ class Hmm(BehaviourModel):
     def predict(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        start, move, mean, var = self.start, self.move, self.mean, self.var
+        start, move, mean, var, centre, scale, size = self.start, self.move, self.mean, self.var, self.centre, self.scale, self.PART
+        of = lambda pdf: (np.stack(pdf["x"].to_list()) - centre) / scale
+        clip, t = rows.schema["clip_id"], rows.schema["t"]
+        long = LongType()
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("t")
-            return pdf[["clip_id", "t"]].assign(pred=viterbi(np.stack(pdf["x"].to_list()), start, move, mean, var).astype(np.int32))
+        def matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            m = transfer(of(pdf.sort_values("t")), move, mean, var, None if key[1] else start)
+            return pd.DataFrame({"clip_id": [key[0]], "part": [key[1]], "m": [m.ravel().tolist()]})
+
+        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part")
+            found = borders([np.array(m).reshape(-1, len(start)) for m in pdf["m"]])
+            return pdf[["clip_id", "part"]].assign(before=[x for x, _ in found], end=[y for _, y in found])
 
-        kind = StructType([rows.schema["clip_id"], rows.schema["t"], StructField("pred", IntegerType())])
-        pred = rows.select("clip_id", "t", vector_to_array("features").alias("x")).groupBy("clip_id").applyInPandas(run, kind)
+        def path(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("t")
+            before, end = int(pdf["before"].iloc[0]), int(pdf["end"].iloc[0])
+            return pdf[["clip_id", "t"]].assign(pred=viterbi(of(pdf), start if before < 0 else move[before], move, mean, var, end).astype(np.int32))
+
+        # parts by place, not by t: rows may be every n-th of a clip
+        place = F.row_number().over(Window.partitionBy("clip_id").orderBy("t")) - 1
+        x = rows.select("clip_id", "t", vector_to_array("features").alias("x"), F.floor(place / size).alias("part"))
+        parts = x.groupBy("clip_id", "part").applyInPandas(matrix, StructType([clip, StructField("part", long), StructField("m", ArrayType(DoubleType()))]))
+        ends = parts.groupBy("clip_id").applyInPandas(chain, StructType([clip, StructField("part", long), StructField("before", long), StructField("end", long)]))
+        pred = x.join(ends, ["clip_id", "part"]).groupBy("clip_id", "part").applyInPandas(path, StructType([clip, t, StructField("pred", IntegerType())]))
         return rows.join(pred, ["clip_id", "t"])
 
+    def diagnostics(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """likelihood: iteration, log_probability (of the posterior's likelihood part); transitions: state, next, probability."""
+        p = np.exp(self.move)
+        return {
+            "likelihood": spark.createDataFrame([(k, x) for k, x in enumerate(self.likelihood)], "iteration int, log_probability double"),
+            "transitions": spark.createDataFrame([(i, j, float(p[i, j])) for i in range(len(p)) for j in range(len(p))], "state int, next int, probability double"),
+        }
+
     def _state(self) -> dict[str, Any]:
-        return {x: getattr(self, x).tolist() for x in ("start", "move", "mean", "var")}
+        return {x: getattr(self, x).tolist() for x in ("start", "move", "mean", "var", "centre", "scale")} | {"likelihood": self.likelihood}
 
     def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
         for x, v in state.items():
-            setattr(self, x, np.array(v))
+            setattr(self, x, v if x == "likelihood" else np.array(v))
 
 
 def _absent(name: str, needs: str) -> Callable[..., BehaviourModel]:
