@@ -7,6 +7,9 @@ def test_folds():
     assert c.folds(5) == {"test": [0], "val": [1], "train": [2, 3, 4]}
     assert c.folds(5, [0], low_data=True) == {"test": [0], "train": [4], "val": [1, 2, 3]}
     assert c.folds(5, [2]) == {"test": [2], "val": [], "train": [0, 1, 3, 4]}
+    assert c.folds(5, [2], val=[0]) == {"test": [2], "val": [0], "train": [1, 3, 4]}
+    with pytest.raises(ValueError):
+        c.folds(5, [2], val=[2])
     with pytest.raises(ValueError):
         c.folds(5, [0, 1], low_data=True)
 
@@ -28,6 +31,8 @@ def test_defaults_merge():
     assert run["static_acc_cutoff_freq"] == 0 and run["balance_classes"] is False and run["unsupervised"] is False
     with pytest.raises(ValueError):
         c.with_defaults({"model": "nothing"})
+    with pytest.raises(ValueError, match="no model"):
+        c.with_defaults({"seed": 1})
 
 
 @pytest.mark.parametrize(("model", "dataset", "no", "want"), [("rf", "HAR", True, [1.6]), ("CRNN", "ladds_seals", True, [0]), ("rf", "desantis_rattlesnakes", False, [0]), ("kmeans", "HAR", False, [0, 0.1, 0.4, 1.6, 6.4]), ("wavelet_rf", "HAR", False, [0])])

@@ -28,7 +28,12 @@ def test_sweep_resumes_and_best_goes_to_the_other_folds(spark, tmp_path, monkeyp
     points = [point("p0", context_window_sec=1), point("p1", model="umapper")]
     out = runs.cross_validate(d, meta, points, str(tmp_path))  # the second point can't run here, and is left out
     scores = {r.split: r for r in out["scores"].collect()}
-    assert scores["test"].f1_mean > 0.8 and out["confusion"].agg(F.sum("n")).first()[0] == 2 * 64
+    assert scores["test"].f1_mean > 0.8 and out["confusion"].where("split = 'test'").agg(F.sum("n")).first()[0] == 2 * 64
+    assert {(r.split, r.label): r.truth for r in out["labels"].collect()}[("test", 1)] == 2 * 32 and out["confusion"].where("split = 'train'").count() == 4
+    from tidewake.sources import clips
+
+    told = clips.read_yaml(spark, f"{tmp_path}/hyperparameter_selection/summary")
+    assert told["done"] == ["p0"] and "umap" in told["failed"]["p1"]
     again = []
     monkeypatch.setattr(runs, "predictions", lambda *a: again.append(a))
     assert runs.sweep(d, meta, points[:1], f"{tmp_path}/hyperparameter_selection", resume=True)["experiment_name"] == "p0" and not again
@@ -41,8 +46,52 @@ def test_models_without_labels_and_settings_files(spark, tmp_path):
     clips.write_document(spark, point("k", "kmeans", max_iter=5, n_init=1, whiten=False) | {"output_parent_dir": str(tmp_path)}, f"{tmp_path}/k.json")
     folder = runs.run_config(spark, f"{tmp_path}/k.json", d, meta)
     assert spark.read.parquet(f"{folder}/predictions").count() == 240 and spark.read.parquet(f"{folder}/mapping").count() == 20
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="vame"):
         runs.sweep(d, meta, [point("x", "vame")], str(tmp_path))
+    want = {(r.clip_id, r.t): r.pred for r in spark.read.parquet(f"{folder}/predictions").collect()}
+    assert {(r.clip_id, r.t): r.pred for r in runs.predict_saved(spark, folder, d.drop("label", "individual_id"), meta).collect()} == want
+
+
+def test_a_classic_run_keeps_its_model(spark, tmp_path):
+    d, meta = dataset(spark)
+    folder = runs.run(d, meta, point("p", normalize=True, context_window_sec=1) | {"val_folds": [1]}, str(tmp_path))
+    want = {(r.clip_id, r.t): r.pred for r in spark.read.parquet(f"{folder}/predictions").collect()}
+    assert {(r.clip_id, r.t): r.pred for r in runs.predict_saved(spark, folder, d.drop("label", "individual_id"), meta).collect()} == want
+    assert {r.split for r in spark.read.parquet(f"{folder}/individual").collect()} == {"test", "val", "train"}
+
+
+def test_a_hidden_markov_run_strides_wavelets_only(spark, tmp_path):
+    d, meta = dataset(spark)
+    folder = runs.run(d, meta, point("h", "hmm", downsample=2, temporal_window_samples=40, N_iters=3) | {"num_clusters": 2}, str(tmp_path))
+    assert spark.read.parquet(f"{folder}/likelihood").count() == 3 and spark.read.parquet(f"{folder}/transitions").count() == 4
+    told = d.withColumn("split", F.lit("train"))
+    rows = lambda model, **own: runs.training_rows(told, {"model": model, "model_config": own})
+    assert [rows("hmm", downsample=2).count(), rows("hmm", downsample=2, wavelet_transform=True).count(), rows("kmeans", downsample=50).count(), rows("gmm", downsample=50).count()] == [240, 120, 6, 5]
+    assert sorted((r.clip_id, r.t) for r in rows("gmm", downsample=50).collect()) == [("c0", 0), ("c0", 50), ("c1", 20), ("c1", 70), ("c2", 40)]
+
+
+def test_runs_overlap_and_one_failing_leaves_others(spark, tmp_path, monkeypatch):
+    import threading
+
+    d, meta = dataset(spark)
+    met = threading.Barrier(2, timeout=60)
+
+    def slow(frames, meta, settings, path, resume):
+        name = settings["experiment_name"]
+        if name in ("a", "b"):
+            met.wait()  # both must be there
+        if name == "bad":
+            raise RuntimeError("no such luck")
+        if name == "long":
+            spark.range(2).repartition(2).mapInPandas(lambda it: [__import__("time").sleep(60) or x for x in it], "id long").collect()
+        return f"{path}/{name}"
+
+    monkeypatch.setattr(runs, "run", slow)
+    failed = {}
+    done = runs.run_all(d, meta, [point(n) for n in ("a", "b", "bad", "c")], "x", at_once=2, failed=failed)
+    assert done == {n: f"x/{n}" for n in "abc"} and failed == {"bad": "no such luck"}
+    failed = {}
+    assert runs.run_all(d, meta, [point("long"), point("c")], "x", failed=failed, seconds=3) == {"c": "x/c"} and "seconds" in failed["long"]
 
 
 def test_wavelets_and_static_parts(spark):

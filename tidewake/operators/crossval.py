@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,16 @@ def summed_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("split", "label").agg(F.sum("truth").alias("truth"), F.sum("predicted").alias("predicted"))
 
 
-def summed_confusion(confusion: DataFrame) -> DataFrame:
-    """label, pred, n over folds, share of the grand total, and share of the true label's row."""
-    c = confusion.groupBy("label", "pred").agg(F.sum("n").alias("n"))
-    every, row = F.sum("n").over(Window.partitionBy()), F.sum("n").over(Window.partitionBy("label"))  # a row for each pair of labels
-    return c.select("label", "pred", "n", F.when(every > 0, F.col("n") / every).otherwise(0.0).alias("share"), F.when(row > 0, F.col("n") / row).otherwise(0.0).alias("row_share"))
+def individualised(scores: DataFrame) -> DataFrame:
+    """split, mean and population standard deviation of macro F1 under each individual's own cluster map, over the individuals of all folds."""
+    return scores.groupBy("split").agg(F.avg("macro_f1").alias("f1_individualized_mean"), F.stddev_pop("macro_f1").alias("f1_individualized_std"))
+
+
+def summed_confusion(confusion: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, label, pred, n over folds, share of the grand total, and share of the true label's row."""
+    c = confusion.groupBy(*keys, "label", "pred").agg(F.sum("n").alias("n"))
+    every, row = F.sum("n").over(Window.partitionBy(*keys)), F.sum("n").over(Window.partitionBy(*keys, "label"))  # a row for each pair of labels
+    return c.select(*keys, "label", "pred", "n", F.when(every > 0, F.col("n") / every).otherwise(0.0).alias("share"), F.when(row > 0, F.col("n") / row).otherwise(0.0).alias("row_share"))
 
 
 def by_prediction(counts: DataFrame) -> DataFrame:

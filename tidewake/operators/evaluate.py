@@ -169,7 +169,7 @@ def evaluate(frames: DataFrame, known: Sequence[int], clusters: int | None = Non
     else:
         mapped = supervised(frames)
     counts = contingency(mapped, ["split"], unknown)
-    out["labels"] = label_scores(counts, known, ["split"])
+    out["labels"] = label_scores(counts, known, ["split"]).withColumns({"truth": F.col("tp") + F.col("fn"), "predicted": F.col("tp") + F.col("fp")})
     out["confusion"] = confusion(counts, known, ["split"])
     out["overall"] = scored(mapped, known, ["split"], unknown, sr, overall_target).join(homogeneity(raw, ["split"]), "split", "left")
     keys = ["split", "individual_id"]

@@ -46,13 +46,21 @@ class BehaviourModel:
         """Write the settings and what was fitted below path, wherever Spark can write."""
         spark = spark or SparkSession.active()
         about = {"name": self.name, "clusters": self.clusters, "seed": self.seed, "settings": self.settings, "state": self._state()}
-        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        write_about(spark, about, path)
+
+
+def write_about(spark: SparkSession, about: dict[str, Any], path: str) -> None:
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def read_about(spark: SparkSession, path: str) -> dict[str, Any]:
+    return json.loads(spark.read.text(f"{path}/about").first()[0])
 
 
 def load(path: str, spark: SparkSession | None = None) -> BehaviourModel:
     """The model that save() wrote."""
     spark = spark or SparkSession.active()
-    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    about = read_about(spark, path)
     m = model(about["name"], about["clusters"], about["seed"], **about["settings"])
     m._restore(about["state"], spark, path)
     return m

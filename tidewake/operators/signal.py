@@ -7,7 +7,7 @@ task holds one part. Ends of a clip are told from ends of a part by the rows tha
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tidewake.functions.expr import norm
-
 from .features import triads
 from .parts import PART, with_parts
 
@@ -97,15 +95,21 @@ def filtered(frames: DataFrame, channels: Sequence[str], n: int, cut: float, par
     return with_parts(frames, half + 1, half + 1, part).groupBy("clip_id", "_part").applyInPandas(split, StructType(fields))
 
 
-def scale_acceleration(frames: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Each accelerometer triad over its clip's mean field strength. Comes before static_dynamic()."""
-    acc = [c for c in channels if "Acc" in c]
+def scale_acceleration(frames: DataFrame, channels: Sequence[str], parts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Each accelerometer triad over its clip's mean field strength.
+
+    parts: the columns that a channel was split into and that sum to it. All are divided by the whole channel's field strength, so that it doesn't matter
+    whether a clip is split before it is scaled.
+    """
+    acc, parts = [c for c in channels if "Acc" in c], parts or {}
     if len(acc) % 3:
         raise ValueError("accelerometer channels must come in threes")
     clip, d = Window.partitionBy("clip_id"), frames
+    columns = {a: list(parts.get(a, [a])) for a in acc}
     for axes in triads(acc):
-        d = d.withColumn("_field", F.avg(norm(*axes)).over(clip) + 1e-6)
-        d = d.withColumns({a: F.col(a) / F.col("_field") for a in axes})
+        whole = [sum((F.col(c) for c in columns[a][1:]), F.col(columns[a][0])) for a in axes]
+        d = d.withColumn("_field", F.avg(F.sqrt(sum((x * x for x in whole), F.lit(0.0)))).over(clip) + 1e-6)
+        d = d.withColumns({c: F.col(c) / F.col("_field") for a in axes for c in columns[a]})
     return d.drop("_field")
 
 

@@ -102,6 +102,8 @@ class Metadata:
 
 def with_defaults(run: Mapping[str, Any]) -> dict[str, Any]:
     """A run's settings over the defaults; given values win, also inside model_config."""
+    if "model" not in run:
+        raise ValueError(f"the settings name no model; they have {sorted(run)}")
     name = implementation(run["model"])
     if name not in DEFAULTS:
         raise ValueError(f"unknown model: {run['model']}")
@@ -127,11 +129,11 @@ def cluster_count(n_known: int, supervised: bool, n_labels: int | None = None, g
     return (n_labels if n_labels is not None else n_known + 1) if supervised else max(20, 4 * n_known)
 
 
-def folds(n: int, test: Sequence[int] | None = None, low_data: bool = False) -> dict[str, list[int]]:
+def folds(n: int, test: Sequence[int] | None = None, low_data: bool = False, val: Sequence[int] | None = None) -> dict[str, list[int]]:
     """Folds of the train, val and test splits.
 
-    Without test folds, fold 0 tests and fold 1 validates. With them all others train; with little data the one before the test fold
-    trains and the rest validate.
+    Without test folds, fold 0 tests and fold 1 validates. With them those of val validate and all others train; with little data the one
+    before the test fold trains and the rest validate. A fold can't test and validate.
     """
     every = list(range(n))
     if not test:
@@ -142,7 +144,10 @@ def folds(n: int, test: Sequence[int] | None = None, low_data: bool = False) ->
             raise ValueError("little data needs one test fold")
         train = [(test[0] - 1) % n]
         return {"test": test, "train": train, "val": [k for k in every if k not in test + train]}
-    return {"test": test, "val": [], "train": [k for k in every if k not in test]}
+    val = list(val or [])
+    if bad := [k for k in test + val if k not in every] or [k for k in val if k in test]:
+        raise ValueError(f"folds that don't exist or are given twice: {bad}")
+    return {"test": test, "val": val, "train": [k for k in every if k not in test + val]}
 
 
 def cutoffs(model: str, dataset: str, no_cutoff: bool = False) -> list[float]:
@@ -177,6 +182,18 @@ def model_grid(model: str, dataset: str) -> dict[str, list[Any]]:
     return {}
 
 
+def sweep_summary(model: str, dataset: str, runs: Sequence[Mapping[str, Any]]) -> dict[str, Any]:
+    """What a sweep tries: the values of each setting, how many points there are, and which are left out and why."""
+    grid = model_grid(model, dataset)
+    return {
+        "model": implementation(model),
+        "static_acc_cutoff_freq": sorted({r["static_acc_cutoff_freq"] for r in runs}),
+        "model_config": grid,
+        "points": len(runs),
+        "skipped": {r["experiment_name"]: r["skipped"] for r in runs if r.get("skipped")},
+    }
+
+
 def expand(grid: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
     """All points of a grid: keys sorted, the last one fastest; a point's id is its place."""
     keys = sorted(grid)

@@ -349,7 +349,7 @@ def standalone_individual(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_EV}, {_K}, {_prf('fm', 'split,')} SELECT split, label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pr")
 def standalone_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d)["labels"]
+    return _evaluated(spark, d)["labels"].drop("truth", "predicted")
 
 
 # -- cross-validation
