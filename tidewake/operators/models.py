@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -137,6 +137,109 @@ class KMeans(_Ml):
             self.white.matrix, self.white.scaler = np.array(state["matrix"]), StandardScalerModel.load(f"{path}/scaler")
 
 
+class MiniBatchKMeans(BehaviourModel):
+    """K-means by mini-batches: each step moves the centres towards the means of a batch's rows, at rates of one over the rows that a centre has had.
+
+    Rows are dealt to batches of batch_size by a seeded hash of clip and t, a new deal each epoch; a step is a Spark job over one batch, summed by the tasks, and the
+    driver holds the centres alone. It stops when the smoothed inertia of batches (weight min(1, 2 / (batches + 1)) of the new one) has
+    not been lowest for `patience` steps, or after max_iter epochs. Centres start by k-means++ over a sample of init_rows rows, as many for each centre as
+    it takes at least 10. Ties go to the first centre; centres that get no rows stay where they are.
+    """
+
+    def fit(self, rows: DataFrame) -> MiniBatchKMeans:
+        from pyspark.ml.functions import vector_to_array
+
+        s, rng = self.settings, np.random.default_rng(self.seed)
+        x = rows.select("clip_id", "t", vector_to_array("features").alias("x")).persist()
+        n = x.count()
+        if not n:
+            x.unpersist()
+            raise ValueError("no rows")
+        batches = max(1, round(n / s.get("batch_size", 1024)))
+        h = F.xxhash64(F.lit(self.seed), "clip_id", "t")
+        least = max(10 * self.clusters, s.get("init_rows", 3072))
+        some = np.array([r[0] for r in x.orderBy(h, "clip_id", "t").limit(least).select("x").collect()])  # a bounded sample
+        self.centres, seen = self._spread(some, rng), np.zeros(self.clusters)
+        alpha, smooth, lowest, idle = min(1.0, 2.0 / (batches + 1)), None, math.inf, 0
+        self.inertias: list[tuple[float, float]] = []
+        for epoch in range(s.get("max_iter", 100)):
+            dealt = F.pmod(F.xxhash64(F.lit(self.seed + epoch + 1), "clip_id", "t"), F.lit(batches))
+            for b in range(batches):
+                sums, count, inertia = self._step(x.where(dealt == b))
+                if not count.sum():
+                    continue
+                seen += count
+                use = count > 0
+                self.centres[use] += (sums[use] - count[use, None] * self.centres[use]) / seen[use, None]
+                value = inertia / count.sum()
+                smooth = value if smooth is None else smooth * (1 - alpha) + value * alpha
+                self.inertias.append((value, smooth))
+                idle = 0 if smooth < lowest else idle + 1
+                lowest = min(lowest, smooth)
+                if idle >= s.get("patience", 100):
+                    x.unpersist()
+                    return self
+        x.unpersist()
+        return self
+
+    def _spread(self, some: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """k-means++: each centre a row, the next one at odds of its squared distance to the nearest."""
+        centres = [some[rng.integers(len(some))]]
+        far = ((some - centres[0]) ** 2).sum(1)
+        while len(centres) < self.clusters:
+            k = rng.choice(len(some), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(some))
+            centres.append(some[k])
+            far = np.minimum(far, ((some - some[k]) ** 2).sum(1))
+        return np.array(centres, float)
+
+    def _step(self, batch: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+        """Sums and numbers of the rows nearest to each centre, and the sum of their squared distances."""
+        centres, k = self.centres, self.clusters
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, centres.shape[1] + 2))
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["x"].to_list())
+                    near, d = _nearest(x, centres)
+                    np.add.at(total, near, np.column_stack((x, np.ones(len(x)), d)))
+            yield pd.DataFrame({"c": np.arange(k), "v": total.tolist()})
+
+        e = batch.select("x").mapInPandas(run, "c int, v array<double>").select("c", F.posexplode("v").alias("j", "v"))
+        out = np.zeros((k, centres.shape[1] + 2))
+        for r in e.groupBy("c", "j").agg(F.sum("v").alias("v")).collect():  # centres x dimensions
+            out[r.c, r.j] = r.v
+        return out[:, :-2], out[:, -2], float(out[:, -1].sum())
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def near(x: pd.Series) -> pd.Series:
+            return pd.Series(_nearest(np.stack(x.to_list()), centres)[0].astype(np.int32) if len(x) else np.zeros(0, np.int32))
+
+        return rows.withColumn("pred", near(vector_to_array("features")))
+
+    def diagnostics(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """inertia: step, inertia (a batch's mean squared distance), smoothed."""
+        return {"inertia": spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(self.inertias)], "step int, inertia double, smoothed double")}
+
+    def _state(self) -> dict[str, Any]:
+        return {"centres": self.centres.tolist()}
+
+    def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        self.centres, self.inertias = np.array(state["centres"]), []
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first of equal ones, and its squared distance."""
+    d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0)
+    near = d.argmin(1)
+    return near, d[np.arange(len(x)), near]
+
+
 class Gmm(_Ml):
     """The best of n_init starts by likelihood."""
 
@@ -413,7 +516,7 @@ def _absent(name: str, needs: str) -> Callable[..., BehaviourModel]:
 
 
 #: Names to models; the deep ones and the embedding are named, but need libraries beyond Spark.
-MODELS: dict[str, Callable[..., BehaviourModel]] = {"random": Random, "kmeans": KMeans, "gmm": Gmm, "hmm": Hmm, "rf": Forest, "dt": Tree, "svm": Svm} | {n: _absent(n, "torch") for n in ("CRNN", "harnet", "vame", "iic")} | {"umapper": _absent("umapper", "umap")}
+MODELS: dict[str, Callable[..., BehaviourModel]] = {"random": Random, "kmeans": KMeans, "minibatch_kmeans": MiniBatchKMeans, "gmm": Gmm, "hmm": Hmm, "rf": Forest, "dt": Tree, "svm": Svm} | {n: _absent(n, "torch") for n in ("CRNN", "harnet", "vame", "iic")} | {"umapper": _absent("umapper", "umap")}
 
 
 def model(name: str, clusters: int, seed: int = 0, **settings: Any) -> BehaviourModel:
