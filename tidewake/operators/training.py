@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 
 def normal(seed: int, *key: str) -> Column:
@@ -43,22 +45,19 @@ def smoothed(losses: DataFrame, run: str, step: str, value: str, alpha: float, p
     """run, step, value, smoothed, idle, stopped for each step of each run.
 
     smoothed: s * (1 - alpha) + value * alpha from the run's first value on. idle: steps since it was last below all before. stopped: whether
-    idle has reached patience, at this step or before. A run's steps, a number each, are folded in one task.
+    idle has reached patience, at this step or before. A run's steps, a number each, are read once, in one task.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(value).cast("double").alias("value"))))
-    kind = "array<struct<step:bigint,value:double,smoothed:double,idle:int,stopped:boolean>>"
-    # the state: what was put out so far, and the least smoothed value
-    none = F.struct(F.lit(None).cast(kind).alias("out"), F.lit(None).cast("double").alias("least"))
-    empty = F.array().cast(kind)
-
-    def fold(s: Column, x: Column) -> Column:
-        out = F.coalesce(s["out"], empty)
-        last = F.try_element_at(out, F.lit(-1))
-        now = F.coalesce(last["smoothed"] * (1 - alpha) + x["value"] * alpha, x["value"])
-        better = s["least"].isNull() | (now < s["least"])
-        idle = F.when(better, F.lit(0)).otherwise(last["idle"] + 1)
-        row = F.struct(x["step"].cast("long").alias("step"), x["value"].alias("value"), now.alias("smoothed"), idle.cast("int").alias("idle"), (F.coalesce(last["stopped"], F.lit(False)) | (idle >= patience)).alias("stopped"))
-        return F.struct(F.concat(out, F.array(row)).cast(kind).alias("out"), F.when(better, now).otherwise(s["least"]).alias("least"))
-
-    folded = losses.groupBy(run).agg(F.aggregate(steps, none, fold)["out"].alias("x"))
-    return folded.select(run, F.inline("x"))
+    kind = StructType([losses.schema[run], StructField("step", LongType()), StructField("value", DoubleType()), StructField("smoothed", DoubleType()), StructField("idle", IntegerType()), StructField("stopped", BooleanType())])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step", kind="stable")
+        out, now, least, idle, stopped = [], None, math.inf, 0, False
+        for x in pdf["value"].to_numpy(float).tolist():
+            now = x if now is None else now * (1 - alpha) + x * alpha
+            idle = 0 if now < least else idle + 1
+            least, stopped = min(least, now), stopped or idle >= patience
+            out.append((now, idle, stopped))
+        return pdf.assign(**dict(zip(("smoothed", "idle", "stopped"), zip(*out, strict=True), strict=True)))
+
+    d = losses.select(run, F.col(step).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
+    return d.groupBy(run).applyInPandas(fold, kind)

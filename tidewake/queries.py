@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import expr
-from tidewake.operators import crossval, evaluate, features, models, signal, training
+from tidewake.operators import basins, crossval, evaluate, features, losses, models, runs, signal, training
 from tidewake.operators import frames as fr
 from tidewake.plans import config
 from tidewake.sources import clips
@@ -352,6 +352,26 @@ def standalone_labels(spark: SparkSession, d: str) -> DataFrame:
     return _evaluated(spark, d)["labels"].drop("truth", "predicted")
 
 
+@query(f"WITH {_EV}, {_K}, {_prf('fm', 'split,')}, a AS ({_macro('', 'split, ')}), b AS (SELECT split, round(count(*) / (1 + sum(CASE WHEN pred <> p THEN 1 ELSE 0 END)) / 2.0 / 0.75, 6) AS time_scale_ratio FROM (SELECT *, lag(pred) OVER (PARTITION BY split ORDER BY {_PATH}, t) AS p FROM fm) GROUP BY ALL), f2 AS (SELECT *, split AS s2 FROM sf), {_HOMOG.replace('individual_id AS g', 's2 AS g').replace('c AS (', 'hh AS (').replace('FROM f WHERE', 'FROM f2 WHERE').replace('FROM c)', 'FROM hh)')} SELECT b.split, time_scale_ratio, macro_precision, macro_recall, macro_f1, true AS annotated, round(CASE WHEN hc < 1e-14 THEN 1 ELSE 1 - hck / hc END, 6) AS homogeneity FROM b JOIN a USING (split) JOIN h ON h.g = b.split")
+def standalone_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of each split as one group: bouts go on over its clips, homogeneity is of raw predictions."""
+    return _evaluated(spark, d)["overall"]
+
+
+@query(f"WITH {_MAP}, g AS (SELECT c_custkey AS individual_id, 0.5 + c_nationkey / 10.0 AS goal FROM customer) SELECT individual_id, round(count(*) / (1 + sum(CASE WHEN pred <> p THEN 1 ELSE 0 END)) / 2.0 / any_value(goal), 6) AS time_scale_ratio FROM (SELECT *, lag(pred) OVER (PARTITION BY individual_id ORDER BY {_PATH}, t) AS p FROM fm) JOIN g USING (individual_id) GROUP BY 1")
+def time_scale_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each individual against a target of its own, from a table."""
+    goals = table(spark, d, "customer").select(F.col("c_custkey").alias("individual_id"), (F.lit(0.5) + F.col("c_nationkey") / 10).alias("mean_dur_sec"))
+    return evaluate.time_scale_ratio(_mapped(spark, d), SR, goals, ["individual_id"])
+
+
+@query(f"WITH {_MAP} SELECT t, round(value, 6) AS value, label, pred FROM fm WHERE clip_id = (SELECT min(user_id) FROM events) AND t BETWEEN 2 AND 9")
+def track_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A clip's signals, labels and predictions between two times."""
+    e = _mapped(spark, d)
+    return clips.track(e, table(spark, d, "events").agg(F.min("user_id")).first()[0], 2, 9, ["value"])
+
+
 # -- cross-validation
 
 
@@ -392,17 +412,25 @@ def resume_anti(spark: SparkSession, d: str) -> DataFrame:
     return crossval.pending(table(spark, d, "nation").select(F.col("n_nationkey").alias("config_id")), table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("config_id")))
 
 
-@query("SELECT row_number() OVER (ORDER BY c.v, x.v) - 1 AS config_id, CAST(x.v AS DOUBLE) AS cutoff, CAST(c.v AS DOUBLE) AS context FROM (SELECT unnest([0.5, 1, 2, 4, 8, 16]) AS v) c, (SELECT unnest([0, 0.1, 0.4, 1.6, 6.4]) AS v) x")
+@query("SELECT row_number() OVER (ORDER BY p.v, f.v, s.v) - 1 AS config_id, f.v AS flag, p.v AS \"Priority\", s.v AS status FROM (SELECT DISTINCT l_returnflag AS v FROM lineitem) f, (SELECT DISTINCT o_orderpriority AS v FROM orders) p, (SELECT DISTINCT l_linestatus AS v FROM lineitem) s")
 def grid_cross_join(spark: SparkSession, d: str) -> DataFrame:
-    points = config.expand({"cutoff": config.CUTOFFS, "context": config.CONTEXTS})
-    return spark.createDataFrame([(k, float(p["cutoff"]), float(p["context"])) for k, p in enumerate(points)], "config_id long, cutoff double, context double")
+    """All points of a grid over values that tables hold; keys in code-point order, the last one fastest."""
+    values = lambda t, c: [r[0] for r in table(spark, d, t).select(c).distinct().orderBy(c).collect()]  # noqa: E731  a few values
+    points = config.expand({"flag": values("lineitem", "l_returnflag"), "Priority": values("orders", "o_orderpriority"), "status": values("lineitem", "l_linestatus")})
+    return spark.createDataFrame([(k, p["flag"], p["Priority"], p["status"]) for k, p in enumerate(points)], "config_id long, flag string, Priority string, status string")
 
 
-@query("SELECT p.p_partkey AS id, coalesce(CASE WHEN p.p_size % 2 = 0 THEN p.p_size END, s.s_suppkey, 0) AS value FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey")
+@query("SELECT DISTINCT p_size AS id, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 8 END AS temporal, 50 AS iterations, CASE WHEN p_size % 3 = 0 THEN 'full' ELSE 'diagonal' END AS covariance, p_size % 5 = 0 AS low_data FROM part".replace("ELSE 8", "ELSE 2500"))
 def defaults_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Given values win over defaults."""
-    p, s = table(spark, d, "part"), table(spark, d, "supplier")
-    return p.join(s, p.p_partkey == s.s_suppkey, "left").select(F.col("p_partkey").alias("id"), F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), "s_suppkey", F.lit(0)).alias("value"))
+    """Given values win over a model's defaults, also inside model_config; the values are those of a table."""
+    sizes = [r[0] for r in table(spark, d, "part").select("p_size").distinct().collect()]  # 50 at most
+    rows = []
+    for k in sizes:
+        own = ({"temporal_window_samples": k} if k % 2 == 0 else {}) | ({"covariance": "full"} if k % 3 == 0 else {})
+        full = config.with_defaults({"model": "hmm", "model_config": own} | ({"low_data_setting": True} if k % 5 == 0 else {}))
+        m = full["model_config"]
+        rows.append((k, m["temporal_window_samples"], m["N_iters"], m["covariance"], full["low_data_setting"]))
+    return spark.createDataFrame(rows, "id int, temporal int, iterations int, covariance string, low_data boolean")
 
 
 # -- framed features
@@ -648,20 +676,23 @@ def individual_of_clip(spark: SparkSession, d: str) -> DataFrame:
     return clips.with_individual(e, known).groupBy("individual_id").agg(F.count("*").alias("n"), F.sum("t").alias("places"))
 
 
-@query("SELECT * FROM (VALUES ('context_window_sec', '4'), ('min_samples_split', '2'), ('max_samples', '0.1'), ('n_jobs', '24'), ('n_estimators', '100'), ('class_weight', 'balanced'), ('feature_set', 'nathan2012')) t(name, value)")
+@query("SELECT DISTINCT s_nationkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey ELSE 1 END AS context_window_sec, 0.1 AS max_samples, 100 AS n_estimators, CASE WHEN s_nationkey % 2 = 0 THEN 'wavelet' ELSE 'nathan2012' END AS feature_set FROM supplier")
 def settings_of_run(spark: SparkSession, d: str) -> DataFrame:
-    """A run's settings over the defaults."""
-    got = config.with_defaults({"model": "rf", "model_config": {"context_window_sec": 4, "n_jobs": 24}})["model_config"]
-    shown = ("context_window_sec", "min_samples_split", "max_samples", "n_jobs", "n_estimators", "class_weight", "feature_set")
-    return spark.createDataFrame([(k, str(got[k])) for k in shown], "name string, value string")
+    """Settings of runs over the defaults, with values from a table."""
+    rows = []
+    for (k,) in table(spark, d, "supplier").select("s_nationkey").distinct().collect():  # 25 at most
+        got = config.with_defaults({"model": "wavelet_rf", "model_config": {"context_window_sec": k, "feature_set": "wavelet"} if k % 2 == 0 else None})["model_config"]
+        rows.append((k, got["context_window_sec"], got["max_samples"], got["n_estimators"], got["feature_set"]))
+    return spark.createDataFrame(rows, "id int, context_window_sec int, max_samples double, n_estimators int, feature_set string")
 
 
-@query("SELECT r_name, n_name, count(*) AS individuals, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
+@query("SELECT c_nationkey AS individual_id, n_name, r_name, count(*) AS rows, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
 def individual_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Individuals to groups: facts joined with small dimensions."""
-    c, n, r = table(spark, d, "customer"), F.broadcast(table(spark, d, "nation")), F.broadcast(table(spark, d, "region"))  # 25 and 5 rows at every scale
-    g = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return g.groupBy("r_name", "n_name").agg(F.count("*").alias("individuals"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    """Rows of clips take their individual from the metadata's map, and individuals their names from small dimensions."""
+    rows = clips.with_individual(table(spark, d, "orders").withColumnRenamed("o_custkey", "clip_id"), table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"), F.col("c_nationkey").alias("individual_id")))
+    n, r = F.broadcast(table(spark, d, "nation")), F.broadcast(table(spark, d, "region"))  # 25 and 5 rows at every scale
+    g = rows.groupBy("individual_id").agg(F.count("*").alias("rows"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return g.join(n, F.col("individual_id") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("individual_id", "n_name", "r_name", "rows", "mean")
 
 
 @query(f"WITH {_MAP}, {_K} SELECT CASE label WHEN 1 THEN 'click' WHEN 2 THEN 'view' WHEN 3 THEN 'signup' ELSE 'purchase' END AS label_name, count(*) AS n FROM fm WHERE label <> 0 GROUP BY 1")
@@ -669,3 +700,127 @@ def label_names(spark: SparkSession, d: str) -> DataFrame:
     meta = config.Metadata("events", SR, ["value", "individual_id", "label"], ["unknown", "click", "view", "signup", "purchase"], [], {}, {})
     names = clips.label_table(spark, meta).withColumnRenamed("label_idx", "label")
     return fr.annotated(_mapped(spark, d)).join(F.broadcast(names), "label").groupBy("label_name").agg(F.count("*").alias("n"))
+
+
+# -- basins of a raster
+
+_CELLS = """p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT min(x) AS x0, min(y) AS y0, (64 - 2 * 4) / greatest(max(x) - min(x), max(y) - min(y)) AS s FROM p),
+ q AS (SELECT CAST(least(greatest(floor((x - x0) * s) + 4, 0), 63) AS BIGINT) AS row, CAST(least(greatest(floor((y - y0) * s) + 4, 0), 63) AS BIGINT) AS col, count(*) AS n FROM p, s GROUP BY ALL),
+ c AS (SELECT row, col, n, n / (SELECT max(n) FROM q) AS density FROM q)"""
+#: A blur with deviation 2.5 and so a reach of 10 cells; edges lie between cells.
+_BLUR = _CELLS + """, w AS (SELECT k, exp(-0.5 * power(k / 2.5, 2)) / (SELECT sum(exp(-0.5 * power(j / 2.5, 2))) FROM range(-10, 11) g(j)) AS w FROM range(-10, 11) h(k)),
+ m AS (SELECT i, CASE WHEN i + k < 0 THEN -1 - (i + k) WHEN i + k >= 64 THEN 127 - (i + k) ELSE i + k END AS j, w FROM range(64) g(i), w),
+ d AS (SELECT m.i AS row, c.col, sum(w * density) AS v FROM m JOIN c ON c.row = m.j GROUP BY ALL),
+ b AS (SELECT d.row, m.i AS col, round(sum(w * v), 12) AS value FROM m JOIN d ON d.col = m.j GROUP BY ALL HAVING round(sum(w * v), 12) > 0)"""
+_BASIN = "WITH RECURSIVE " + _BLUR + """, up AS (SELECT a.row * 64 + a.col AS cell, any_value(a.value) AS value, arg_max(n.row * 64 + n.col, (n.value, -(n.row * 64 + n.col))) AS up FROM b a JOIN b n ON n.row BETWEEN a.row - 1 AND a.row + 1 AND n.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1),
+ r AS (SELECT cell, value, up AS at FROM up UNION ALL SELECT r.cell, r.value, up.up FROM r JOIN up ON up.cell = r.at WHERE up.up <> r.at),
+ t AS (SELECT r.cell, r.value, r.at AS peak FROM r JOIN up ON up.cell = r.at WHERE up.up = up.cell),
+ z AS (SELECT cell, value, dense_rank() OVER (ORDER BY peak) - 1 AS basin FROM t)"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "embeddings").select(*(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xy")))
+    return fr.raster(p, 64, 4)
+
+
+@query(f"WITH {_BLUR} SELECT row, col, round(value, 6) AS value FROM b")
+def raster_blur(spark: SparkSession, d: str) -> DataFrame:
+    return basins.blurred(_cells(spark, d), 64, 2.5, tile=24)
+
+
+@query(_BASIN + " SELECT cell // 64 AS row, cell % 64 AS col, round(value, 6) AS value, basin FROM z")
+def raster_basins(spark: SparkSession, d: str) -> DataFrame:
+    """Each cell climbs to its peak; tiles smaller than the raster, so that paths cross them."""
+    return basins.basins(_cells(spark, d), 64, 2.5, tile=24)
+
+
+@query(_BASIN + " SELECT basin, count(*) AS cells, CAST(sum(n) AS BIGINT) AS points FROM c JOIN z ON z.cell = c.row * 64 + c.col GROUP BY 1")
+def points_of_basins(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d).persist()
+    return basins.basin_of(cells, basins.basins(cells, 64, 2.5)).groupBy("basin").agg(F.count("*").alias("cells"), F.sum("n").alias("points"))
+
+
+@query()
+def least_basins(spark: SparkSession, d: str) -> DataFrame:
+    """Basins under the least blur that leaves at most 20 of them, as a map of an embedding is divided into clusters."""
+    cells = _cells(spark, d).persist()
+    return basins.basins(cells, 64, basins.least_blur(cells, 64, CLUSTERS))
+
+
+# -- losses
+
+#: Soft classes of the embeddings' rows: shares of three squared components.
+_SOFT = "v AS (SELECT label AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding FROM embeddings), sq AS (SELECT clip_id, t, power(CAST(embedding[1] AS DOUBLE), 2) + 0.001 AS a, power(CAST(embedding[2] AS DOUBLE), 2) + 0.001 AS b, power(CAST(embedding[3] AS DOUBLE), 2) + 0.001 AS c FROM v), o AS (SELECT clip_id, t, k, p FROM (SELECT clip_id, t, unnest([0, 1, 2]) AS k, unnest([a, b, c]) / (a + b + c) AS p FROM sq))"
+_JOINT = _SOFT + ", g AS (SELECT x.k AS i, y.k AS j, sum(x.p * y.p) AS v FROM o x JOIN o y ON x.clip_id = y.clip_id AND abs(x.t - y.t) <= 2 GROUP BY ALL), n AS (SELECT g.i, g.j, (g.v + h.v) / 2 / (SELECT sum(v) FROM g) AS v FROM g JOIN g h ON g.i = h.j AND g.j = h.i), m AS (SELECT i, sum(v) AS m FROM n GROUP BY 1)"
+
+
+def _soft(spark: SparkSession, d: str) -> DataFrame:
+    v = fr.with_time(table(spark, d, "embeddings").select(F.col("label").alias("clip_id"), "vec_id", "embedding"), "clip_id", ["vec_id"])
+    sq = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * x.cast("double") + 0.001)
+    return v.withColumn("sq", sq).select("clip_id", "t", F.transform("sq", lambda x: x / (F.col("sq")[0] + F.col("sq")[1] + F.col("sq")[2])).alias("probs"))
+
+
+@query(f"WITH {_JOINT} SELECT i, j, round(v, 6) AS value FROM n")
+def joint_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of rows at most two apart, as one distribution."""
+    return losses.joint(_soft(spark, d), 2)
+
+
+@query(f"WITH {_JOINT} SELECT round(sum(-v * (ln(v) - 0.5 * ln(a.m) - 0.5 * ln(b.m))), 6) AS loss, round(sum(-v * (ln(v) - ln(a.m) - ln(b.m))), 6) AS loss_plain FROM n JOIN m a ON a.i = n.i JOIN m b ON b.i = n.j")
+def information_loss(spark: SparkSession, d: str) -> DataFrame:
+    return losses.information_loss(_soft(spark, d), 2, weight=0.5)
+
+
+@query("WITH v AS (SELECT unnest(embedding[1:8]) AS x, unnest(range(8)) AS i, vec_id FROM embeddings) SELECT a.i, b.i AS j, round(sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)) / (SELECT count(*) FROM embeddings), 6) AS value FROM v a JOIN v b USING (vec_id) GROUP BY ALL")
+def latent_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Products of latent dimensions over all rows; eight components stand for latent vectors."""
+    return losses.gram(table(spark, d, "embeddings").select(F.slice("embedding", 1, 8).alias("latent")))
+
+
+@query()
+def nuclear_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Five largest singular values of the whole embeddings' Gram matrix."""
+    e = table(spark, d, "embeddings")
+    return e.agg(F.count("*").alias("rows")).withColumn("loss", F.lit(losses.nuclear_loss(e, 5, 0.1, "embedding")))
+
+
+@query("WITH v AS (SELECT unnest(embedding[1:32]) AS m, unnest(embedding[33:64]) AS s FROM embeddings) SELECT round(-0.5 * avg(1 + CAST(s AS DOUBLE) - power(CAST(m AS DOUBLE), 2) - exp(CAST(s AS DOUBLE))), 6) AS loss FROM v")
+def divergence_loss(spark: SparkSession, d: str) -> DataFrame:
+    return losses.divergence(table(spark, d, "embeddings").select(F.slice("embedding", 1, 32).alias("mu"), F.slice("embedding", 33, 32).alias("logvar")))
+
+
+# -- what models are fed
+
+
+def _settings(model: str, **own) -> dict:
+    return config.with_defaults({"model": model, "model_config": own})
+
+
+@query(f"WITH {_F}, n AS (SELECT *, row_number() OVER (ORDER BY {_PATH}, t) - 1 AS index FROM f WHERE fold > 1) SELECT 'gmm' AS model, count(*) AS n, sum(t) AS places, sum(clip_id) AS clips FROM n WHERE index % 3 = 0 UNION ALL SELECT 'kmeans', count(*), sum(t), sum(clip_id) FROM f WHERE fold > 1 AND t % 3 = 0 UNION ALL SELECT 'hmm', count(*), sum(t), sum(clip_id) FROM f WHERE fold > 1")
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that models without labels are fitted on where every third is asked for: of each clip, of all clips stacked, or all."""
+    f = events(spark, d)
+    f = fr.assign_split(f.drop("fold"), f.select("clip_id", "fold").distinct(), config.folds(5)).select("clip_id", "t", "split")
+    out = None
+    for name in ("gmm", "kmeans", "hmm"):
+        r = runs.training_rows(f, _settings(name, downsample=3)).agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.sum("t").alias("places"), F.sum("clip_id").alias("clips"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query(f"WITH {_X}, s AS (SELECT clip_id, avg(sqrt(ax * ax + ay * ay + az * az)) + 1e-6 AS s FROM x GROUP BY 1), y AS (SELECT clip_id, t, ax / s AS ax FROM x JOIN s USING (clip_id)) SELECT clip_id, t, round(max(ax) OVER v, 6) AS high, round(avg(ax) OVER v, 6) AS mean FROM y WINDOW v AS (PARTITION BY clip_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)")
+def normalized_features(spark: SparkSession, d: str) -> DataFrame:
+    """A classic model's features where acceleration is scaled: the mean and maximum of the first axis."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tidewake.operators.classic import Classic
+
+    m = Classic("dt", ["AccX", "AccY", "AccZ"], KNOWN, SR, _settings("dt", context_window_sec=5, normalize=True)["model_config"], dynamic_only=True)
+    v = m.vectors(triaxial(spark, d)).select("clip_id", "t", vector_to_array("features").alias("v"))
+    return v.select("clip_id", "t", F.col("v")[4 * features.STATS.index("max")].alias("high"), F.col("v")[0].alias("mean"))
+
+
+@query()
+def model_minibatch_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    m = models.model("minibatch_kmeans", CLUSTERS, 0).fit(vectors(spark, d))
+    return m.predict(vectors(spark, d)).select("clip_id", "t", "label", "pred")
