@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidewake.plans.config import Metadata
 from tidewake.sources import clips
@@ -52,3 +55,22 @@ def test_documents_and_results(spark, tmp_path):
     clips.write_results({"labels": t}, str(tmp_path / "r"), fold=1)
     clips.write_results({"labels": t}, str(tmp_path / "r"), fold=2)
     assert clips.read_results(spark, str(tmp_path / "r"), "labels", fold=2).count() == 1
+
+
+def test_ranges_that_cut_lines_keep_order(spark, tmp_path):
+    rng = random.Random(1)
+    want = {}
+    for name in ("one", "two", "three"):
+        rows = [(round(rng.uniform(-9, 9), rng.randint(0, 9)), rng.randrange(3), rng.randrange(4)) for _ in range(rng.randint(1, 400))]
+        (tmp_path / f"{name}.csv").write_bytes(("\r\n" if name == "two" else "\n").join(f"{a},{b},{c}" for a, b, c in rows).encode() + (b"\n" if name == "one" else b""))
+        want |= {(name, t): r for t, r in enumerate(rows)}
+    meta = Metadata("toy", 1.0, ["x", "individual_id", "label"], ["unknown"], [], {}, {})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        d = clips.read_clips(spark, str(tmp_path), meta)
+        assert d.select(F.spark_partition_id()).distinct().count() >= 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert {(r.clip_id, r.t): (r.x, r.individual_id, r.label) for r in d.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

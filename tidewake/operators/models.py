@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from tidewake.plans import config
+
 from .frames import class_weights
 from .signal import Whitening
 
@@ -527,8 +529,7 @@ def model(name: str, clusters: int, seed: int = 0, **settings: Any) -> Behaviour
     return made
 
 
-def register(name: str, make: Callable[..., BehaviourModel]) -> None:
-    """Add a model of one's own."""
+def register(name: str, make: Callable[..., BehaviourModel], defaults: dict[str, Any] | None = None, grid: Callable[[str], dict[str, list[Any]]] | None = None, labels: bool = True) -> None:
+    """Add a model of one's own: how it is made, its settings' defaults, the values that a sweep tries for a dataset, and whether its fit needs labels."""
     MODELS[name] = make
-
-
+    config.extend(name, defaults or {}, grid, labels)

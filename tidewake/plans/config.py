@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
@@ -19,6 +19,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "rf": {"context_window_sec": 1, "min_samples_split": 2, "max_samples": 0.1, "n_jobs": 1, "n_estimators": 100, "class_weight": "balanced"} | _CLASSIC,
     "dt": {"context_window_sec": 1, "min_samples_split": 2, "class_weight": "balanced"} | _CLASSIC,
     "svm": {"context_window_sec": 1, "min_samples_split": 2, "max_iter": 1000, "regularization_parameter": 1.0, "intercept_scaling": 1.0, "class_weight": "balanced"} | _CLASSIC,
+    "minibatch_kmeans": {"batch_size": 1024, "max_iter": 100, "patience": 100},
     "kmeans": {"max_iter": 100, "n_init": 10, "whiten": True, "n_components": "mle", "wavelet_transform": False, "morlet_w": 5.0, "n_wavelets": 25, "downsample": 1},
     "gmm": {"max_iter": 100, "n_init": 1, "downsample": 1},
     "hmm": {"temporal_window_samples": 2500, "N_iters": 50, "covariance": "diagonal", "matrix_concentration": 1.1, "mean_concentration": 0.1, "cov_scale": 0.1, "cov_df": 0.1, "cov_concentration": 0.1, "wavelet_transform": False, "morlet_w": 5.0, "n_wavelets": 25, "downsample": 1},
@@ -30,7 +31,9 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "harnet": {"downsizing_factor": 128, "lr": 0.0001, "weight_decay": 0, "n_epochs": 100, "temporal_window_samples": 512, "batch_size": 512, "dropout": 0, "rescale_param": 0, "jitter_scale": 0, "blur_scale": 0, "sparse_annotations": False, "normalize": True, "harnet_version": "harnet30", "freeze_encoder": True, "load_pretrained_weights": True},
 }
 #: Models without labels in their fit.
-UNSUPERVISED = frozenset({"kmeans", "gmm", "hmm", "random", "umapper", "iic", "vame"})
+UNSUPERVISED = {"kmeans", "minibatch_kmeans", "gmm", "hmm", "random", "umapper", "iic", "vame"}
+#: Grids of a user's own models, by name: of a dataset, the values that a sweep tries.
+GRIDS: dict[str, Callable[[str], dict[str, list[Any]]]] = {}
 
 # Fixed values of the grids.
 CONTEXTS = (0.5, 1, 2, 4, 8, 16)
@@ -100,6 +103,15 @@ class Metadata:
 
 
 
+def extend(name: str, defaults: Mapping[str, Any], grid: Callable[[str], dict[str, list[Any]]] | None = None, labels: bool = True) -> None:
+    """Settings of a model of one's own: its defaults, what a sweep tries, and whether its fit needs labels."""
+    DEFAULTS[name] = dict(defaults)
+    if grid:
+        GRIDS[name] = grid
+    if not labels:
+        UNSUPERVISED.add(name)
+
+
 def with_defaults(run: Mapping[str, Any]) -> dict[str, Any]:
     """A run's settings over the defaults; given values win, also inside model_config."""
     if "model" not in run:
@@ -115,6 +127,8 @@ def with_defaults(run: Mapping[str, Any]) -> dict[str, Any]:
 
 def implementation(model: str) -> str:
     """The model that a grid's name stands for."""
+    if model in DEFAULTS:
+        return model
     if model in ("CNN", "RNN", "wavelet_RNN"):
         return "CRNN"
     if model.startswith("harnet"):
@@ -164,6 +178,8 @@ def cutoffs(model: str, dataset: str, no_cutoff: bool = False) -> list[float]:
 
 def model_grid(model: str, dataset: str) -> dict[str, list[Any]]:
     """Values of model_config that a sweep tries, single ones too; an empty grid is the defaults alone."""
+    if model in GRIDS:
+        return GRIDS[model](dataset)
     family, _, classic = model.rpartition("_")
     jobs = {"n_jobs": [24]} if model in ("rf", "wavelet_rf") else {}
     wave = {"morlet_w": [float(x) for x in MORLET], "C_max": [float(x) for x in LONGEST]}

@@ -1,7 +1,8 @@
 """Recordings, metadata, predictions and results in files.
 
-A clip file has no header and one row a sample, and its row order is time. That order is kept by reading each file as one text and
-numbering its lines; ingest() writes the result once as Parquet, which all other operators read with column and partition pruning.
+A clip file has no header and one row a sample, and its row order is time. Files are read in byte ranges, as Spark's line reader cuts them (a line belongs to the
+range in which it begins); lines are numbered in their range, and ranges by a sum over the line counts of those before, a row a range. So a
+file may be far larger than a task. ingest() writes the result once as Parquet, which all other operators read with column and partition pruning.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.expr import clip_of
@@ -36,18 +37,28 @@ def metadata(spark: SparkSession, path: str) -> Metadata:
     return Metadata.of(read_yaml(spark, path))
 
 
+def numbered_lines(spark: SparkSession, files: str) -> DataFrame:
+    """clip_id, t, line: the lines of text files in order, from 0; empty lines count but are left out."""
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start")]
+    lines = spark.read.text(files).select(clip_of(F.col("_metadata.file_name")).alias("clip_id"), meta[0].alias("_file"), meta[1].alias("_range"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    counts = lines.groupBy("_file", "_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_file", "_range", (F.sum("_n").over(Window.partitionBy("_file").orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_file", "_range").orderBy("_at")) - 1
+    numbered = lines.withColumn("_own", own).join(before, ["_file", "_range"])
+    return numbered.where("line <> ''").select("clip_id", (F.col("_before") + F.col("_own")).cast("long").alias("t"), "line")
+
+
 def read_clips(spark: SparkSession, folder: str, meta: Metadata) -> DataFrame:
     """clip_id, t, channels, individual_id, label. Fails on a line with a missing or empty value."""
-    lines = spark.read.text(f"{folder}/*.csv", wholetext=True).select(clip_of(F.col("_metadata.file_name")).alias("clip_id"), F.posexplode(F.split(F.rtrim(F.col("value")), "\r?\n")).alias("t", "line"))
     names = list(meta.clip_column_names)
     v = F.split("line", ",")
-    lines = lines.where("line <> ''").withColumn("v", F.when(F.size(v) == len(names), v).otherwise(F.raise_error(F.concat(F.lit("wrong number of values in clip "), "clip_id"))))
+    lines = numbered_lines(spark, f"{folder}/*.csv").withColumn("v", F.when(F.size(v) == len(names), v).otherwise(F.raise_error(F.concat(F.lit("wrong number of values in clip "), "clip_id"))))
     cols = []
     for k, n in enumerate(names):
         x = F.nullif(F.trim(F.col("v")[k]), F.lit("")).cast("double")
         x = F.coalesce(x, F.raise_error(F.concat(F.lit(f"no {n} in clip "), "clip_id")).cast("double"))
         cols.append((x.cast("int") if n in ID_COLUMNS else x).alias(n))
-    return lines.select("clip_id", F.col("t").cast("long").alias("t"), *cols)
+    return lines.select("clip_id", "t", *cols)
 
 
 def ingest(spark: SparkSession, folder: str, meta: Metadata, path: str) -> DataFrame:
@@ -81,8 +92,7 @@ def export_predictions(predictions: DataFrame, path: str) -> None:
 
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """clip_id, t, pred of headerless one-column files named as the clips."""
-    lines = spark.read.text(f"{folder}/*.csv", wholetext=True).select(clip_of(F.col("_metadata.file_name")).alias("clip_id"), F.posexplode(F.split(F.rtrim(F.col("value")), "\r?\n")).alias("t", "line"))
-    return lines.where("line <> ''").select("clip_id", F.col("t").cast("long").alias("t"), F.col("line").cast("double").cast("int").alias("pred"))
+    return numbered_lines(spark, f"{folder}/*.csv").select("clip_id", "t", F.col("line").cast("double").cast("int").alias("pred"))
 
 
 def align(frames: DataFrame, predictions: DataFrame) -> DataFrame:
