@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.functions.lineage import cut
+
 TILE = 256  # cells of a tile's side
 REACH = 4.0  # deviations at which the blur is cut off (fixed value)
 LEAST = 2.0**-6  # the search for a blur goes no lower
@@ -134,15 +136,14 @@ def peak_count(cells: DataFrame, size: int, sigma: float, value: str = "density"
 
 def basins(cells: DataFrame, size: int, sigma: float, value: str = "density", tile: int = TILE) -> DataFrame:
     """row, col, value, basin of each cell of the blurred raster above 0. Basins are numbered from 0 by their peaks' rows and columns."""
-    at = _pointers(cells, size, sigma, tile, value).persist()
+    at = cut(_pointers(cells, size, sigma, tile, value))
     # only cells that some ascent enters from another tile are passed through
     entered = at.where(F.col("cell") != F.col("to")).select(F.col("to").alias("cell")).distinct()
-    paths = at.join(entered, "cell", "left_semi").select("cell", "to").persist()
+    paths = at.join(entered, "cell", "left_semi").select("cell", "to")
     while True:
         ends = paths.select(F.col("cell").alias("to"), F.col("to").alias("_next"))
-        longer = paths.join(ends, "to").select("cell", F.col("_next").alias("to"), (F.col("_next") != F.col("to")).alias("_moved")).persist()
+        longer = cut(paths.join(ends, "to").select("cell", F.col("_next").alias("to"), (F.col("_next") != F.col("to")).alias("_moved")))
         ended = longer.where("_moved").isEmpty()
-        paths.unpersist()
         paths = longer.drop("_moved")
         if ended:
             break

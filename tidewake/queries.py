@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import expr
-from tidewake.operators import basins, crossval, evaluate, features, losses, models, runs, signal, training
+from tidewake.operators import basins, crossval, evaluate, features, losses, models, neighbours, runs, signal, training
 from tidewake.operators import frames as fr
 from tidewake.plans import config
 from tidewake.sources import clips
@@ -824,3 +824,23 @@ def normalized_features(spark: SparkSession, d: str) -> DataFrame:
 def model_minibatch_kmeans(spark: SparkSession, d: str) -> DataFrame:
     m = models.model("minibatch_kmeans", CLUSTERS, 0).fit(vectors(spark, d))
     return m.predict(vectors(spark, d)).select("clip_id", "t", "label", "pred")
+
+
+# -- neighbours
+
+
+def _spectra(spark: SparkSession, d: str) -> DataFrame:
+    """Squared components stand for a row's spectrum."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), neighbours.shares(F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))).alias("v"))
+
+
+@query()
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest neighbours of each row under symmetric divergence, by descent (the test measures recall against brute force)."""
+    return neighbours.neighbours(_spectra(spark, d), 16)
+
+
+@query()
+def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.fuzzy(neighbours.neighbours(_spectra(spark, d), 16), 16)
