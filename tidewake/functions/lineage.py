@@ -1,15 +1,15 @@
-"""Cuts in lineage, for loops whose next round reads the last one several times."""
+"""The folder that driver and executors share, and cuts in lineage for loops whose next round reads the last one several times."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read from there. Where that is unset and all runs on one machine (tests), the folder is one of our own."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset and all runs on one machine (tests), one of our own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import numpy as np
@@ -19,6 +20,9 @@ from .frames import class_weights
 from .signal import Whitening
 
 
+STARTS = 4  # fits of one model from different starts that run at the same time
+
+
 class BehaviourModel:
     """A model's settings, its fit, and predict(), which adds an int column pred. save() writes all that load() needs."""
 
@@ -98,6 +102,12 @@ class _Ml(BehaviourModel):
         self.fitted = self._kind().load(f"{path}/fitted")
 
 
+def _side_by_side(fit: Callable[[int], Any], n: int) -> list[Any]:
+    """fit(0) to fit(n - 1), STARTS at a time, whose jobs share the cluster."""
+    with ThreadPoolExecutor(STARTS) as pool:
+        return list(pool.map(fit, range(n)))
+
+
 class KMeans(_Ml):
     """The best of n_init starts by cost, on whitened features if wanted."""
 
@@ -109,7 +119,8 @@ class KMeans(_Ml):
         if self.settings.get("whiten"):
             self.white = Whitening(self.settings.get("n_components", "mle")).fit(rows)
         rows = self._prepare(rows).cache()
-        starts = [Spark(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s, featuresCol="white" if self.white else "features").fit(rows) for s in range(self.settings.get("n_init", 10))]
+        one = lambda s: Spark(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s, featuresCol="white" if self.white else "features").fit(rows)
+        starts = _side_by_side(one, self.settings.get("n_init", 10))
         rows.unpersist()
         self.fitted = min(starts, key=lambda m: m.summary.trainingCost)
         return self
@@ -248,7 +259,7 @@ class Gmm(_Ml):
     def fit(self, rows: DataFrame) -> Gmm:
         from pyspark.ml.clustering import GaussianMixture
 
-        starts = [GaussianMixture(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s).fit(rows) for s in range(self.settings.get("n_init", 1))]
+        starts = _side_by_side(lambda s: GaussianMixture(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s).fit(rows), self.settings.get("n_init", 1))
         self.fitted = max(starts, key=lambda m: m.summary.logLikelihood)
         return self
 

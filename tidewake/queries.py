@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions import expr
+from tidewake.functions import expr, lineage
 from tidewake.operators import basins, crossval, evaluate, features, losses, models, neighbours, runs, signal, training
 from tidewake.operators import frames as fr
 from tidewake.plans import config
@@ -844,3 +844,26 @@ def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.fuzzy(neighbours.neighbours(_spectra(spark, d), 16), 16)
+
+
+# -- sinks and what is read back from them
+
+
+@query(f"WITH {_F} SELECT clip_id, count(*) AS n, CAST(sum(pred * t) AS BIGINT) AS total, sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS hits FROM f GROUP BY 1")
+def stored_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written by clip, read again and aligned with their rows."""
+    e, path = events(spark, d), lineage.new_folder(spark, "predictions")
+    clips.write_predictions(e, path)
+    told = clips.align(e.drop("pred"), spark.read.parquet(path))
+    return told.groupBy("clip_id").agg(F.count("*").alias("n"), F.sum(F.col("pred") * F.col("t")).alias("total"), F.sum((F.col("label") == F.col("pred")).cast("int")).alias("hits"))
+
+
+@query(f"WITH {_EV}, {_K}, {_prf('fm', 'split,')}, e AS (SELECT 'labels' AS name, split, label, CAST(0 AS BIGINT) AS pred, tp + fn AS n FROM pr UNION ALL SELECT 'confusion', g.split, g.label, g.pred, coalesce(c.n, 0) FROM (SELECT DISTINCT split, a.label, b.label AS pred FROM fm, k a, k b) g LEFT JOIN (SELECT split, label, pred, count(*) AS n FROM fm WHERE label <> 0 GROUP BY ALL) c USING (split, label, pred)) SELECT * FROM e")
+def stored_results(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of two evaluations written with their runs' keys; one of them read again."""
+    path, tables = lineage.new_folder(spark, "results"), _evaluated(spark, d)
+    kept = {k: tables[k] for k in ("labels", "confusion")}
+    for fold in (0, 1):
+        clips.write_results(kept if fold else {k: t.limit(1) for k, t in kept.items()}, path, experiment="toy", fold=fold)
+    labels, confusion = (clips.read_results(spark, path, k, experiment="toy", fold=1) for k in kept)
+    return labels.select(F.lit("labels").alias("name"), "split", "label", F.lit(0).cast("long").alias("pred"), F.col("truth").alias("n")).unionByName(confusion.select(F.lit("confusion").alias("name"), "split", "label", F.col("pred").cast("long").alias("pred"), "n"))
