@@ -1,4 +1,7 @@
-"""Clips in parts: stretches of a clip with the rows around them, so that what looks a bounded way around each row needs no whole clip in one task."""
+"""Clips in parts: stretches of a clip with the rows around them, so that what looks a bounded way around each row needs no whole clip in one task.
+
+t counts a clip's rows from 0 without gaps, as with_time() and the readers of files make it.
+"""
 
 from __future__ import annotations
 
