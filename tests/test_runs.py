@@ -25,7 +25,7 @@ def point(name, model="dt", **own):
 
 def test_sweep_resumes_and_best_goes_to_the_other_folds(spark, tmp_path, monkeypatch):
     d, meta = dataset(spark)
-    points = [point("p0", context_window_sec=1), point("p1", model="umapper")]
+    points = [point("p0", context_window_sec=1), point("p1", model="iic")]
     out = runs.cross_validate(d, meta, points, str(tmp_path))  # the second point can't run here, and is left out
     scores = {r.split: r for r in out["scores"].collect()}
     assert scores["test"].f1_mean > 0.8 and out["confusion"].where("split = 'test'").agg(F.sum("n")).first()[0] == 2 * 64

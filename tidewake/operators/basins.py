@@ -53,6 +53,24 @@ def _dealt(cells: DataFrame, size: int, tile: int, reach: int, value: str) -> Da
     return d
 
 
+def _spread(x: np.ndarray, w: np.ndarray, side: int) -> np.ndarray:
+    """The sums over k of w[k] x[k : k + side], added in order of k. Rows and columns of zeros, most of a map of few points, are passed over."""
+    rows, cols = np.flatnonzero(x.any(1)), np.flatnonzero(x.any(0))
+    out = np.zeros((side, len(cols)))
+    if len(rows) < len(w):
+        turned = w[::-1]
+        for r in rows:  # row r is reached from r - len(w) + 1 to r
+            low, high = max(0, r - len(w) + 1), min(side, r + 1)
+            out[low:high] += turned[low - r + len(w) - 1 : high - r + len(w) - 1, None] * x[r, cols]
+    else:
+        some = x[:, cols]
+        for k in range(len(w)):
+            out += w[k] * some[k : k + side]
+    whole = np.zeros((side, x.shape[1]))
+    whole[:, cols] = out
+    return whole
+
+
 def _blur(t: pa.Table, i: int, j: int, size: int, tile: int, w: np.ndarray, ring: int) -> np.ndarray:
     """The blurred values of tile (i, j) and a ring of cells about it; minus infinity outside the raster."""
     r, side = len(w) // 2, tile + 2 * ring
@@ -60,8 +78,7 @@ def _blur(t: pa.Table, i: int, j: int, size: int, tile: int, w: np.ndarray, ring
     row, col = t.column("row").to_numpy() - i * tile + ring + r, t.column("col").to_numpy() - j * tile + ring + r
     inside = (row >= 0) & (row < len(dense)) & (col >= 0) & (col < len(dense))
     np.add.at(dense, (row[inside], col[inside]), t.column("v").to_numpy()[inside])
-    down = sum(w[k] * dense[k : k + side] for k in range(len(w)))
-    out = np.round(sum(w[k] * down[:, k : k + side] for k in range(len(w))), 12)
+    out = np.round(_spread(_spread(dense, w, side).T, w, side).T, 12)
     rows, cols = (np.arange(side) - ring + k * tile for k in (i, j))
     out[(rows < 0) | (rows >= size)] = -np.inf
     out[:, (cols < 0) | (cols >= size)] = -np.inf

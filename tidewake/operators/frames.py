@@ -78,15 +78,24 @@ def upsampled(frames: DataFrame, strided: DataFrame, n: int) -> DataFrame:
     return wanted.join(strided.select("clip_id", (F.col("t") / n).cast("long").alias("_k"), "pred"), ["clip_id", "_k"]).select("clip_id", "t", "pred")
 
 
+def raster_frame(points: DataFrame, size: int, border: int, x: str = "x", y: str = "y") -> DataFrame:
+    """One row: the least value of either axis (_x, _y), and the cells a unit (_s; null without points, or with equal ones only)."""
+    low = points.agg(F.min(x).alias("_x"), F.min(y).alias("_y"), F.max(x).alias("_u"), F.max(y).alias("_v"))
+    return low.select("_x", "_y", ((size - 2 * border) / F.nullif(F.greatest(F.col("_u") - F.col("_x"), F.col("_v") - F.col("_y")), F.lit(0.0))).alias("_s"))
+
+
+def raster_cells(points: DataFrame, fitted: DataFrame, size: int, border: int, x: str = "x", y: str = "y") -> DataFrame:
+    """points with their cell (row, col) in the raster of fitted, of raster_frame(); points beyond its edge take the cell at the edge."""
+    cell = lambda c, first: F.least(F.greatest(((F.col(c) - F.col(first)) * F.coalesce("_s", F.lit(0.0))).cast("long") + border, F.lit(0)), F.lit(size - 1))
+    return points.crossJoin(F.broadcast(fitted)).withColumns({"row": cell(x, "_x"), "col": cell(y, "_y")}).drop("_x", "_y", "_s")
+
+
 def raster(points: DataFrame, size: int, border: int, x: str = "x", y: str = "y") -> DataFrame:
     """row, col, n, density: points counted on a raster of size x size cells, filled to a border; density is n over the fullest cell's.
 
     Both axes begin at their least value and share one scale. Without points, or with equal ones only, there is one cell or none.
     """
-    low = points.agg(F.min(x).alias("_x"), F.min(y).alias("_y"), F.max(x).alias("_u"), F.max(y).alias("_v"))  # one row
-    low = low.withColumn("_s", (size - 2 * border) / F.nullif(F.greatest(F.col("_u") - F.col("_x"), F.col("_v") - F.col("_y")), F.lit(0.0)))
-    cell = lambda c, first: F.least(F.greatest(F.floor((F.col(c) - F.col(first)) * F.coalesce("_s", F.lit(0.0))) + border, F.lit(0)), F.lit(size - 1))
-    cells = points.crossJoin(F.broadcast(low)).groupBy(cell(x, "_x").alias("row"), cell(y, "_y").alias("col")).agg(F.count("*").alias("n"))
+    cells = raster_cells(points.select(x, y), raster_frame(points, size, border, x, y), size, border, x, y).groupBy("row", "col").agg(F.count("*").alias("n"))
     top = cells.agg(F.max("n").alias("_top"))
     return cells.crossJoin(F.broadcast(top)).select("row", "col", "n", (F.col("n") / F.col("_top")).alias("density"))
 

@@ -528,8 +528,14 @@ def _absent(name: str, needs: str) -> Callable[..., BehaviourModel]:
     return make
 
 
-#: Names to models; the deep ones and the embedding are named, but need libraries beyond Spark.
-MODELS: dict[str, Callable[..., BehaviourModel]] = {"random": Random, "kmeans": KMeans, "minibatch_kmeans": MiniBatchKMeans, "gmm": Gmm, "hmm": Hmm, "rf": Forest, "dt": Tree, "svm": Svm} | {n: _absent(n, "torch") for n in ("CRNN", "harnet", "vame", "iic")} | {"umapper": _absent("umapper", "umap")}
+def _umapper(*a: Any, **settings: Any) -> BehaviourModel:
+    from .embedding import Umapper
+
+    return Umapper(*a, **settings)
+
+
+#: Names to models; the deep ones are named, but need libraries beyond Spark.
+MODELS: dict[str, Callable[..., BehaviourModel]] = {"random": Random, "kmeans": KMeans, "minibatch_kmeans": MiniBatchKMeans, "gmm": Gmm, "hmm": Hmm, "rf": Forest, "dt": Tree, "svm": Svm} | {n: _absent(n, "torch") for n in ("CRNN", "harnet", "vame", "iic")} | {"umapper": _umapper}
 
 
 def model(name: str, clusters: int, seed: int = 0, **settings: Any) -> BehaviourModel:

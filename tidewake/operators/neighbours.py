@@ -34,8 +34,11 @@ def divergence(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (F.log(x) - F.log(y))), F.lit(0.0), lambda s, c: s + c) / 2
 
 
-def _lines(rows: DataFrame, k: int, lines: int, seed: int) -> DataFrame:
-    """a, b: rows that are near each other along random lines through the logarithms of their shares. Each line is cut into stretches, so no task sorts all."""
+def lined(rows: DataFrame, k: int, lines: int, seed: int, back: bool = False) -> DataFrame:
+    """a, b: rows that are near each other along random lines through the logarithms of their shares; with back, in both directions.
+
+    Each line is cut into stretches, so no task sorts all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -50,28 +53,33 @@ def _lines(rows: DataFrame, k: int, lines: int, seed: int) -> DataFrame:
     cut = F.size(F.filter("cuts", lambda c: c < F.col("p"))) if m > 1 else F.lit(0)
     own = Window.partitionBy("line", "stretch").orderBy("p", "id")
     d = placed.join(F.broadcast(ends), "line").select("line", "id", "p", cut.alias("stretch"))
-    d = d.withColumn("near", F.array(*(F.lead("id", j).over(own) for j in range(1, k + 1))))
+    d = d.withColumn("near", F.array(*(f("id", j).over(own) for j in range(1, k + 1) for f in ((F.lead, F.lag) if back else (F.lead,)))))
     return d.select(F.col("id").alias("a"), F.explode("near").alias("b")).where("b IS NOT NULL AND a <> b")
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """Of each row the k nearest of its pairs (a, b, d)."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     return pairs.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def told(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a row of left (id, v) and one of right with their divergence d."""
+    d = pairs.join(left.select(F.col("id").alias("a"), F.col("v").alias("_x")), "a").join(right.select(F.col("id").alias("b"), F.col("v").alias("_y")), "b")
+    return d.select("a", "b", divergence("_x", "_y").alias("d"))
+
+
 def neighbours(rows: DataFrame, k: int = 15, lines: int = 8, candidates: int = 20, rounds: int = 8, stop: float = 0.002, seed: int = 0) -> DataFrame:
     """a, b, d: for each row a its k nearest other rows b, nearly, with their symmetric divergence d. rows: id (long, each once), v (shares, see shares())."""
     rows = rows.select(F.col("id").cast("long").alias("id"), "v").persist()
-    left, right = rows.select(F.col("id").alias("a"), F.col("v").alias("_x")), rows.select(F.col("id").alias("b"), F.col("v").alias("_y"))
 
-    def told(pairs: DataFrame) -> DataFrame:
+    def both(pairs: DataFrame) -> DataFrame:
         """Both directions of pairs (a < b), with their distance, computed once."""
-        d = pairs.join(left, "a").join(right, "b").select("a", "b", divergence("_x", "_y").alias("d"))
+        d = told(pairs, rows, rows)
         return d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
-    first = _lines(rows, k, lines, seed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now = cut(_nearest(told(first), k))
+    first = lined(rows, k, lines, seed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    now = cut(nearest(both(first), k))
     n = max(1, now.count())
     for r in range(rounds):
         h = lambda: F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64(F.lit(seed + r), "a", "b")))  # noqa: B023, E731
@@ -80,7 +88,7 @@ def neighbours(rows: DataFrame, k: int = 15, lines: int = 8, candidates: int = 2
         met = some.unionByName(back).distinct().groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("m"))  # 2 x candidates at most
         one = met.select(F.col("m"), F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
         new = one.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        after = cut(_nearest(now.unionByName(told(new)), k))
+        after = cut(nearest(now.unionByName(both(new)), k))
         changed = after.join(now, ["a", "b"], "left_anti").count()
         now = after
         if changed <= stop * n:
@@ -88,10 +96,10 @@ def neighbours(rows: DataFrame, k: int = 15, lines: int = 8, candidates: int = 2
     return now
 
 
-def fuzzy(graph: DataFrame, k: int, steps: int = 64) -> DataFrame:
-    """a, b, weight for each edge in either direction (a < b): the chance that at least one of its two directed edges holds.
+def strengths(graph: DataFrame, k: int, steps: int = 64) -> DataFrame:
+    """a, b, w: the strength of each directed edge of graph (a, b, d).
 
-    A directed edge's strength is exp(-(d - nearest) / s), where a row's scale s makes its strengths add up to log2(k): found by bisection over the row's
+    It is exp(-(d - nearest) / s), where a row's scale s makes its strengths add up to log2(k): found by bisection over the row's
     own distances.
     """
     goal = float(np.log2(k))
@@ -112,6 +120,11 @@ def fuzzy(graph: DataFrame, k: int, steps: int = 64) -> DataFrame:
             yield pdf.assign(w=out)[["a", "b", "w"]]
 
     lists = graph.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", "b"))).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))  # k a row
-    directed = lists.mapInPandas(run, "a long, b array<long>, w array<double>").select("a", F.arrays_zip("b", "w").alias("m")).select("a", F.inline("m"))
+    return lists.mapInPandas(run, "a long, b array<long>, w array<double>").select("a", F.arrays_zip("b", "w").alias("m")).select("a", F.inline("m"))
+
+
+def fuzzy(graph: DataFrame, k: int, steps: int = 64) -> DataFrame:
+    """a, b, weight for each edge in either direction (a < b): the chance that at least one of its two directed edges holds, by their strengths."""
+    directed = strengths(graph, k, steps)
     both = directed.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("w").alias("s"), F.product("w").alias("p"), F.count("*").alias("n"))
     return both.select(F.col("x").alias("a"), F.col("y").alias("b"), F.when(F.col("n") == 2, F.col("s") - F.col("p")).otherwise(F.col("s")).alias("weight"))

@@ -43,7 +43,7 @@ def model_inputs(frames: DataFrame, meta: config.Metadata, settings: Mapping[str
     channels = meta.channels(settings.get("input_vars"))
     keys = [c for c in ("clip_id", "t", "individual_id", "label", "split") if c in frames.columns]
     rows, parts = frames.select(*keys, *channels), {"dynamic_only": meta.dynamic_acc_only}
-    if own.get("wavelet_transform"):
+    if own.get("wavelet_transform") or settings["model"] == "umapper":
         waves = signal.wavelets(rows, channels, meta.sr, own["n_wavelets"], own.get("C_min"), own.get("C_max") or 100, own["morlet_w"], bool(own.get("per_channel_normalize")))
         names = [f"wave{k}" for k in range(len(channels) * own["n_wavelets"])]
         rows = rows.select(*keys).join(waves, ["clip_id", "t"])

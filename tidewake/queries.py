@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import expr, lineage
-from tidewake.operators import basins, crossval, evaluate, features, losses, models, neighbours, runs, signal, training
+from tidewake.operators import basins, crossval, embedding, evaluate, features, losses, models, neighbours, runs, signal, training
 from tidewake.operators import frames as fr
 from tidewake.plans import config
 from tidewake.sources import clips
@@ -846,6 +846,21 @@ def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.fuzzy(neighbours.neighbours(_spectra(spark, d), 16), 16)
 
 
+@query()
+def embedding_map(spark: SparkSession, d: str) -> DataFrame:
+    """All rows on the plane, laid out from their fuzzy graph."""
+    rows = lineage.cut(_spectra(spark, d))
+    return embedding.layout(lineage.cut(neighbours.fuzzy(neighbours.neighbours(rows, 16), 16)), embedding.start(rows))
+
+
+@query()
+def model_umapper(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth row of each clip is fitted; all are predicted from every fourth, placed beside the fitted ones. The model's defaults."""
+    v, own = vectors(spark, d), _settings("umapper")
+    m = models.model("umapper", CLUSTERS, 0, **own["model_config"]).fit(runs.training_rows(v.withColumn("split", F.lit("train")), own))
+    return m.predict(v).select("clip_id", "t", "label", "pred")
+
+
 # -- sinks and what is read back from them
 
 
