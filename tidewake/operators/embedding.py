@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions.lineage import cut
+from tidewake.functions.lineage import cut, stored
 
 from . import frames as fr
 from .basins import basin_of, basins, least_blur
@@ -120,7 +120,7 @@ def layout(graph: DataFrame, begin: DataFrame, min_dist: float = 0.1, rounds: in
     edges stay where they are, edges with an end that has no place count for nothing."""
     a, b = curve(min_dist)
     edges = graph.select("a", "b", "weight").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).persist()
-    now = cut(begin.select("id", "x", "y", F.lit(0.0).alias("_vx"), F.lit(0.0).alias("_vy")))
+    now = stored(begin.select("id", "x", "y", F.lit(0.0).alias("_vx"), F.lit(0.0).alias("_vy")))
     context = begin.sparkSession.sparkContext
     for _ in range(rounds):
         shared = context.broadcast(field(now, a, b))  # its size is fixed
@@ -134,7 +134,7 @@ def layout(graph: DataFrame, begin: DataFrame, min_dist: float = 0.1, rounds: in
                 yield pd.DataFrame({"id": d["id"], "x": p[:, 0].round(PLACES), "y": p[:, 1].round(PLACES), "_vx": v[:, 0].round(PLACES), "_vy": v[:, 1].round(PLACES)})
 
         told_ = now.join(pulls(edges, now, a, b).withColumnRenamed("a", "id"), "id", "left").fillna(0.0, ["degree", "springs", "px", "py"])
-        now = cut(told_.mapInPandas(move, "id long, x double, y double, _vx double, _vy double"))
+        now = stored(told_.mapInPandas(move, "id long, x double, y double, _vx double, _vy double"))
         shared.unpersist()
     edges.unpersist()
     return now.select("id", "x", "y")
@@ -153,11 +153,11 @@ def search(new: DataFrame, rows: DataFrame, graph: DataFrame, k: int, lines: int
     # a row whose line-mates are all new ones starts from the rows with the least ids
     some = rows.orderBy("id").limit(k).select(F.col("id").alias("b"))
     lost = new.select(F.col("id").alias("a")).join(first, "a", "left_anti").crossJoin(F.broadcast(some))
-    now = cut(nearest(told(first.unionByName(lost), new, rows), k))
+    now = stored(nearest(told(first.unionByName(lost), new, rows), k))
     edges = graph.select(F.col("a").alias("b"), F.col("b").alias("_to"))
     for _ in range(rounds):
         step = now.join(edges, "b").select("a", F.col("_to").alias("b")).distinct().join(now, ["a", "b"], "left_anti")
-        after = cut(nearest(now.unionByName(told(step, new, rows)), k))
+        after = stored(nearest(now.unionByName(told(step, new, rows)), k))
         ended = after.join(now, ["a", "b"], "left_anti").isEmpty()
         now = after
         if ended:
