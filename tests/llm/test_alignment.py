@@ -78,6 +78,31 @@ def test_windows_are_aligned_once_and_forgetting_changes_nothing(monkeypatch):
     assert first.n_links.tolist() == again.n_links.tolist() and len(m.many) < 20
 
 
+def test_row_groups_of_blocks_stay_small(spark):
+    """A task's blocks aren't held until it ends: the writer asks for its size after each row, not after 100."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "transform(sequence(1, 65536), x -> xxhash64(x, id)) AS a")  # half a megabyte each
+    path = alignment.cut(rows, "blocks-test", 4 << 20).inputFiles()[0].removeprefix("file://")
+    found = [pq.ParquetFile(f).metadata for f in glob.glob(path)]
+    assert [m.num_rows for m in found] == [40] and max(m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)) <= 16
+
+
+def test_windows_stand_for_themselves():
+    """Texts cut at anchors have the ids and groups of whole texts, also where a window's own tokens differ from its characters."""
+    m, rng = alignment.Aligner(A, B), random.Random(8)
+    alphabet = ["a", "the", "'s", "é", " ", " ", "\n", "\t", "▁", "漢", "\xa0", "1", ".", "<|endoftext|>", "\x1c"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    r = m.align(texts)
+    for k, x in enumerate(texts):
+        a, b = m.t.encode(x)
+        assert (r.n_a[k], r.n_b[k]) == (len(a), len(b))
+        groups = [g.split("|") for g in m.text_groups(r, k).split(";") if g]
+        assert [",".join(g[i] for g in groups) for i in (0, 1)] == [",".join(map(str, y)) for y in (a, b)]
+
+
 def test_fast_encoder_gives_the_librarys_ids():
     t = alignment._Tokenizers(A, B)
     rng = random.Random(6)

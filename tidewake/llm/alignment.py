@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' ids by anchors at white space.
 
-Each text is encoded whole by a byte-level BPE (A, with a space before the text) and by sentencepiece (B, which adds that space). Where a token of
-both ends at the same byte and a token of both that begins with a space follows, the text can be cut: such an anchor is verified by the
-byte offsets themselves. Between two anchors lies a window, a tuple of A's ids and one of B's, and what is aligned in it depends on these ids alone;
-windows of ordinary prose repeat all the time, so each is aligned once and remembered by its tuples, and the rest is arithmetic on arrays.
+Each text is encoded by a byte-level BPE (A, with a space before the text) and by sentencepiece (B, which adds that space). A single space between two
+characters that aren't white space is an anchor: A's pattern begins a pre-token there, which never looks back, and no piece of B has its mark for a space
+behind another character (the vocabulary is asked), so no merge of either crosses it, and what follows is encoded as if it stood alone. Between two anchors lies a
+window; its ids by A and B and their alignment depend on its own characters alone. Windows of ordinary prose repeat all the time, so each is encoded and aligned
+once and remembered by its text, and the rest is arithmetic on arrays. With other kinds of tokenizers a whole text is one window.
 
 In a window, offsets at which both tokens end cut groups, and tokens whose byte ranges overlap are linked. How many documents hold an id pair is
 counted over the corpus: texts are taken in blocks of BLOCK bytes, a block sends each of its pairs once, with the number of its documents that
@@ -15,9 +16,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +31,9 @@ from .token_counts import encoder
 
 BLOCK = 4 << 20  # bytes of text in a block, about
 MEMO = 1 << 18  # windows remembered by a worker
+ROW_GROUP = 16 << 20  # bytes of blocks that a task buffers until it writes them, about
+#: Anchors: a space between two characters of which neither is white space.
+_ANCHOR = re.compile(r" (?<=\S )(?=\S)")
 
 
 class _Tokenizers:
@@ -55,7 +59,15 @@ class _Tokenizers:
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.lengths_a, self.lengths_b = self.size_a.tolist(), self.size_b.tolist()
         self.named = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.space_a, self.space_b = (np.array([x[:1] == b" " for x in y]) for y in (self.bytes_a, self.bytes_b))
+        apart = self.plain.by_pieces and not any(" " in self.b.id_to_piece(i).replace("▁", " ").lstrip(" ") for i in range(self.b.get_piece_size()))
+        self.windows = _ANCHOR.split if apart and self._identity() else lambda text: [text]
+
+    def _identity(self) -> bool:
+        """Whether B changes no character before it looks for pieces."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
+        return not (spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix) and spec.normalizer_spec.add_dummy_prefix
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids by A and by B; none if the text is empty or the ids' bytes aren't those of a space and the text."""
@@ -90,69 +102,81 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[tuple[bytes, bytes], int] = {}
+        self.seen: dict[str, int] = {}
         self.numbers: dict[int, int] = {}
         self.groups: list[str] = []
         self.pairs, self.linked = array("q"), array("q")  # a << 32 | b by number; numbers of each window's links
         self.to, self.many = array("q", [0]), array("q")  # where a window's links end; how many groups it has
-
-    def _align(self, key: tuple[bytes, bytes]) -> int:
-        """Align the window with these ids (int32), and remember it."""
-        a, b = (memoryview(x).cast("i").tolist() for x in key)
-        size_a, size_b, named, numbers, linked = self.t.lengths_a, self.t.lengths_b, self.t.named, self.numbers, self.linked
-        i = j = from_a = from_b = groups = 0
-        x, y, last, text = size_a[a[0]], size_b[b[0]], len(a) - 1, ""
-        while True:
-            pair = a[i] << 32 | b[j]
-            number = numbers.get(pair)
-            if number is None:
-                number = numbers[pair] = len(self.pairs)
-                self.pairs.append(pair)
-            linked.append(number)
-            if x == y:
-                groups += 1
-                text += f"{';' if from_a else ''}{named[a[i]] if i == from_a else ','.join([named[k] for k in a[from_a : i + 1]])}|{named[b[j]] if j == from_b else ','.join([named[k] for k in b[from_b : j + 1]])}"
-                if i == last:  # b ends here, too
-                    break
-                i, j = i + 1, j + 1
-                from_a, from_b = i, j
-                x, y = x + size_a[a[i]], y + size_b[b[j]]
-            elif x < y:
-                i += 1
-                x += size_a[a[i]]
+        self.ids_a, self.ids_b = array("q"), array("q")  # how many ids it has
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode, align and remember windows: in one string where the space between two is an anchor. A window's number is -1 if its ids' bytes aren't its own."""
+        if len(parts) > 1:
+            loose = [x for x in parts if x[:1].isspace() or x[-1:].isspace()]
+            inner = [x for x in parts if x not in loose] if loose else parts
+            a, b = self.t.encode(" ".join(inner))
+            if a:
+                self._align(inner, a, b)
+            parts = loose if a else parts
+        for x in parts:
+            a, b = self.t.encode(x)
+            if a:
+                self._align([x], a, b)
             else:
-                j += 1
-                y += size_b[b[j]]
-        self.groups.append(text)
-        self.to.append(len(linked))
-        self.many.append(groups)
-        number = self.seen[key] = len(self.many) - 1
-        return number
+                self.seen[x] = -1
+
+    def _align(self, parts: list[str], a: list[int], b: list[int]) -> None:
+        """Align windows that have these ids, one after another."""
+        size_a, size_b, named, numbers, linked, seen = self.t.lengths_a, self.t.lengths_b, self.t.named, self.numbers, self.linked, self.seen
+        i = j = x = y = end = 0
+        for part in parts:
+            end += len(part) + 1 if part.isascii() else len(part.encode()) + 1
+            from_a = begin_a = i
+            from_b = begin_b = j
+            text = []
+            x, y = x + size_a[a[i]], y + size_b[b[j]]
+            while True:
+                pair = a[i] << 32 | b[j]
+                number = numbers.get(pair)
+                if number is None:
+                    number = numbers[pair] = len(self.pairs)
+                    self.pairs.append(pair)
+                linked.append(number)
+                if x == y:
+                    text.append(f"{named[a[i]] if i == from_a else ','.join([named[k] for k in a[from_a : i + 1]])}|{named[b[j]] if j == from_b else ','.join([named[k] for k in b[from_b : j + 1]])}")
+                    i, j = i + 1, j + 1
+                    if x == end:
+                        break
+                    from_a, from_b = i, j
+                    x, y = x + size_a[a[i]], y + size_b[b[j]]
+                elif x < y:
+                    i += 1
+                    x += size_a[a[i]]
+                else:
+                    j += 1
+                    y += size_b[b[j]]
+            seen[part] = len(self.many)
+            self.groups.append(";".join(text))
+            self.to.append(len(linked))
+            self.many.append(len(text))
+            self.ids_a.append(i - begin_a)
+            self.ids_b.append(j - begin_b)
 
     def align(self, texts: list[str | None]) -> Aligned:
         if len(self.many) > MEMO or len(self.linked) > 16 * MEMO:
             self.forget()
-        ids = [self.t.encode(x or "") for x in texts]
-        n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable([x[k] for x in ids]), np.int32, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
-        end_a, end_b = np.cumsum(self.t.size_a[a]), np.cumsum(self.t.size_b[b])
-        total = int(end_a[-1]) + 1 if len(a) else 1
-        is_a, is_b = np.zeros(total, bool), np.zeros(total, bool)
-        is_a[end_a], is_b[end_b] = True, True
-        at_a, at_b = np.flatnonzero(is_b[end_a]), np.flatnonzero(is_a[end_b])  # the same offsets, in tokens of A and of B
-        anchor = np.append(self.t.space_a[a[at_a[:-1] + 1]] & self.t.space_b[b[at_b[:-1] + 1]], True)[: len(at_a)]
-        last = np.cumsum(n_a)[n_a > 0] - 1
-        anchor[np.searchsorted(at_a, last)] = True  # texts end where both tokens end
-        to_a, to_b = at_a[anchor] + 1, at_b[anchor] + 1
-        x, y, get = a.tobytes(), b.tobytes(), self.seen.get
-        window = np.empty(len(to_a), np.int64)
-        i = j = 0
-        for k, (p, q) in enumerate(zip((4 * to_a).tolist(), (4 * to_b).tolist(), strict=True)):
-            key = (x[i:p], y[j:q])
-            number = get(key)
-            window[k] = self._align(key) if number is None else number
-            i, j = p, q
-        first = np.concatenate(([0], np.searchsorted(to_a, np.cumsum(n_a), "right")))
+        get, split, found, first = self.seen.get, self.t.windows, array("q"), [0]
+        for x in texts:
+            parts = split(x) if x else []
+            numbers = list(map(get, parts))
+            if None in numbers:
+                self._learn(list(dict.fromkeys(p for p, n in zip(parts, numbers, strict=True) if n is None)))
+                numbers = list(map(get, parts))
+            if -1 not in numbers:  # else the text has no tokens
+                found.extend(numbers)
+            first.append(len(found))
+        window, first = (np.array(z, np.int64) for z in (found, first))
+        n_a, n_b = (np.diff(np.concatenate(([0], np.cumsum(np.array(z, np.int64)[window])))[first]) for z in (self.ids_a, self.ids_b))
         to, many, linked = (np.frombuffer(z, np.int64) if len(z) else np.zeros(0, np.int64) for z in (self.to, self.many, self.linked))
         count = to[window + 1] - to[window]
         groups, links = (np.diff(np.concatenate(([0], np.cumsum(z)))[first]) for z in (many[window], count))
@@ -247,7 +271,7 @@ def alignment_digest(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> Dat
     n_best: links whose pair is in as many texts as any pair of its A id. count_sum: over links, in how many texts their pair is. groups_sha256: of
     alignments()' groups, empty without tokens.
     """
-    blocks = cut(_blocks(docs, a, b, block), "alignment-blocks")
+    blocks = cut(_blocks(docs, a, b, block), "alignment-blocks", ROW_GROUP)
     told = blocks.select("block", F.posexplode("pair").alias("k", "pair")).join(pair_counts(blocks), "pair")
     told = told.groupBy("block").agg(F.collect_list(F.struct("k", "n", (F.col("n") == F.col("best")).alias("top"))).alias("told"))  # a block's own pairs
 
