@@ -116,3 +116,21 @@ def test_edges(spark):
     rows = [(None, "a b c d e", "en", "a", 0, 0, ""), (None, None, "en", "a", 0, 0, ""), (7, "", "en", "a", 0, 0, ""), (7, "A b\tc d E", "en", "a", 0, 0, "")]
     got = sorted((r.doc_id or -1, r.fingerprint == "0" * 16, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect())
     assert got == [(-1, False, 7), (-1, True, 7), (7, False, 7), (7, True, 7)]
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """The plans of all steps, the components' among them, hold no broadcast: such a table would be built whole on the driver."""
+    from tidewake.llm import graph
+
+    plans = []
+
+    def told(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    cut = simhash.cut
+    monkeypatch.setattr(simhash, "cut", told)
+    monkeypatch.setattr(graph, "cut", told)
+    last = simhash.near_duplicates(frame(spark))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, spread
 from .graph import components
 from .textnum import _LOWER, _SPACE, pieces, raw, words
 
@@ -158,23 +158,23 @@ def linked(fps: DataFrame) -> DataFrame:
     rows = _keyed(fps.repartition(max(1, -(-fps.count() // ROWS)), "fp"))  # a row becomes 180
     # the hub: the fingerprint that comes first after its bits were changed by the key's
     hubs = rows.groupBy("key").agg(F.min(F.col("fp").bitwiseXOR(F.col("key"))).alias("_least"), F.count("*").alias("many")).where("many > 1")
-    met = cut(rows.join(hubs, "key").select("key", "fp", F.col("_least").bitwiseXOR(F.col("key")).alias("hub"), "many"), "simhash-met")
+    met = cut(rows.join(spread(hubs), "key").select("key", "fp", F.col("_least").bitwiseXOR(F.col("key")).alias("hub"), "many"), "simhash-met")
     first = components(met.where("fp <> hub AND " + near.format("fp", "hub")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     first = cut(first, "simhash-first")
     of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    told = met.join(of("fp"), "fp", "left").join(of("hub"), "hub", "left").select("key", "fp", "many", F.coalesce("fp_in", "fp").alias("own"), F.coalesce("hub_in", "hub").alias("of_hub"))
+    told = met.join(spread(of("fp")), "fp", "left").join(spread(of("hub")), "hub", "left").select("key", "fp", "many", F.coalesce("fp_in", "fp").alias("own"), F.coalesce("hub_in", "hub").alias("of_hub"))
     told = cut(told, "simhash-told")
     drop_cut(met)
     salts = F.ceil(F.col("many") / SALT).cast("int")
     out = told.where("own <> of_hub").select("key", F.col("fp").alias("x"), F.col("own").alias("x_own"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    every = told.join(told.where("own <> of_hub").select("key").distinct(), "key", "left_semi")
+    every = told.join(spread(told.where("own <> of_hub").select("key").distinct()), "key", "left_semi")
     every = every.select("key", F.col("fp").alias("y"), F.col("own").alias("y_own"), F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"))
-    more = out.join(every, (out["key"] == every["key"]) & (out["salt"] == every["salt"]) & (out["x_own"] != every["y_own"]) & F.expr(near.format("x", "y")))
+    more = out.join(spread(every), (out["key"] == every["key"]) & (out["salt"] == every["salt"]) & (out["x_own"] != every["y_own"]) & F.expr(near.format("x", "y")))
     joined = cut(components(more.select(F.col("x_own").alias("a"), F.col("y_own").alias("b")).distinct()), "simhash-joined")
     drop_cut(told)
     # components of the first links, and fingerprints that had none, in those of all links
-    nodes = first.select(F.col("node").alias("fp"), F.col("component").alias("_one")).unionByName(joined.join(first, "node", "left_anti").select(F.col("node").alias("fp"), F.col("node").alias("_one")))
-    return nodes.join(joined.select(F.col("node").alias("_one"), F.col("component").alias("_two")), "_one", "left").select("fp", F.coalesce("_two", "_one").alias("component"))
+    nodes = first.select(F.col("node").alias("fp"), F.col("component").alias("_one")).unionByName(joined.join(spread(first), "node", "left_anti").select(F.col("node").alias("fp"), F.col("node").alias("_one")))
+    return nodes.join(spread(joined.select(F.col("node").alias("_one"), F.col("component").alias("_two"))), "_one", "left").select("fp", F.coalesce("_two", "_one").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     found = cut(fingerprints(docs, size), "simhash-fingerprints")
     each = found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("same"))
     each = cut(each, "simhash-different")
-    named = cut(each.join(linked(each.select("fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-named")
+    named = cut(each.join(spread(linked(each.select("fp"))), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-named")
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(top, "component").select("fp", "component_id", "same")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "same")
+    named = named.join(spread(top), "component").select("fp", "component_id", "same")
+    return found.join(spread(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "same")
