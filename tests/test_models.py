@@ -82,3 +82,27 @@ def test_hmm_scales_by_the_rows_of_whole_chunks(rows, spark):
     assert tables["likelihood"].count() == 8 and abs(tables["transitions"].groupBy("state").sum("probability").first()[1] - 1) < 1e-9
     with pytest.raises(ValueError, match="whole chunk"):
         models.model("hmm", 2, 0, temporal_window_samples=500).fit(far)
+
+
+def test_hmm_sums_of_chunks_are_those_of_each_alone(monkeypatch):
+    """Chunks taken side by side, in any number at once, give the sums of the recursions over one chunk after another."""
+    import pyarrow as pa
+
+    rng, k, d, w = np.random.default_rng(5), 3, 2, 7
+    m = models.Hmm(k, 0)
+    m.start, m.move = (np.log(rng.dirichlet(np.ones(k), n)) for n in (1, k))
+    m.start, m.mean, m.var = m.start[0], rng.normal(size=(k, d)), rng.uniform(0.5, 2, size=(k, d))
+    x = rng.normal(size=(11, w, d))
+    want = np.zeros(1 + k + k * k + k + 2 * k * d)
+    for c in x:
+        states = np.array(np.meshgrid(*[range(k)] * w, indexing="ij")).reshape(w, -1).T  # all paths
+        emit = models._log_normal(c, m.mean, m.var)
+        p = np.exp(m.start[states[:, 0]] + emit[np.arange(w), states].sum(1) + m.move[states[:, :-1], states[:, 1:]].sum(1))
+        q, one = p / p.sum(), np.eye(k)[states]
+        gamma, pair = np.einsum("p,pwk->wk", q, one), np.einsum("p,pwi,pwj->ij", q, one[:, :-1], one[:, 1:])
+        want += np.concatenate(([np.log(p.sum())], gamma[0], pair.ravel(), gamma.sum(0), (gamma.T @ c).ravel(), (gamma.T @ (c * c)).ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(x.reshape(11, -1).tolist(), pa.list_(pa.float64()))], ["x"])
+    for side in (1, 3 * w, 1 << 13):
+        monkeypatch.setattr(models.Hmm, "SIDE", side)
+        (got,) = m._expect(w, d)(iter([batch.slice(0, 4), batch.slice(4)]))
+        assert np.allclose(got.column("part")[0].as_py(), want)

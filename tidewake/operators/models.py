@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -389,7 +390,7 @@ def borders(parts: list[np.ndarray]) -> list[tuple[int, int]]:
 
 class Hmm(BehaviourModel):
     """A Gaussian hidden Markov model, of diagonal or full covariance: expectations by chunks of temporal_window_samples rows in Spark tasks, summed there,
-    maximisation on the driver.
+    maximisation on the driver. Chunks are made once, a row each; a task takes many side by side and sends one row of sums an iteration.
 
     Whole chunks of a clip's rows train (a rest is dropped); features are scaled by the mean and deviation of these rows, a constant one is only
     centred. Starts from k-means. What is maximised has a Dirichlet prior on the first states and on each row of moves, and a normal-inverse-gamma (or
@@ -401,6 +402,7 @@ class Hmm(BehaviourModel):
 
     FIRST = 1.1  # fixed value: the concentration of first states
     PART = 1 << 15  # rows of a clip that one task decodes
+    SIDE = 1 << 13  # rows whose chunks a task takes at once
 
     def fit(self, rows: DataFrame) -> Hmm:
         from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -420,7 +422,7 @@ class Hmm(BehaviourModel):
         self.centre, spread = told["mean"].toArray(), np.sqrt(told["variance"].toArray() * (n - 1) / n)
         self.scale = np.where(spread > 0, spread, 1.0)
         scaled = F.zip_with(vector_to_array("features"), F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(d)).alias("d")) for m, d in zip(self.centre, self.scale, strict=True))), lambda x, y: (x - y["m"]) / y["d"])
-        rows = rows.withColumn("features", array_to_vector(scaled))
+        rows_kept, rows = rows, rows.withColumn("features", array_to_vector(scaled))
         start = KMeans(k, self.seed, n_init=1, max_iter=20).fit(rows)
         mean = np.array(start.fitted.clusterCenters())
         spread = np.maximum(rows.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray(), 1e-3)
@@ -429,9 +431,13 @@ class Hmm(BehaviourModel):
         self.likelihood: list[float] = []
         d = mean.shape[1]
         cuts = np.cumsum([1, k, k * k, k, k * d])
-        chunks = rows.select("clip_id", "chunk", "t", vector_to_array("features").alias("x")).groupBy("clip_id", "chunk")
+        x = rows.select("clip_id", "chunk", F.struct("t", vector_to_array("features").alias("x")).alias("r"))
+        chunks = x.groupBy("clip_id", "chunk").agg(F.array_sort(F.collect_list("r")).alias("r"))  # w rows each
+        chunks = chunks.select(F.flatten("r.x").alias("x")).persist()
+        chunks.count()
+        rows_kept.unpersist()
         for _ in range(s.get("N_iters", 50)):
-            parts = chunks.applyInPandas(self._expect(), "part array<double>").select(array_to_vector("part").alias("part"))
+            parts = chunks.mapInArrow(self._expect(w, d), "part array<double>").select(array_to_vector("part").alias("part"))
             total = parts.agg(Summarizer.sum(F.col("part")).alias("part")).first()["part"].toArray()  # summed by the tasks
             if np.isnan(total).any():
                 raise ValueError("the likelihood is not a number")
@@ -450,28 +456,39 @@ class Hmm(BehaviourModel):
             else:  # of the inverse gamma
                 scatter = gxx.reshape(k, d) - (g + c)[:, None] * self.mean**2
                 self.var = np.maximum((scale + scatter / 2) / (s.get("cov_concentration", 0.1) + g / 2 + 1.5)[:, None], 1e-6)
+        chunks.unpersist()
         return self
 
-    def _expect(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        start, move, mean, var = self.start, self.move, self.mean, self.var
+    def _expect(self, w: int, d: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The sums of a task's chunks (x: w rows of d features each), about SIDE rows at once: the recursions go over places, all chunks side by side."""
+        start, move, mean, var, side = self.start, self.move, self.mean, self.var, max(1, self.SIDE // w)
         square = "nk,ni,nj->kij" if var.ndim == 3 else "nk,ni,ni->ki"
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf.sort_values("t")["x"].to_list())
-            emit = _log_normal(x, mean, var)
-            n, k = emit.shape
-            fwd, bwd = np.empty((n, k)), np.zeros((n, k))
-            fwd[0] = start + emit[0]
-            for t in range(1, n):
-                fwd[t] = _logsum(fwd[t - 1][:, None] + move, 0) + emit[t]
-            for t in range(n - 2, -1, -1):
-                bwd[t] = _logsum(move + (emit[t + 1] + bwd[t + 1])[None], 1)
-            like = float(_logsum(fwd[-1], 0))
-            gamma = np.exp(fwd + bwd - like)
+        def sums(x: np.ndarray) -> np.ndarray:
+            flat, k = x.reshape(-1, d), len(start)
+            emit = _log_normal(flat, mean, var).reshape(len(x), w, k)
+            fwd, bwd = np.empty(emit.shape), np.zeros(emit.shape)
+            fwd[:, 0] = start + emit[:, 0]
+            for t in range(1, w):
+                fwd[:, t] = _logsum(fwd[:, t - 1, :, None] + move, 1) + emit[:, t]
+            for t in range(w - 2, -1, -1):
+                bwd[:, t] = _logsum(move + (emit[:, t + 1] + bwd[:, t + 1])[:, None], 2)
+            like = _logsum(fwd[:, -1], 1)
+            gamma = np.exp(fwd + bwd - like[:, None, None])
             pair = np.zeros((k, k))
-            for t in range(n - 1):
-                pair += np.exp(fwd[t][:, None] + move + (emit[t + 1] + bwd[t + 1])[None] - like)
-            return pd.DataFrame({"part": [np.concatenate(([like], gamma[0], pair.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), np.einsum(square, gamma, x, x).ravel())).tolist()]})
+            for t in range(w - 1):
+                pair += np.exp(fwd[:, t, :, None] + move + (emit[:, t + 1] + bwd[:, t + 1])[:, None] - like[:, None, None]).sum(0)
+            first, gamma = gamma[:, 0].sum(0), gamma.reshape(-1, k)
+            return np.concatenate(([like.sum()], first, pair.ravel(), gamma.sum(0), (gamma.T @ flat).ravel(), np.einsum(square, gamma, flat, flat).ravel()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for k in range(0, batch.num_rows, side):
+                    found = sums(batch.column("x").slice(k, side).flatten().to_numpy().reshape(-1, w, d))
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["part"])
 
         return run
 
