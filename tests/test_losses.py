@@ -57,3 +57,22 @@ def test_mini_batches_come_near_batch_k_means(spark, tmp_path):
     assert np.array_equal(models.load(str(tmp_path / "m")).centres, m.centres)
     with pytest.raises(ValueError, match="no rows"):
         models.model("minibatch_kmeans", 3).fit(rows.limit(0))
+
+
+def test_steps_run_on_their_batch_alone(spark):
+    """Each row is in one batch an epoch, a step has a task for each of its batch's partitions, and its sums are those of the batch's rows."""
+    from pyspark.sql import functions as F
+
+    x = spark.range(5000).selectExpr("id % 7 AS clip_id", "id AS t", "array(cast(id AS double), cast(id % 3 AS double)) AS x")
+    m = models.model("minibatch_kmeans", 2, 0)
+    m.centres, m.seed = np.array([[0.0, 0.0], [5000.0, 1.0]]), 0
+    dealt = m._dealt(x, 0, 5, 2)
+    assert dealt.getNumPartitions() == 10
+    seen = 0
+    for b in range(5):
+        own = np.array([r.x for r in x.where(F.pmod(F.xxhash64(F.lit(1), "clip_id", "t"), F.lit(5)) == b).select("x").collect()])
+        near, d = models._nearest(own, m.centres)
+        sums, count, inertia = m._step(dealt, range(2 * b, 2 * b + 2))
+        assert count.tolist() == np.bincount(near, minlength=2).tolist() and np.allclose(sums, [own[near == k].sum(0) for k in (0, 1)]) and np.isclose(inertia, d.sum())
+        seen += count.sum()
+    assert seen == 5000

@@ -11,6 +11,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -154,12 +155,14 @@ class KMeans(_Ml):
 class MiniBatchKMeans(BehaviourModel):
     """K-means by mini-batches: each step moves the centres towards the means of a batch's rows, at rates of one over the rows that a centre has had.
 
-    Rows are dealt to batches of batch_size by a seeded hash of clip and t, a new deal each epoch; a step is a Spark job over one batch, summed by the tasks, and the
-    driver holds the centres alone. It stops when the smoothed inertia of batches (weight min(1, 2 / (batches + 1)) of the new one) has
+    Rows are dealt to batches of batch_size by a seeded hash of clip and t, a new deal each epoch, by one exchange; a step is a Spark job over the partitions of
+    its batch alone (of PIECE rows, about), summed by the tasks, and the driver holds the centres alone. It stops when the smoothed inertia of batches (weight min(1, 2 / (batches + 1)) of the new one) has
     not been lowest for `patience` steps, or after max_iter epochs. Centres start by k-means++ over a sample of init_rows rows, as many for each centre as
     it takes at least 10. Ties go to the first centre; centres that get no rows stay where they are.
     """
 
+    PIECE = 1 << 13  # rows of a batch that one task takes, about
+
     def fit(self, rows: DataFrame) -> MiniBatchKMeans:
         from pyspark.ml.functions import vector_to_array
 
@@ -170,6 +173,7 @@ class MiniBatchKMeans(BehaviourModel):
             x.unpersist()
             raise ValueError("no rows")
         batches = max(1, round(n / s.get("batch_size", 1024)))
+        pieces = max(1, -(-n // (batches * self.PIECE)))
         h = F.xxhash64(F.lit(self.seed), "clip_id", "t")
         least = max(10 * self.clusters, s.get("init_rows", 3072))
         some = np.array([r[0] for r in x.orderBy(h, "clip_id", "t").limit(least).select("x").collect()])  # a bounded sample
@@ -177,9 +181,9 @@ class MiniBatchKMeans(BehaviourModel):
         alpha, smooth, lowest, idle = min(1.0, 2.0 / (batches + 1)), None, math.inf, 0
         self.inertias: list[tuple[float, float]] = []
         for epoch in range(s.get("max_iter", 100)):
-            dealt = F.pmod(F.xxhash64(F.lit(self.seed + epoch + 1), "clip_id", "t"), F.lit(batches))
+            dealt = self._dealt(x, epoch, batches, pieces)
             for b in range(batches):
-                sums, count, inertia = self._step(x.where(dealt == b))
+                sums, count, inertia = self._step(dealt, range(b * pieces, (b + 1) * pieces))
                 if not count.sum():
                     continue
                 seen += count
@@ -206,23 +210,32 @@ class MiniBatchKMeans(BehaviourModel):
             far = np.minimum(far, ((some - some[k]) ** 2).sum(1))
         return np.array(centres, float)
 
-    def _step(self, batch: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-        """Sums and numbers of the rows nearest to each centre, and the sum of their squared distances."""
+    def _dealt(self, x: DataFrame, epoch: int, batches: int, pieces: int) -> RDD:
+        """The rows of batch b in the partitions from b * pieces on, packed; each partition's rows in order of clip and t."""
+        h = F.xxhash64(F.lit(self.seed + epoch + 1), "clip_id", "t")
+        place = F.pmod(h, F.lit(batches)) * pieces + F.pmod(F.shiftright(h, 32), F.lit(pieces))
+        rows = x.withColumn("_p", place.cast("int")).repartitionById(batches * pieces, F.col("_p")).sortWithinPartitions("clip_id", "t")
+
+        def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), pa.array([b.column("x").flatten().to_numpy().tobytes()])], ["n", "v"])
+
+        return rows.select("x").mapInArrow(pack, "n int, v binary").rdd
+
+    def _step(self, dealt: RDD, batch: range) -> tuple[np.ndarray, np.ndarray, float]:
+        """Sums and numbers of the batch's rows nearest to each centre, and the sum of their squared distances."""
         centres, k = self.centres, self.clusters
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(packed: Iterator[Any]) -> Iterator[np.ndarray]:
             total = np.zeros((k, centres.shape[1] + 2))
-            for pdf in batches:
-                if len(pdf):
-                    x = np.stack(pdf["x"].to_list())
-                    near, d = _nearest(x, centres)
-                    np.add.at(total, near, np.column_stack((x, np.ones(len(x)), d)))
-            yield pd.DataFrame({"c": np.arange(k), "v": total.tolist()})
-
-        e = batch.select("x").mapInPandas(run, "c int, v array<double>").select("c", F.posexplode("v").alias("j", "v"))
-        out = np.zeros((k, centres.shape[1] + 2))
-        for r in e.groupBy("c", "j").agg(F.sum("v").alias("v")).collect():  # centres x dimensions
-            out[r.c, r.j] = r.v
+            for r in packed:
+                x = np.frombuffer(r["v"]).reshape(r["n"], -1)
+                near, d = _nearest(x, centres)
+                np.add.at(total, near, np.column_stack((x, np.ones(len(x)), d)))
+            yield total
+
+        out = sum(dealt.context.runJob(dealt, run, list(batch)))  # centres x dimensions a task
         return out[:, :-2], out[:, -2], float(out[:, -1].sum())
 
     def predict(self, rows: DataFrame) -> DataFrame:
