@@ -76,3 +76,23 @@ def test_steps_run_on_their_batch_alone(spark):
         assert count.tolist() == np.bincount(near, minlength=2).tolist() and np.allclose(sums, [own[near == k].sum(0) for k in (0, 1)]) and np.isclose(inertia, d.sum())
         seen += count.sum()
     assert seen == 5000
+
+
+def test_runs_are_streamed_through_tasks_not_called_one_by_one(spark):
+    """Many short runs, a null one, and one longer than a batch, by sorted partitions: no call a run."""
+    from tidewake.operators import training
+
+    rows = [(r, k, float((7 * k + r) % 13)) for r in range(40) for k in range(3)] + [(None, k, float(k % 3)) for k in range(5)] + [(99, k, float(k * 7919 % 1000)) for k in range(25000)]
+    d = spark.createDataFrame(rows, "run long, k long, loss double").repartition(3)
+    out = training.smoothed(d, "run", "k", "loss", 0.25, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    want = {}
+    for r in sorted({x[0] for x in rows}, key=str):
+        now, least, idle, stopped = None, float("inf"), 0, False
+        for _, k, x in sorted((x for x in rows if x[0] == r), key=lambda x: x[1]):
+            now = x if now is None else now * 0.75 + x * 0.25
+            idle = 0 if now < least else idle + 1
+            least, stopped = min(least, now), stopped or idle >= 4
+            want[r, k] = (x, now, idle, stopped)
+    assert {(r.run, r.step): (r.value, r.smoothed, r.idle, r.stopped) for r in out.collect()} == want

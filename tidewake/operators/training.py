@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -45,19 +46,37 @@ def smoothed(losses: DataFrame, run: str, step: str, value: str, alpha: float, p
     """run, step, value, smoothed, idle, stopped for each step of each run.
 
     smoothed: s * (1 - alpha) + value * alpha from the run's first value on. idle: steps since it was last below all before. stopped: whether
-    idle has reached patience, at this step or before. A run's steps, a number each, are read once, in one task.
+    idle has reached patience, at this step or before. Runs are sorted by Spark and streamed: a task takes many, one after another, and holds a batch of rows and
+    the state of one run, however long it is.
     """
     kind = StructType([losses.schema[run], StructField("step", LongType()), StructField("value", DoubleType()), StructField("smoothed", DoubleType()), StructField("idle", IntegerType()), StructField("stopped", BooleanType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        out, now, least, idle, stopped = [], None, math.inf, 0, False
-        for x in pdf["value"].to_numpy(float).tolist():
-            now = x if now is None else now * (1 - alpha) + x * alpha
-            idle = 0 if now < least else idle + 1
-            least, stopped = min(least, now), stopped or idle >= patience
-            out.append((now, idle, stopped))
-        return pdf.assign(**dict(zip(("smoothed", "idle", "stopped"), zip(*out, strict=True), strict=True)))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now, least, idle, stopped = None, None, math.inf, 0, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            for first, x in zip(_changes(b.column(0), last), b.column("value").to_numpy(zero_copy_only=False).tolist(), strict=True):
+                if first:
+                    now, least, idle, stopped = x, math.inf, 0, False
+                else:
+                    now = now * (1 - alpha) + x * alpha
+                idle = 0 if now < least else idle + 1
+                least, stopped = min(least, now), stopped or idle >= patience
+                out.append((now, idle, stopped))
+            last = b.column(0).slice(b.num_rows - 1)
+            more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.float64(), pa.int32(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [f.name for f in kind])
 
     d = losses.select(run, F.col(step).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
-    return d.groupBy(run).applyInPandas(fold, kind)
+    return d.repartition(run).sortWithinPartitions(run, F.asc_nulls_last("step"), "value").mapInArrow(fold, kind)
+
+
+def _changes(keys: pa.Array, last: pa.Array | None) -> list[bool]:
+    """Whether each key of sorted ones differs from the one before, which is `last` (one key, or None) for the first; nulls are equal."""
+    before = pa.concat_arrays([keys.slice(0, 1) if last is None else last, keys.slice(0, len(keys) - 1)])
+    gone = pc.xor(pc.is_null(keys), pc.is_null(before))
+    out = pc.or_(gone, pc.fill_null(pc.not_equal(keys, before), False)).to_pylist()
+    out[0] = out[0] or last is None
+    return out
