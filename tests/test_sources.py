@@ -74,3 +74,11 @@ def test_ranges_that_cut_lines_keep_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_of_predictions_do_not_grow_with_clips(spark, tmp_path):
+    p = spark.range(3000).selectExpr("id % 500 AS clip_id", "id div 500 AS t", "cast(id % 7 AS int) AS pred").repartition(3)
+    clips.write_predictions(p, str(tmp_path / "p"))
+    assert 1 <= len(list((tmp_path / "p").rglob("*.parquet"))) <= 8
+    got = spark.read.parquet(str(tmp_path / "p"))
+    assert dict(got.dtypes) == dict(p.dtypes) and sorted(map(tuple, got.select("clip_id", "t", "pred").collect())) == sorted(map(tuple, p.collect()))

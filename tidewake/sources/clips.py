@@ -62,9 +62,9 @@ def read_clips(spark: SparkSession, folder: str, meta: Metadata) -> DataFrame:
 
 
 def ingest(spark: SparkSession, folder: str, meta: Metadata, path: str) -> DataFrame:
-    """Write the clips as Parquet by clip and read them again."""
-    read_clips(spark, folder, meta).repartition("clip_id").sortWithinPartitions("clip_id", "t").write.mode("overwrite").partitionBy("clip_id").parquet(path)
-    return spark.read.parquet(path).withColumn("clip_id", F.col("clip_id").cast("string"))
+    """Write the clips as Parquet in order of clip and t and read them again."""
+    _write_clips(read_clips(spark, folder, meta), path)
+    return spark.read.parquet(path)
 
 
 def clip_table(spark: SparkSession, meta: Metadata) -> DataFrame:
@@ -80,8 +80,13 @@ def with_individual(frames: DataFrame, clips: DataFrame) -> DataFrame:
     return frames.drop("individual_id").join(clips.select("clip_id", "individual_id"), "clip_id")
 
 
+def _write_clips(rows: DataFrame, path: str) -> None:
+    """A file a task, each with many clips in order, whose extents of clip_id in row groups let a reader skip; a folder a clip would be as many files as there are clips."""
+    rows.repartition("clip_id").sortWithinPartitions("clip_id", "t").write.mode("overwrite").parquet(path)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.select("clip_id", "t", "pred").repartition("clip_id").sortWithinPartitions("clip_id", "t").write.mode("overwrite").partitionBy("clip_id").parquet(path)
+    _write_clips(predictions.select("clip_id", "t", "pred"), path)
 
 
 def export_predictions(predictions: DataFrame, path: str) -> None:
