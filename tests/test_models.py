@@ -106,3 +106,27 @@ def test_hmm_sums_of_chunks_are_those_of_each_alone(monkeypatch):
         monkeypatch.setattr(models.Hmm, "SIDE", side)
         (got,) = m._expect(w, d)(iter([batch.slice(0, 4), batch.slice(4)]))
         assert np.allclose(got.column("part")[0].as_py(), want)
+
+
+def test_fits_pass_over_as_many_partitions_as_their_rows_need(spark, monkeypatch):
+    """Clips and shuffle partitions don't decide how many tasks a pass has; trees aren't shipped in each pass."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tidewake.functions import lineage
+
+    d = spark.range(400).select((F.col("id") % 40).alias("clip_id"), F.col("id").alias("t"), (1 + F.col("id") % 2).cast("int").alias("label"), array_to_vector(F.array(F.col("id").cast("double"), (F.col("id") % 2).cast("double"))).alias("features")).repartition(64, "clip_id")
+    seen = []
+    for kind in (KMeans, LinearSVC, RandomForestClassifier, DecisionTreeClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, params=None, own=kind.fit: seen.append((type(self).__name__, rows.rdd.getNumPartitions())) or own(self, rows, params))
+    for name, settings in (("kmeans", {"n_init": 1, "max_iter": 3}), ("rf", {"n_estimators": 2, "max_samples": 1.0}), ("dt", {}), ("svm", {"max_iter": 5})):
+        m = models.model(name, 2, 0, **settings).fit(d)
+        assert m.predict(d).count() == 400
+        if name in ("rf", "dt"):
+            assert m._estimator().getCacheNodeIds() and m.predict(d).where("label = pred").count() > 390
+    assert {n for _, n in seen} == {1} and {k for k, _ in seen} >= {"KMeans", "RandomForestClassifier", "DecisionTreeClassifier"}
+    monkeypatch.setattr(lineage, "ROWS", 50)
+    x = lineage.dealt(d.select("clip_id", "t"), "clip_id", "t")
+    assert x.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(map(tuple, x.collect())) == sorted(map(tuple, d.select("clip_id", "t").collect()))

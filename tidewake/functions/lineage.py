@@ -38,3 +38,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ROWS, MANY = 1 << 13, 1 << 17  # rows of a training partition, at least and (where there are more than the cluster has cores) at most, about
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df computed once and dealt anew by keys, in their order, for a fit that passes over it many times. Partitions follow the number of rows, not the clips or the
+    session's shuffle partitions: one for ROWS rows, as many as there are cores at most, until these have MANY rows each. A pass over few rows is few tasks, one over many rows keeps all cores."""
+    kept = stored(df)
+    n = kept.count()
+    parts = min(-(-n // ROWS), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // MANY)))
+    even = kept.repartition(max(1, parts), *keys)
+    return cut(even.sortWithinPartitions(*keys) if keys else even)

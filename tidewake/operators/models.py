@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from tidewake.functions import lineage
 from tidewake.plans import config
 
 from .frames import class_weights
@@ -110,6 +111,12 @@ def _side_by_side(fit: Callable[[int], Any], n: int) -> list[Any]:
         return list(pool.map(fit, range(n)))
 
 
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns of rows that a fit reads, dealt for many passes."""
+    keys = [c for c in ("clip_id", "t") if c in rows.columns]
+    return lineage.dealt(rows.select(*keys, *columns), *keys)
+
+
 class KMeans(_Ml):
     """The best of n_init starts by cost, on whitened features if wanted."""
 
@@ -118,12 +125,12 @@ class KMeans(_Ml):
     def fit(self, rows: DataFrame) -> KMeans:
         from pyspark.ml.clustering import KMeans as Spark
 
+        rows = _dealt(rows, "features")
         if self.settings.get("whiten"):
             self.white = Whitening(self.settings.get("n_components", "mle")).fit(rows)
-        rows = self._prepare(rows).cache()
+            rows = lineage.cut(self.white.transform(rows).select("white"))
         one = lambda s: Spark(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s, featuresCol="white" if self.white else "features").fit(rows)
-        starts = _side_by_side(one, self.settings.get("n_init", 10))
-        rows.unpersist()
+        starts = _side_by_side(one, self.settings.get("n_init", 10))  # each keeps the vectors that it passes over
         self.fitted = min(starts, key=lambda m: m.summary.trainingCost)
         return self
 
@@ -273,6 +280,7 @@ class Gmm(_Ml):
     def fit(self, rows: DataFrame) -> Gmm:
         from pyspark.ml.clustering import GaussianMixture
 
+        rows = _dealt(rows, "features")
         starts = _side_by_side(lambda s: GaussianMixture(k=self.clusters, maxIter=self.settings.get("max_iter", 100), seed=self.seed + s).fit(rows), self.settings.get("n_init", 1))
         self.fitted = max(starts, key=lambda m: m.summary.logLikelihood)
         return self
@@ -290,6 +298,7 @@ class _Supervised(_Ml):
         raise NotImplementedError
 
     def fit(self, rows: DataFrame) -> _Supervised:
+        rows = _dealt(rows, "label", "features")
         w = class_weights(rows).select("label", F.col("balanced_weight").alias("_w"))
         rows = rows.join(F.broadcast(w), "label").withColumn("label", F.col("label") - 1)  # a row a label; classes from 0
         self.fitted = self._estimator().fit(rows)
@@ -304,12 +313,16 @@ def _least_rows(settings: dict[str, Any]) -> int:
     return max(1, -(-int(settings.get("min_samples_split", 2)) // 2))
 
 
+#: How trees are grown: each row keeps the nodes that it is in, so a pass ships no trees, which grow with the rows; a pass takes as many nodes as their statistics fill this memory of a task (MB).
+GROW = {"cacheNodeIds": True, "maxMemoryInMB": 512}
+
+
 class Forest(_Supervised):
     def _estimator(self):
         from pyspark.ml.classification import RandomForestClassifier
 
         s = self.settings
-        return RandomForestClassifier(numTrees=s.get("n_estimators", 100), subsamplingRate=s.get("max_samples", 0.1), maxDepth=s.get("max_depth", 30), minInstancesPerNode=_least_rows(s), weightCol="_w", seed=self.seed)
+        return RandomForestClassifier(numTrees=s.get("n_estimators", 100), subsamplingRate=s.get("max_samples", 0.1), maxDepth=s.get("max_depth", 30), minInstancesPerNode=_least_rows(s), weightCol="_w", seed=self.seed, **GROW)
 
     def _kind(self) -> type:
         from pyspark.ml.classification import RandomForestClassificationModel
@@ -321,7 +334,7 @@ class Tree(_Supervised):
     def _estimator(self):
         from pyspark.ml.classification import DecisionTreeClassifier
 
-        return DecisionTreeClassifier(maxDepth=self.settings.get("max_depth", 30), minInstancesPerNode=_least_rows(self.settings), weightCol="_w", seed=self.seed)
+        return DecisionTreeClassifier(maxDepth=self.settings.get("max_depth", 30), minInstancesPerNode=_least_rows(self.settings), weightCol="_w", seed=self.seed, **GROW)
 
     def _kind(self) -> type:
         from pyspark.ml.classification import DecisionTreeClassificationModel
@@ -334,13 +347,14 @@ class Svm(_Supervised):
     so Spark's regParam, which weighs the latter against the mean loss, is one over it and the rows."""
 
     def fit(self, rows: DataFrame) -> Svm:
+        rows = _dealt(rows, "label", "features")
         self.rows = max(1, rows.count())
         return super().fit(rows)
 
     def _estimator(self):
         from pyspark.ml.classification import LinearSVC, OneVsRest
 
-        return OneVsRest(classifier=LinearSVC(maxIter=self.settings.get("max_iter", 1000), regParam=1.0 / (self.settings.get("regularization_parameter", 1.0) * self.rows)), weightCol="_w")
+        return OneVsRest(classifier=LinearSVC(maxIter=self.settings.get("max_iter", 1000), regParam=1.0 / (self.settings.get("regularization_parameter", 1.0) * self.rows)), weightCol="_w", parallelism=STARTS)
 
     def _kind(self) -> type:
         from pyspark.ml.classification import OneVsRestModel
