@@ -139,3 +139,11 @@ def test_whitening(spark):
     df = spark.createDataFrame([(Vectors.dense(v),) for v in x.tolist()], ["features"])
     w = np.array([r.white.toArray() for r in signal.Whitening(3).fit(df).transform(df).collect()])
     assert np.abs(np.cov(w.T) - np.eye(3)).max() < 0.02
+
+
+def test_tasks_of_frames_follow_the_rows(spark, monkeypatch):
+    """However few shuffle partitions the session has and whatever adaptive plans would merge."""
+    monkeypatch.setattr(features, "TASK", 100)
+    d = spark.range(2000).selectExpr("id % 50 AS clip_id", "id div 50 AS t", "cast(id % 11 AS double) AS x")
+    plan = features.channel_features(d, ["x"], 2, ("mean", "std"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(clip_id" in plan and "_part" in plan and ", 20), REPARTITION_BY_NUM" in plan

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewake.functions.expr import azimuth, inclination, norm
+from tidewake.functions.lineage import ROWS
 
 from .parts import PART, own, with_parts
 
+TASK = 1 << 18  # rows whose windows one task sorts, about
 STATS = ("mean", "std", "skew", "kurt", "max", "min", "autocorr", "trend")
 
 
@@ -158,9 +160,15 @@ class Frame:
     def dynamic(self, axes: Sequence[str], name: str = "dynamic") -> Column:
         return self.total(sum((F.abs(F.col(a)) for a in axes), F.lit(0.0)), name) / self.count()
 
+    @staticmethod
+    def _tasks(frames: DataFrame) -> int:
+        """One for TASK rows, or all cores. A row is sorted with its pieces, many times wider than what was shuffled, so the number follows the rows, not bytes or the session's settings."""
+        n = frames.count()
+        return max(2, -(-n // TASK), min(frames.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)))
+
     def over(self, frames: DataFrame) -> DataFrame:
         """The rows of frames (one for each clip_id and t) with the two pieces that the expressions made so far read."""
-        d = with_parts(frames, self.half, self.half, self.part).repartition("clip_id", "_part").withColumn("_block", F.floor(F.col("t") / self.length))
+        d = with_parts(frames, self.half, self.half, self.part).repartition(self._tasks(frames), "clip_id", "_part").withColumn("_block", F.floor(F.col("t") / self.length))
         clip = Window.partitionBy("clip_id", "_part")
         block = Window.partitionBy("clip_id", "_part", "_block")
         if self.paired:
