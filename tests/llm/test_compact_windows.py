@@ -210,3 +210,14 @@ def test_segments_compared_together_give_what_they_give_one_by_one():
         assert k in left or got[k] == c.compare(*p, 50)
     none = np.zeros(0, np.int32)
     assert c.level(none, np.zeros(3, np.int64), none, np.zeros(3, np.int64), np.zeros(2, np.int64), 50)[1].tolist() == []
+
+
+def test_pair_whose_shingles_all_stand_in_many_texts_is_found(spark):
+    """Two texts with a line of 30 words, another word, and 19 words more, whose first twelve 70 texts have after that line, and whose last twelve 70 others."""
+    rng = random.Random(35)
+    wide = lambda n: [f"{w.strip('.,')}{rng.randint(0, 9999)}" for w in prose(rng, n).split()]
+    line, tail = wide(30), wide(19)
+    held = [tail[:12]] * 70 + [tail[7:]] * 70 + [tail] * 2
+    rows = [(k, " ".join([*wide(40), *line, f"gap{k}", *([] if t[0] == tail[0] else wide(7)), *t, *wide(40)]), "", "", 0, 0, "") for k, t in enumerate(held)]
+    found = c.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.partner_id) for r in found} == {(140, 141), (141, 140)} and {r.cluster_id for r in found} == {140}
