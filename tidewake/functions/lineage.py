@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Removes the files of tables that stored() made and nothing reads any more."""
+    for path, spark in {(f.rsplit("/", 1)[0], t.sparkSession) for t in tables for f in t.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def replaced(df: DataFrame, *before: DataFrame) -> DataFrame:
+    """stored(df), for a loop; then the tables `before` are removed. First shuffle files of finished rounds are: Spark removes them when the driver's JVM
+    collects what refers to them, which a heap that doesn't fill never does, so each round's files would stay until the end."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    kept = stored(df)
+    removed(*before)
+    return kept
+
+
 ROWS, MANY = 1 << 13, 1 << 17  # rows of a training partition, at least and (where there are more than the cluster has cores) at most, about
 
 
