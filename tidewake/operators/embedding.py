@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions.lineage import cut, stored
+from tidewake.functions.lineage import cut, replaced, stored
 
 from . import frames as fr
 from .basins import basin_of, basins, least_blur
@@ -106,8 +106,8 @@ def read(grid: np.ndarray, low: np.ndarray, side: float, x: np.ndarray, y: np.nd
 
 def pulls(edges: DataFrame, at: DataFrame, a: float, b: float) -> DataFrame:
     """a, degree, springs, px, py: of each row with edges the sums of its weights, its springs' strengths, and its pulls."""
-    one = edges.join(at.select(F.col("id").alias("a"), F.col("x").alias("_x"), F.col("y").alias("_y")), "a")
-    two = one.join(at.select(F.col("id").alias("b"), F.col("x").alias("_u"), F.col("y").alias("_v")), "b")
+    one = edges.join(at.select(F.col("id").alias("b"), F.col("x").alias("_u"), F.col("y").alias("_v")), "b")
+    two = one.join(at.select(F.col("id").alias("a"), F.col("x").alias("_x"), F.col("y").alias("_y")), "a")  # dealt by a, as the sums are
     dx, dy = F.col("_u") - F.col("_x"), F.col("_v") - F.col("_y")
     far = F.greatest(dx * dx + dy * dy, F.lit(NEAR))
     two = two.withColumn("_g", 2 * F.col("weight") * 2 * a * b * F.pow(far, F.lit(b - 1)) / (1 + a * F.pow(far, F.lit(b))))
@@ -134,7 +134,7 @@ def layout(graph: DataFrame, begin: DataFrame, min_dist: float = 0.1, rounds: in
                 yield pd.DataFrame({"id": d["id"], "x": p[:, 0].round(PLACES), "y": p[:, 1].round(PLACES), "_vx": v[:, 0].round(PLACES), "_vy": v[:, 1].round(PLACES)})
 
         told_ = now.join(pulls(edges, now, a, b).withColumnRenamed("a", "id"), "id", "left").fillna(0.0, ["degree", "springs", "px", "py"])
-        now = stored(told_.mapInPandas(move, "id long, x double, y double, _vx double, _vy double"))
+        now = replaced(told_.mapInPandas(move, "id long, x double, y double, _vx double, _vy double"), now)
         shared.unpersist()
     edges.unpersist()
     return now.select("id", "x", "y")
