@@ -130,3 +130,18 @@ def test_fits_pass_over_as_many_partitions_as_their_rows_need(spark, monkeypatch
     monkeypatch.setattr(lineage, "ROWS", 50)
     x = lineage.dealt(d.select("clip_id", "t"), "clip_id", "t")
     assert x.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(map(tuple, x.collect())) == sorted(map(tuple, d.select("clip_id", "t").collect()))
+
+
+def test_a_forest_of_many_nodes_is_fitted_in_groups(rows, tmp_path, monkeypatch):
+    """No fit may have more nodes than the driver is to hold; the groups are one forest, with votes of all trees."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    monkeypatch.setattr(models, "NODES", 2 * rows.count(), raising=False)
+    seen, own = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, d, params=None: seen.append((self.getNumTrees(), self.getSeed())) or own(self, d, params))
+    m = models.model("rf", 2, 0, n_estimators=5, max_samples=0.5).fit(rows)
+    assert sum(n for n, _ in seen) == 5 and seen[0][0] == 2 and len({s for _, s in seen}) == len(seen) > 1
+    out = m.predict(rows)
+    assert out.columns == [*rows.columns, "pred"] and out.count() == rows.count() and out.where("label = pred").count() > 0.95 * rows.count()
+    m.save(str(tmp_path / "m"))
+    assert sorted((r.clip_id, r.t, r.pred) for r in models.load(str(tmp_path / "m")).predict(rows).collect()) == sorted((r.clip_id, r.t, r.pred) for r in out.collect())

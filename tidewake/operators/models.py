@@ -297,11 +297,13 @@ class _Supervised(_Ml):
     def _estimator(self):
         raise NotImplementedError
 
-    def fit(self, rows: DataFrame) -> _Supervised:
+    def _weighted(self, rows: DataFrame) -> DataFrame:
         rows = _dealt(rows, "label", "features")
         w = class_weights(rows).select("label", F.col("balanced_weight").alias("_w"))
-        rows = rows.join(F.broadcast(w), "label").withColumn("label", F.col("label") - 1)  # a row a label; classes from 0
-        self.fitted = self._estimator().fit(rows)
+        return rows.join(F.broadcast(w), "label").withColumn("label", F.col("label") - 1)  # a row a label; classes from 0
+
+    def fit(self, rows: DataFrame) -> _Supervised:
+        self.fitted = self._estimator().fit(self._weighted(rows))
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -317,18 +319,74 @@ def _least_rows(settings: dict[str, Any]) -> int:
 GROW = {"cacheNodeIds": True, "maxMemoryInMB": 512}
 
 
+#: Nodes of trees that the driver holds at a time, about; a node takes up to a kilobyte while it is fitted.
+NODES = 1 << 18
+
+
 class Forest(_Supervised):
-    def _estimator(self):
+    """Trees that together may have over NODES nodes (twice the rows that they are fitted on; after the first ones, a quarter more than those have) are fitted group by group. A group is written to
+    the shared folder and leaves the driver; rows to predict pass the groups in turn, and votes of all trees are summed, as one forest does. One tree is held whole."""
+
+    groups: list[str] = []
+
+    def _estimator(self, trees: int | None = None, seed: int | None = None):
         from pyspark.ml.classification import RandomForestClassifier
 
         s = self.settings
-        return RandomForestClassifier(numTrees=s.get("n_estimators", 100), subsamplingRate=s.get("max_samples", 0.1), maxDepth=s.get("max_depth", 30), minInstancesPerNode=_least_rows(s), weightCol="_w", seed=self.seed, **GROW)
+        trees, seed = s.get("n_estimators", 100) if trees is None else trees, self.seed if seed is None else seed
+        return RandomForestClassifier(numTrees=trees, subsamplingRate=s.get("max_samples", 0.1), maxDepth=s.get("max_depth", 30), minInstancesPerNode=_least_rows(s), weightCol="_w", seed=seed, **GROW)
 
     def _kind(self) -> type:
         from pyspark.ml.classification import RandomForestClassificationModel
 
         return RandomForestClassificationModel
 
+    def fit(self, rows: DataFrame) -> Forest:
+        rows, left = self._weighted(rows), self.settings.get("n_estimators", 100)
+        most = min(2.0 * rows.count() * self.settings.get("max_samples", 0.1), 2.0 ** (self.settings.get("max_depth", 30) + 1))  # nodes of a tree
+        self.groups = []
+        if left * most <= NODES:
+            self.fitted = self._estimator().fit(rows)
+            return self
+        folder, self.fitted = lineage.new_folder(rows.sparkSession, "forest"), None
+        while left:
+            n = min(left, max(1, int(NODES / most)))
+            fitted = self._estimator(n, self.seed + len(self.groups)).fit(rows)
+            most = max(1.0, 1.25 * fitted.totalNumNodes / n)
+            self.groups.append(f"{folder}/{len(self.groups)}")
+            fitted.write().save(self.groups[-1])
+            left -= n
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        if not self.groups:
+            return super().predict(rows)
+        from pyspark.ml.functions import vector_to_array
+
+        now, before = rows.withColumn("_votes", F.lit(None).cast("array<double>")), []
+        for path in self.groups:
+            own = self._kind().load(path).setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_raw")
+            votes = vector_to_array("_raw")
+            told = own.transform(now).withColumn("_votes", F.when(F.col("_votes").isNull(), votes).otherwise(F.zip_with("_votes", votes, lambda x, y: x + y))).drop("_raw")
+            now = lineage.replaced(told, *before)
+            before = [now]
+        return now.withColumn("pred", F.array_position("_votes", F.array_max("_votes")).cast("int")).drop("_votes")
+
+    def _state(self) -> dict[str, Any]:
+        return {"groups": len(self.groups)}
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        if not self.groups:
+            return super().save(path, spark)
+        BehaviourModel.save(self, path, spark)
+        for k, group in enumerate(self.groups):
+            self._kind().load(group).write().overwrite().save(f"{path}/fitted-{k}")
+
+    def _restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        self.groups = [f"{path}/fitted-{k}" for k in range(state.get("groups", 0))]
+        if not self.groups:
+            super()._restore(state, spark, path)
+
 
 class Tree(_Supervised):
     def _estimator(self):
